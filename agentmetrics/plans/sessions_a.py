@@ -9,11 +9,11 @@ from ..functions import columns as C
 from ..functions import fixed
 from ..operators.keyed import count_if, earliest, final, first_per_key
 from ..operators.scan import ROWS_PER_BLOCK, latest_before, running, running_sum
-from ..sources.lines import ORDER
+from ..sources.lines import ORDER, position
 from ..sources.logs_a import file_identity
 
 TOKENS = fixed.TOKEN_BUCKETS
-POSITION = F.struct(*ORDER)
+
 
 
 def messages(records: DataFrame, keys: list[str]) -> DataFrame:
@@ -40,11 +40,11 @@ def tool_calls(records: DataFrame, keys: list[str]) -> DataFrame:
 def sessions(records: DataFrame, salt: str) -> DataFrame:
     """One row per file that has a timestamped record."""
     per_file = records.groupBy("path").agg(
-        earliest(F.col("log_session_id"), POSITION).alias("log_session_id"),
-        earliest(F.col("cwd"), POSITION).alias("cwd"),
-        earliest(F.col("git_branch"), POSITION).alias("git_branch"),
-        earliest(F.col("tool_version"), POSITION).alias("source_format_version"),
-        F.min_by("uuid", F.when(F.col("is_prompt"), POSITION)).alias("first_prompt_uuid"),
+        earliest(F.col("log_session_id"), position()).alias("log_session_id"),
+        earliest(F.col("cwd"), position()).alias("cwd"),
+        earliest(F.col("git_branch"), position()).alias("git_branch"),
+        earliest(F.col("tool_version"), position()).alias("source_format_version"),
+        F.min_by("uuid", F.when(F.col("is_prompt"), position())).alias("first_prompt_uuid"),
         F.min("at").alias("started_at"),
         F.max("at").alias("ended_at"),
         F.sum("duration_ms").alias("active_duration_ms"),
@@ -100,7 +100,7 @@ def models(records: DataFrame) -> DataFrame:
     return (messages(records, ["path"]).where(F.col("model_id").isNotNull())
             .groupBy("path", "model_id").agg(
                 F.count("*").alias("assistant_messages"),
-                *[earliest(F.col(c), POSITION).alias(c)
+                *[earliest(F.col(c), position()).alias(c)
                   for c in ("effort", "speed", "service_tier")]))
 
 
@@ -150,7 +150,7 @@ def units(in_turns: DataFrame) -> DataFrame:
         F.max(F.when(F.col("opens_unit"), F.col("git_branch"))).alias("git_branch"),
         F.max(F.when(F.col("opens_unit"), F.col("prompt_source"))).alias("prompt_source"),
         F.max(F.when(F.col("opens_unit"), F.col("origin_kind"))).alias("origin_kind"),
-        final(F.col("ts_text"), POSITION).alias("last_ts"),
+        final(F.col("ts_text"), position()).alias("last_ts"),
         F.bool_or(~F.col("opens_unit") & F.col("interrupted")).alias("interrupted"),
         F.bool_or(~F.col("opens_unit") & F.col("interrupt_marker")).alias("interrupt_marker"),
         F.sum(F.when(~F.col("opens_unit"), F.col("duration_ms"))).alias("active_ms"),

@@ -58,3 +58,8 @@ def file_hashes(spark: SparkSession, *paths: str) -> DataFrame:
             .load(list(paths))
             .select(F.col("path"), F.concat(F.lit("sha256:"), F.sha2("content", 256))
                     .alias("content_hash")))
+
+
+def position():
+    """Place of a record in its file, as one comparable value."""
+    return F.struct(*ORDER)
