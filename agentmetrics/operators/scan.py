@@ -26,11 +26,16 @@ BLOCK = "__block"
 
 @dataclass(frozen=True)
 class Running:
-    """One running value: ``kind`` is ``sum`` or ``last`` (last non-null)."""
+    """One running value.
+
+    ``kind`` is ``sum``, ``last`` (last non-null) or ``last_k`` (array of the
+    last ``k`` values, oldest first).
+    """
 
     kind: str
     value: Column
     inclusive: bool = True
+    k: int = 0
 
 
 def running_sum(value: Column) -> Running:
@@ -94,6 +99,9 @@ def running(df: DataFrame, keys: list[str], order: list[str], values: dict[str,
         source = F.col(inputs[name])
         if item.kind == "sum":
             local.append(F.sum(source).over(frame).alias(name))
+        elif item.kind == "last_k":
+            recent = ordered.rowsBetween(-(item.k - 1), Window.currentRow)
+            local.append(F.collect_list(source).over(recent).alias(name))
         else:
             local.append(F.last(source, ignorenulls=True).over(frame).alias(name))
     scanned = df.select("*", *local)
@@ -101,26 +109,42 @@ def running(df: DataFrame, keys: list[str], order: list[str], values: dict[str,
         return scanned.drop(*inputs.values())
 
     position = F.struct(*order)
-    totals = [
-        (F.sum(inputs[n]) if v.kind == "sum"
-         else F.max_by(F.col(inputs[n]), F.when(F.col(inputs[n]).isNotNull(), position))
-         ).alias(f"__tot_{n}")
-        for n, v in values.items()
-    ]
+
+    def block_total(name: str, item: Running) -> Column:
+        source = F.col(inputs[name])
+        if item.kind == "sum":
+            return F.sum(source)
+        if item.kind == "last_k":
+            return F.max_by(F.col(name), position)
+        return F.max_by(source, F.when(source.isNotNull(), position))
+
+    totals = [block_total(n, v).alias(f"__tot_{n}") for n, v in values.items()]
     earlier = (Window.partitionBy(*keys).orderBy(BLOCK)
                .rowsBetween(Window.unboundedPreceding, -1))
-    carries = [
-        (F.sum(f"__tot_{n}").over(earlier) if v.kind == "sum"
-         else F.last(f"__tot_{n}", ignorenulls=True).over(earlier)).alias(f"__carry_{n}")
-        for n, v in values.items()
-    ]
-    carried = df.groupBy(*scope).agg(*totals).select(*scope, *carries)
+
+    def carried_in(name: str, item: Running) -> Column:
+        total = F.col(f"__tot_{name}")
+        if item.kind == "sum":
+            return F.sum(total).over(earlier)
+        if item.kind == "last_k":
+            # each of the k blocks before holds one value or more
+            recent = (Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(-item.k, -1))
+            return F.flatten(F.collect_list(total).over(recent))
+        return F.last(total, ignorenulls=True).over(earlier)
+
+    carries = [carried_in(n, v).alias(f"__carry_{n}") for n, v in values.items()]
+    source = scanned if any(v.kind == "last_k" for v in values.values()) else df
+    carried = source.groupBy(*scope).agg(*totals).select(*scope, *carries)
     joined = scanned.join(carried, scope, "left")
     for name, item in values.items():
         carry = F.col(f"__carry_{name}")
         if item.kind == "sum":
             value = F.when(carry.isNull(), F.col(name)).otherwise(
                 carry + F.coalesce(F.col(name), F.lit(0)))
+        elif item.kind == "last_k":
+            both = F.concat(F.coalesce(carry, F.array().cast(joined.schema[name].dataType)),
+                            F.col(name))
+            value = F.slice(both, F.greatest(F.size(both) - item.k + 1, F.lit(1)), item.k)
         else:
             value = F.coalesce(F.col(name), carry)
         joined = joined.withColumn(name, value)
