@@ -75,6 +75,7 @@ def instant(text: Column) -> Column:
 
 def epoch_instant(number: Column) -> Column:
     """Epoch seconds or milliseconds (above 1e11) to an instant."""
+    number = number.cast("double")
     millis = F.when(number > 1e11, number).otherwise(number * 1000)
     return F.timestamp_millis(F.floor(millis).cast("long"))
 

@@ -28,17 +28,19 @@ def contingency(pairs: DataFrame, by: list[str]) -> DataFrame:
 def kappa(counts: DataFrame, by: list[str]) -> DataFrame:
     """Cohen's kappa, accuracy and n per group; kappa is NaN when n is zero or
     chance agreement is complete."""
-    marks = counts.select(*by, "n", F.explode(F.array(
+    scope = by or ["__all"]
+    counts = counts if by else counts.withColumn("__all", F.lit(0))
+    marks = counts.select(*scope, "n", F.explode(F.array(
         F.struct(F.lit("h").alias("side"), F.col("human").alias("label")),
         F.struct(F.lit("o").alias("side"), F.col("ours").alias("label")))).alias("m"))
-    margins = marks.groupBy(*by, "m.label").agg(
+    margins = marks.groupBy(*scope, "m.label").agg(
         F.sum(F.when(F.col("m.side") == "h", F.col("n")).otherwise(0)).alias("h"),
         F.sum(F.when(F.col("m.side") == "o", F.col("n")).otherwise(0)).alias("o"))
-    chance = margins.groupBy(*by).agg(F.sum(F.col("h") * F.col("o")).alias("cross"))
-    totals = counts.groupBy(*by).agg(
+    chance = margins.groupBy(*scope).agg(F.sum(F.col("h") * F.col("o")).alias("cross"))
+    totals = counts.groupBy(*scope).agg(
         F.sum("n").alias("n"),
         F.sum(F.when(F.col("human") == F.col("ours"), F.col("n")).otherwise(0)).alias("agree"))
-    joined = totals.join(chance, by) if by else totals.crossJoin(chance)  # one row each
+    joined = totals.join(chance, scope)
     po = C.ratio(F.col("agree"), F.col("n"))
     pe = F.col("cross") / (F.col("n").cast("double") * F.col("n"))
     return joined.select(*by, "n", po.alias("accuracy"), F.when(

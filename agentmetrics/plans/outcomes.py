@@ -147,8 +147,13 @@ def rework(measured_rows: DataFrame) -> DataFrame:
         F.when(~early, lines > 0).alias("occurred"))
 
 
-def rework_commits(reworked: DataFrame, files: DataFrame, commits: DataFrame,
-                   limit: int = ROWS_PER_BLOCK) -> DataFrame:
+def touched_files(numstat: DataFrame) -> DataFrame:
+    """Files a commit changed in any way, binary files and deletions included."""
+    return numstat.select(*KEY, "path").distinct()
+
+
+def rework_commits(reworked: DataFrame, files: DataFrame, touched: DataFrame,
+                   commits: DataFrame, limit: int = ROWS_PER_BLOCK) -> DataFrame:
     """The newest 20 commits that touched the reworked commit's files in its window.
 
     Each touch of a file carries the last 20 distinct touches up to it, so one
@@ -157,7 +162,7 @@ def rework_commits(reworked: DataFrame, files: DataFrame, commits: DataFrame,
     """
     k = fixed.REWORK_LIST_SIZE
     touch = F.struct(F.unix_micros("at").alias("at"), F.col("sha"))
-    touches = files.join(commits.where(~F.coalesce("is_merge", F.lit(False)))
+    touches = touched.join(commits.where(~F.coalesce("is_merge", F.lit(False)))
                          .select(*KEY, "at"), KEY)
     chained = running(touches, ["repo", "path"], ["at", "sha"],
                       {"recent": Running("last_k", touch, k=k + 1)}, limit=limit)
@@ -263,7 +268,8 @@ def signals(commits: DataFrame, numstat: DataFrame, pr_members: DataFrame, score
                .join(attribution(kept, scored), KEY, "left")
                .join(reverts(kept, revert_markers(commits)), KEY, "left"))
     return {"changes": changes, "survival": survival(facts), "rework": reworked,
-            "rework_commits": rework_commits(reworked, files, commits, limit),
+            "rework_commits": rework_commits(
+                reworked, files, touched_files(numstat), commits, limit),
             "commits_cut": cut}
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..functions import columns as C
 from ..functions import fixed
 from ..operators.prefix import first_in_list, match_prefix
+from ..operators.scan import asof
 from ..sources import variant as V
 
 MILLION = 1_000_000
@@ -190,13 +191,34 @@ def add_snapshot(existing: DataFrame, incoming: DataFrame) -> DataFrame:
                          "left_anti")
 
 
-def effective_sheet_of(sessions: DataFrame, sheets: DataFrame, at: str) -> DataFrame:
-    """Attach the pricing_version in force at a session's time."""
-    from ..operators.scan import asof
-    dates = sheets.select("pricing_version", F.to_timestamp("effective_date").alias("from_at")
-                          ).distinct().withColumn("all", F.lit(0))
-    return asof(sessions.withColumn("all", F.lit(0)), dates, ["all"], at, "from_at",
-                {"pricing_version": "pricing_version"}, tie="pricing_version").drop("all")
+def effective_version(sessions: DataFrame, sheets: DataFrame, at: str) -> DataFrame:
+    """Attach the pricing_version in force on a session's day.
+
+    Only the distinct days are looked up, then joined back.
+    """
+    dates = sheets.select(
+        F.lit(0).alias("all"), "pricing_version",
+        F.to_date("effective_date").alias("from_day")).distinct()
+    day = F.to_date(at)
+    days = sessions.select(F.lit(0).alias("all"), day.alias("on_day")).distinct()
+    in_force = asof(days, dates, ["all"], "on_day", "from_day",
+                    {"pricing_version": "pricing_version"}, tie="pricing_version").drop("all")
+    return sessions.withColumn("on_day", day).join(in_force, "on_day", "left").drop("on_day")
+
+
+def with_dated_rates(sessions: DataFrame, sheets: DataFrame, list_col: str = "model_list",
+                     suffix: str = "") -> DataFrame:
+    """As ``with_rates``, each session by the sheet of its own pricing_version.
+
+    The version becomes part of the id and of the key, so one prefix lookup
+    serves all sheets.
+    """
+    def tagged(name: Column) -> Column:
+        return F.concat(F.col("pricing_version"), F.lit("\x01"), name)
+
+    dated = sessions.withColumn("__ids", F.transform(list_col, tagged))
+    keyed = sheets.withColumn("model_key", tagged(F.col("model_key")))
+    return with_rates(dated, keyed, "__ids", suffix).drop("__ids")
 
 
 def landed_price_list(lines: DataFrame) -> DataFrame:
