@@ -60,14 +60,20 @@ def rows_per_key(df: DataFrame, keys: list[str]) -> tuple[int, int]:
 
 
 def with_blocks(df: DataFrame, keys: list[str], order: list[str],
-                limit: int = ROWS_PER_BLOCK, ordinal: str | None = None) -> tuple[DataFrame, bool]:
+                limit: int = ROWS_PER_BLOCK, ordinal: str | None = None,
+                top: int | None = None) -> tuple[DataFrame, bool]:
     """Add an ordered block number when the biggest key exceeds ``limit`` rows.
 
+    ``top``, a known bound on the rows of any key, saves the counting job while
+    it is within the limit.
+
     With an ``ordinal`` column (a row position, unique within the key) blocks
     are a plain division. Without one, rows are range-partitioned on
     (keys, order), which splits a hot key at sampled cut points; the result is
-    checkpointed because cut points may differ between two evaluations.
+    written out because cut points may differ between two evaluations.
     """
+    if top is not None and top <= limit:
+        return df, False
     top, total = rows_per_key(df, keys)
     if top <= limit:
         return df, False
@@ -80,14 +86,15 @@ def with_blocks(df: DataFrame, keys: list[str], order: list[str],
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Running],
-            limit: int = ROWS_PER_BLOCK, ordinal: str | None = None) -> DataFrame:
+            limit: int = ROWS_PER_BLOCK, ordinal: str | None = None,
+            top: int | None = None) -> DataFrame:
     """Add each running value in ``values`` as a column.
 
     ``order`` must give a total order within a key; keys must not be null.
     """
     inputs = {name: f"__in_{name}" for name in values}
     df = df.select("*", *[v.value.alias(inputs[n]) for n, v in values.items()])
-    df, blocked = with_blocks(df, keys, order, limit, ordinal)
+    df, blocked = with_blocks(df, keys, order, limit, ordinal, top)
     scope = [*keys, BLOCK] if blocked else keys
     ordered = Window.partitionBy(*scope).orderBy(*order)
     upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)

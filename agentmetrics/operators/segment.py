@@ -20,19 +20,20 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import fixed
-from .scan import (BLOCK, ROWS_PER_BLOCK, latest, latest_before, running, running_sum,
-                   with_blocks)
+from .scan import (BLOCK, ROWS_PER_BLOCK, latest, latest_before, rows_per_key, running,
+                   running_sum, with_blocks)
 
 TURN = "turn_index"
 NEVER = -1
 
 
-def shared_at(unit_files: DataFrame, keys: list[str], limit: int = ROWS_PER_BLOCK) -> DataFrame:
+def shared_at(unit_files: DataFrame, keys: list[str], limit: int = ROWS_PER_BLOCK,
+              top: int | None = None) -> DataFrame:
     """Per unit with files: the last earlier turn sharing a file or directory."""
     tokens = (unit_files.select(*keys, TURN, F.explode(F.array("file_ref", F.concat(
         F.lit("dir:"), F.col("top_dir_ref")))).alias("token")).distinct())
     seen = running(tokens, [*keys, "token"], [TURN], {"before": latest_before(F.col(TURN))},
-                   limit=limit, ordinal=TURN)
+                   limit=limit, ordinal=TURN, top=top)
     return seen.groupBy(*keys, TURN).agg(
         F.coalesce(F.max("before"), F.lit(NEVER)).alias("shared_at"))
 
@@ -70,7 +71,8 @@ def _through(lows, exits, start):
     return exits[at] if at >= 0 else start
 
 
-def file_jumps(candidates: DataFrame, keys: list[str], limit: int = ROWS_PER_BLOCK) -> DataFrame:
+def file_jumps(candidates: DataFrame, keys: list[str], limit: int = ROWS_PER_BLOCK,
+               top: int | None = None) -> DataFrame:
     """Turns at which a file jump opens a segment.
 
     ``candidates`` holds keys, run_start (turn of the last boundary known
@@ -78,7 +80,7 @@ def file_jumps(candidates: DataFrame, keys: list[str], limit: int = ROWS_PER_BLO
     """
     run = [*keys, "run_start"]
     slim = candidates.select(*run, TURN, "shared_at")
-    blocks, blocked = with_blocks(slim, run, [TURN], limit, ordinal=TURN)
+    blocks, blocked = with_blocks(slim, run, [TURN], limit, ordinal=TURN, top=top)
     key_fields = [candidates.schema[c] for c in run]
     key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields)
     out_ddl = f"{key_ddl}, {TURN} long"
@@ -119,8 +121,9 @@ def assign_segments(units: DataFrame, unit_files: DataFrame | None, keys: list[s
                     gap_ms: int = fixed.TURN_GAP_MS, limit: int = ROWS_PER_BLOCK) -> DataFrame:
     """Add ``opened_by`` (null inside a segment) and ``segment_no`` to each unit."""
     units = units.withColumn(TURN, F.col(TURN).cast("long"))
+    top, _ = rows_per_key(units, keys)  # bounds the units of any run and of any file, too
     if unit_files is not None:
-        shared = shared_at(unit_files.withColumn(TURN, F.col(TURN).cast("long")), keys, limit)
+        shared = shared_at(unit_files.withColumn(TURN, F.col(TURN).cast("long")), keys, limit, top)
         units = units.join(shared, [*keys, TURN], "left")
     else:
         units = units.withColumn("shared_at", F.lit(None).cast("long"))
@@ -130,7 +133,7 @@ def assign_segments(units: DataFrame, unit_files: DataFrame | None, keys: list[s
         "prev": latest_before(F.struct(branch.alias("branch"),
                                        F.coalesce("interrupted", F.lit(False)).alias("cut"))),
         "files_at": latest_before(F.when(has_files, F.col(TURN))),
-    }, limit=limit, ordinal=TURN)
+    }, limit=limit, ordinal=TURN, top=top)
     plain = (F.when(F.col("prev").isNull(), "session_start")
              .when(F.coalesce("gap_ms_before", F.lit(0)) > gap_ms, "turn_gap")
              .when(F.coalesce(branch != F.col("prev.branch"), F.lit(False)), "branch_change"))
@@ -138,11 +141,11 @@ def assign_segments(units: DataFrame, unit_files: DataFrame | None, keys: list[s
             .withColumn("hard", F.col("plain").isNotNull() | F.col("cut_before")))
     if unit_files is not None:
         step = running(step, keys, [TURN], {"run_start": latest(F.when(F.col("hard"), F.col(TURN)))},
-                       limit=limit, ordinal=TURN)
+                       limit=limit, ordinal=TURN, top=top)
         candidates = step.where(
             ~F.col("hard") & has_files & (F.col("files_at") >= F.col("run_start"))
             & (F.col("shared_at") < F.col("files_at")))
-        jumps = file_jumps(candidates, keys, limit).select(
+        jumps = file_jumps(candidates, keys, limit, top).select(
             *keys, TURN, F.lit(True).alias("jumped"))
         step = step.join(jumps, [*keys, TURN], "left")
     else:
@@ -151,7 +154,7 @@ def assign_segments(units: DataFrame, unit_files: DataFrame | None, keys: list[s
     step = running(step, keys, [TURN], {
         "segment_no": running_sum(F.col("opens").cast("int")),
         "left_start": latest_before(F.when(F.col("opens"), F.col(TURN))),
-    }, limit=limit, ordinal=TURN)
+    }, limit=limit, ordinal=TURN, top=top)
     # at an interrupt the label still names a file jump if one fires as well
     jump_at_cut = (has_files & (F.col("files_at") >= F.col("left_start"))
                    & (F.col("shared_at") < F.col("left_start")))

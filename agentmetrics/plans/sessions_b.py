@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import fixed
 from ..operators.keyed import count_if, earliest, final
-from ..operators.scan import ROWS_PER_BLOCK, latest, latest_before, running, running_sum
+from ..operators.scan import ROWS_PER_BLOCK, latest, latest_before, rows_per_key, running, running_sum
 from ..sources.lines import ORDER, position
 from ..sources.logs_a import file_identity
 from ..sources.logs_b import patched_files
@@ -97,18 +97,19 @@ def turns(records: DataFrame, limit: int = ROWS_PER_BLOCK) -> DataFrame:
     prompt, even if that names none; later context records in the turn count
     only if they name one.
     """
+    top, _ = rows_per_key(records, ["path"])
     first = running(records, ["path"], ORDER, {
         "prompts": running_sum(F.col("is_prompt").cast("int")),
         "ts_before": latest_before(F.col("ts_text")),
         "context": latest(F.when(F.col("is_context"), F.struct(F.col("context_model").alias("m")))),
-    }, limit=limit)
+    }, limit=limit, top=top)
     first = (first.withColumn("turn_index", F.col("prompts") - 1)
              .where(F.col("turn_index") >= 0).drop("prompts"))
     second = running(first, ["path"], ORDER, {
         "named": latest(F.when(F.col("context_model").isNotNull(),
                                F.struct("turn_index", F.col("context_model").alias("m")))),
         "seed": latest(F.when(F.col("is_prompt"), F.struct(F.col("context.m").alias("m")))),
-    }, limit=limit)
+    }, limit=limit, top=top)
     in_force = (F.when(F.col("named.turn_index") == F.col("turn_index"), F.col("named.m"))
                 .otherwise(F.col("seed.m")))
     return second.withColumn("turn_model", in_force).drop("named", "seed", "context")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,7 @@ def build_session(app: str = "agentmetrics", master: str | None = None,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     if master:
         builder = builder.master(master)
@@ -38,15 +40,28 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """This application's folder inside the shared checkpoint folder.
+
+    The cluster names the shared folder in ``spark.checkpoint.dir``. A private
+    one is made only where that is unset, which is the case on one machine.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        shared = tempfile.mkdtemp(prefix="agentmetrics-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder.
+    """Write ``df`` as a table in the shared folder and read it back.
 
-    The cluster names the folder in ``spark.checkpoint.dir``. A private folder
-    is used only where that is unset, which is the case on one machine.
+    Cuts lineage so that a lost executor costs a re-read and not a re-run, fixes
+    values that could differ between two evaluations, and leaves a columnar
+    table with known size, so later reads prune columns and small tables are
+    broadcast by their real size.
     """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        context = spark.sparkContext
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="agentmetrics-ckpt-"))
-    return df.checkpoint(eager=True)
+    target = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(target)
+    return spark.read.schema(df.schema).parquet(target)
