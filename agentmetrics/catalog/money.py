@@ -1 +1,613 @@
-"""."""
+"""Prices, spend, mixes, coverage, tiers and replay results."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..functions import fixed
+from ..operators.keyed import count_if
+from ..plans import agreement, evals, pricing, spend, trace
+from ..session import durable
+from . import adapters as D
+from .registry import Tables, query
+
+SHEET_DDL = ("pricing_version string, ordinal int, model_key string, input double, output double,"
+             " cache_read double, cache_write_5m double, cache_write_1h double")
+# (key, five rates); tier models of the order data, one without cache-write rates
+RATE_ROWS = [("1-URGENT", 10.0, 50.0, 1.0, 12.5, 20.0), ("2-HI", 3.0, 15.0, 0.3, 3.75, 6.0),
+             ("3-", 1.0, 5.0, 0.1, 1.25, 2.0), ("4-NOT", 5.0, 30.0, 0.5, None, None)]
+
+
+def sheet(t: Tables, rows=RATE_ROWS, version: str = "v1") -> DataFrame:
+    return t.spark.createDataFrame([(version, i, *r) for i, r in enumerate(rows)], SHEET_DDL)
+
+
+def order_sessions(t: Tables) -> DataFrame:
+    """Each order is a session: its items' quantities are tokens by return
+    flag, its priority the model, its customer's nation the project."""
+    q = F.col("l_quantity").cast("long") * 1000
+
+    def of(flag: str, status: str | None = None):
+        hit = F.col("l_returnflag") == flag
+        return hit & (F.col("l_linestatus") == status) if status else hit
+
+    tokens = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.sum(F.when(of("N"), q).otherwise(0)).alias("input"),
+        F.sum(F.when(of("A"), q).otherwise(0)).alias("output"),
+        F.sum(F.when(of("R", "O"), q).otherwise(0)).alias("cache_read"),
+        F.sum(F.when(of("R", "F"), q).otherwise(0)).alias("cache_creation"))
+    o = t.orders.join(t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey",
+                                        "c_mktsegment"), "o_custkey")
+    tool = F.when(F.col("o_orderstatus") == "O", "codex").when(
+        F.col("o_orderstatus") == "F", "claude_code").otherwise("cursor")
+    return o.join(tokens, "o_orderkey", "left").select(
+        F.col("o_orderkey").alias("session_id"), tool.alias("source_tool"),
+        F.col("o_orderdate").alias("started_at"), *fixed.TOKEN_BUCKETS,
+        F.array("o_orderpriority").alias("model_list"),
+        F.col("c_nationkey").cast("string").alias("project_ref"),
+        spend.cohort(F.concat(F.lit("/x/"), F.col("c_mktsegment")), "MACHINERY").alias("cohort"),
+        F.when(F.col("o_orderstatus") == "P", F.lit(None)).otherwise(F.col("o_orderstatus") == "F")
+        .cast("boolean").alias("automated"))
+
+
+def names(t: Tables) -> DataFrame:
+    """Nations of the first regions have a display name."""
+    return t.nation.where("n_regionkey < 3").select(
+        F.col("n_nationkey").cast("string").alias("project_ref"), F.col("n_name").alias("display_name"))
+
+
+def priced(t: Tables) -> DataFrame:
+    return spend.priced(order_sessions(t), sheet(t), names(t))
+
+
+PRICED_SQL = """
+WITH tk AS (SELECT l_orderkey, sum(CASE WHEN l_returnflag = 'N' THEN q ELSE 0 END) AS input,
+    sum(CASE WHEN l_returnflag = 'A' THEN q ELSE 0 END) AS output,
+    sum(CASE WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN q ELSE 0 END) AS cache_read,
+    sum(CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN q ELSE 0 END) AS cache_creation
+  FROM (SELECT *, CAST(l_quantity AS BIGINT) * 1000 AS q FROM lineitem) GROUP BY l_orderkey),
+rt(p, ri, ro, rc, rw) AS (VALUES ('1', 10.0::DOUBLE, 50.0::DOUBLE, 1.0::DOUBLE, 20.0::DOUBLE), ('2', 3, 15, 0.3, 6),
+  ('3', 1, 5, 0.1, 2), ('4', 5, 30, 0.5, NULL)),
+pr AS (SELECT o_orderkey AS sid, o_orderdate AS tm, o_orderpriority AS model, tk.*,
+    CASE o_orderstatus WHEN 'O' THEN 'codex' WHEN 'F' THEN 'claude_code' ELSE 'cursor' END AS tool,
+    CASE WHEN c_mktsegment = 'MACHINERY' THEN 'eval_harness' ELSE 'organic' END AS cohort, o_orderstatus,
+    coalesce(CASE WHEN n_regionkey < 3 THEN n_name END, '(unmapped)') AS project,
+    tk.l_orderkey IS NOT NULL AS has_tokens,
+    CASE WHEN rt.p IS NOT NULL AND tk.l_orderkey IS NOT NULL THEN
+      0.0::DOUBLE + CASE WHEN input = 0 THEN 0 ELSE input / 1000000::DOUBLE * ri END
+      + CASE WHEN output = 0 THEN 0 ELSE output / 1000000::DOUBLE * ro END
+      + CASE WHEN cache_read = 0 THEN 0 ELSE cache_read / 1000000::DOUBLE * rc END
+      + CASE WHEN cache_creation = 0 THEN 0 ELSE cache_creation / 1000000::DOUBLE * rw END END AS cost
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+  LEFT JOIN tk ON l_orderkey = o_orderkey LEFT JOIN rt ON rt.p = left(o_orderpriority, 1)),
+ru AS (SELECT dimension, key, count(*) FILTER (has_tokens) AS sessions, sum(input) AS input, sum(output) AS output,
+    sum(cache_read) AS cache_read, sum(cache_creation) AS cache_creation,
+    sum(CAST(trunc(cost * 1000) AS BIGINT)) AS cost_x1000,
+    CASE WHEN dimension = 'tool' THEN count(*) FILTER (NOT has_tokens) END AS sessions_no_tokens,
+    CASE WHEN dimension = 'day' THEN count(*) FILTER (cohort = 'eval_harness') END AS eval_sessions
+  FROM (SELECT *, unnest(['model', 'tool', 'project', 'day']) AS dimension,
+      unnest([model, tool, project, strftime(tm, '%Y-%m-%d')]) AS key FROM pr) GROUP BY dimension, key)
+"""
+
+
+@query("q_spend_rollup", PRICED_SQL + """
+SELECT * FROM ru WHERE sessions > 0 OR coalesce(sessions_no_tokens, 0) > 0 OR coalesce(eval_sessions, 0) > 0""")
+def spend_rollup(t: Tables) -> DataFrame:
+    """Spend by model, tool, project and day: the flagship report."""
+    return spend.rollup(priced(t))
+
+
+@query("q_session_price", PRICED_SQL + "SELECT sid AS session_id, model, project, cost FROM pr")
+def session_price(t: Tables) -> DataFrame:
+    return priced(t).select("session_id", "model", "project", "cost")
+
+
+@query("q_headline", PRICED_SQL + """
+SELECT count(*) AS n_sessions, sum(CAST(trunc(cost * 1000) AS BIGINT)) AS cost_x1000,
+  count(cost) AS priced_sessions, count(*) FILTER (has_tokens AND cost IS NULL) AS unpriced_sessions,
+  count(*) FILTER (NOT has_tokens) AS no_token_sessions,
+  sum(input + output + cache_read + cache_creation) FILTER (has_tokens AND cost IS NULL) AS unpriced_tokens,
+  0 AS autoreview_sessions, 0 AS autoreview_tokens, count(*) FILTER (tool = 'cursor') AS cursor_sessions,
+  count(*) FILTER (cohort = 'organic') AS organic_sessions,
+  sum(CAST(trunc(cost * 1000) AS BIGINT)) / 1000 AS total_cost,
+  count(*) FILTER (tool = 'cursor') / count(*) AS cursor_share_all,
+  count(*) FILTER (tool = 'cursor') / count(*) FILTER (cohort = 'organic') AS cursor_share_organic FROM pr""")
+def headline(t: Tables) -> DataFrame:
+    return spend.headline(priced(t))
+
+
+@query("q_largest_groups", PRICED_SQL + """
+SELECT key, input + output + cache_read + cache_creation AS total_tokens FROM ru
+WHERE dimension = 'project' ORDER BY total_tokens DESC, key LIMIT 14""")
+def largest_groups(t: Tables) -> DataFrame:
+    return spend.largest_groups(spend.rollup(priced(t)), "project").select("key", "total_tokens")
+
+
+@query("q_first_days", PRICED_SQL + """
+SELECT key, sessions, cost_x1000 FROM ru WHERE dimension = 'day' ORDER BY key LIMIT 100""")
+def first_days(t: Tables) -> DataFrame:
+    return spend.first_days(spend.rollup(priced(t))).select("key", "sessions", "cost_x1000")
+
+
+@query("q_coverage", PRICED_SQL + """
+SELECT tool AS source_tool, count(*) AS sessions, count(*) FILTER (project <> '(unmapped)') AS repo_join,
+  count(*) FILTER (has_tokens) AS with_tokens, strftime(min(tm), '%Y-%m-%d') AS first_day,
+  strftime(max(tm), '%Y-%m-%d') AS last_day,
+  count(*) FILTER (input > 0) AS with_units FROM pr GROUP BY tool""")
+def coverage(t: Tables) -> DataFrame:
+    """Orders with returned-flag N items stand for sessions with prompt units."""
+    s = priced(t)
+    units = t.lineitem.where("l_returnflag = 'N' AND l_quantity >= 1").select(
+        F.col("l_orderkey").alias("session_id")).join(
+        order_sessions(t).select("session_id", "source_tool"), "session_id")
+    return spend.coverage(s, units)
+
+
+def order_classes(t: Tables) -> DataFrame:
+    """Labels by order price band, at session grain."""
+    band = F.floor(F.col("o_totalprice") / 100_000).cast("int")
+    task = D.pick(band, ["exploratory_qa", "single_file_bug_fix", "documentation", None,
+                         "feature_implementation", "test_authoring"])
+    return t.orders.select(F.lit("session").alias("unit"), F.col("o_orderkey").alias("session_id"),
+                           task.alias("task_type"))
+
+
+CLASS_SQL = PRICED_SQL + """, cs AS (SELECT o_orderkey AS csid, CASE CAST(floor(o_totalprice / 100000) AS INT)
+    WHEN 0 THEN 'exploratory_qa' WHEN 1 THEN 'single_file_bug_fix' WHEN 2 THEN 'documentation'
+    WHEN 4 THEN 'feature_implementation' WHEN 5 THEN 'test_authoring' END AS task_type FROM orders)"""
+
+
+@query("q_mix_share", CLASS_SQL + """
+SELECT 'session' AS unit, tool AS source_tool, cohort, coalesce(task_type, 'unclassified') AS label,
+  count(*) AS n, sum(count(*)) OVER (PARTITION BY tool, cohort) AS group_n,
+  count(*) / sum(count(*)) OVER (PARTITION BY tool, cohort) AS share
+FROM cs JOIN pr ON csid = sid GROUP BY tool, cohort, task_type""")
+def mix_share(t: Tables) -> DataFrame:
+    return spend.task_mix(order_classes(t), order_sessions(t))
+
+
+@query("q_origin_mix", CLASS_SQL + """
+SELECT CASE o_orderstatus WHEN 'F' THEN 'automated' WHEN 'O' THEN 'human' ELSE 'unmarked' END AS origin,
+  coalesce(task_type, 'unclassified') AS label, count(*) AS n
+FROM cs JOIN pr ON csid = sid WHERE cohort = 'organic' GROUP BY 1, 2""")
+def origin_mix(t: Tables) -> DataFrame:
+    return spend.origin_mix(order_classes(t), order_sessions(t))
+
+
+@query("q_topk_rest", PRICED_SQL + """
+, r AS (SELECT key, cost_x1000, row_number() OVER (ORDER BY cost_x1000 DESC NULLS LAST, key) AS nth FROM ru
+  WHERE dimension = 'project' AND sessions > 0)
+SELECT CASE WHEN nth <= 5 THEN key ELSE 'rest' END AS key, sum(cost_x1000) AS cost_x1000, count(*) AS groups,
+  count(*) FILTER (cost_x1000 IS NULL) AS unpriced_groups FROM r GROUP BY 1""")
+def topk_rest(t: Tables) -> DataFrame:
+    totals = durable(spend.rollup(priced(t)).where("dimension = 'project' AND sessions > 0"))
+    return spend.top_and_rest(totals, "key", "cost_x1000", 5)
+
+
+@query("q_outcome_spend", PRICED_SQL + """
+SELECT c_mktsegment AS repo_name, n AS commits, p.c / 1000 AS project_cost FROM (
+  SELECT c_mktsegment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1
+  UNION ALL SELECT n_name, count(*) FROM orders JOIN customer ON o_custkey = c_custkey
+    JOIN nation ON c_nationkey = n_nationkey GROUP BY 1) x
+LEFT JOIN (SELECT key, cost_x1000 AS c FROM ru WHERE dimension = 'project') p ON p.key = c_mktsegment""")
+def outcome_spend(t: Tables) -> DataFrame:
+    """Order counts per nation and segment beside the spend of the same name."""
+    o = t.orders.select("o_custkey").join(t.customer.select(
+        F.col("c_custkey").alias("o_custkey"), "c_mktsegment", "c_nationkey"), "o_custkey").join(
+        t.nation.select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey")
+    repos = o.select(F.explode(F.array("c_mktsegment", "n_name")).alias("repo_name")).groupBy(
+        "repo_name").agg(F.count("*").alias("commits"))
+    return spend.outcomes_beside_spend(repos, spend.rollup(priced(t)))
+
+
+@query("q_project_names", """
+SELECT page_id, CASE WHEN url LIKE '%.org%' THEN 'eval-harness runs' WHEN url LIKE 'http://%' THEN 'scratch / no repo'
+  ELSE coalesce(nullif(regexp_extract(rtrim(url, '/'), '([^/]*)$', 1), ''), url) END AS display_name FROM pages""")
+def project_names(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", C.display_name(
+        F.col("url"), F.col("url").startswith("https://"), ".org").alias("display_name"))
+
+
+# -- price sheets -----------------------------------------------------------------------------
+
+USAGE_SQL = """
+SELECT l_orderkey, l_partkey, l_linenumber, l_extendedprice, cost FROM (SELECT *,
+  CASE WHEN rt.p IS NULL THEN NULL ELSE round_even(
+    CASE WHEN i = 0 THEN 0 ELSE i / 1000000::DOUBLE * ri END + CASE WHEN o = 0 THEN 0 ELSE o / 1000000::DOUBLE * ro END
+    + CASE WHEN c = 0 THEN 0 ELSE c / 1000000::DOUBLE * rc END
+    + CASE WHEN split THEN CASE WHEN w5 = 0 THEN 0 ELSE w5 / 1000000::DOUBLE * rf END
+        + CASE WHEN w1 = 0 THEN 0 ELSE w1 / 1000000::DOUBLE * rw END
+      ELSE CASE WHEN w = 0 THEN 0 ELSE w / 1000000::DOUBLE * rw END END, 6) END AS cost
+  FROM (SELECT *, l_linestatus || l_returnflag AS model, CAST(l_quantity AS BIGINT) * 1000 AS i,
+      l_linenumber * 100 AS o, CAST(floor(l_extendedprice) AS BIGINT) * 10 AS c, l_linenumber * 10 AS w,
+      CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber * 70 END AS w5, CASE WHEN l_linenumber % 2 = 0 THEN 3 END AS w1,
+      l_linenumber % 2 = 0 AS split FROM lineitem) x
+  LEFT JOIN (VALUES ('OR', 10.0::DOUBLE, 50.0::DOUBLE, 1.0::DOUBLE, 12.5::DOUBLE, 20.0::DOUBLE),
+    ('OA', 3, 15, 0.3, 3.75, 6), ('FN', 1, 5, 0.1, 1.25, 2), ('FA', 5, 30, 0.5, NULL, NULL)) rt(p, ri, ro, rc, rf, rw)
+  ON rt.p = model)"""
+
+
+@query("q_usage_price", USAGE_SQL)
+def usage_price(t: Tables) -> DataFrame:
+    """Line items as reported usage, with and without split cache writes."""
+    rates = [(k, *r[1:]) for k, r in zip(["OR", "OA", "FN", "FA"], RATE_ROWS)]
+    n = F.col("l_linenumber")
+    even = n % 2 == 0
+    usage = t.lineitem.select(
+        "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice",
+        F.concat("l_linestatus", "l_returnflag").alias("model_id"),
+        (F.col("l_quantity").cast("long") * 1000).alias("input"), (n * 100).alias("output"),
+        (F.floor("l_extendedprice").cast("long") * 10).alias("cache_read"), (n * 10).alias("cache_creation"),
+        F.when(even, n * 70).alias("cache_5m"), F.when(even, F.lit(3)).alias("cache_1h"))
+    return pricing.usage_price(usage, sheet(t, rates)).select(
+        "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "cost")
+
+
+def part_sheet(t: Tables, brand_rates: dict[str, object]) -> DataFrame:
+    """A rate sheet per brand, from aggregates of its parts."""
+    return t.part.groupBy(F.col("p_brand").alias("model_key")).agg(
+        *[expr.alias(name) for name, expr in brand_rates.items()])
+
+
+@query("q_price_crosscheck", """
+WITH s AS (SELECT p_brand AS model_key, [max(p_size), min(p_size), count(*), sum(p_size) % 3, 7] AS o,
+    [max(p_size), min(p_size) + CASE WHEN count(*) % 2 = 0 THEN 1 ELSE 0 END,
+     CASE WHEN sum(p_size) % 5 <> 0 THEN count(*) END, sum(p_size) % 3, 7] AS n FROM part GROUP BY p_brand),
+u AS (SELECT model_key, unnest(['input', 'output', 'cache_read', 'cache_write_5m', 'cache_write_1h']) AS bucket,
+    unnest(o) AS old_rate, unnest(n) AS new_rate FROM s)
+SELECT model_key, bucket, CAST(old_rate AS DOUBLE) AS old_rate, CAST(new_rate AS DOUBLE) AS new_rate,
+  CASE WHEN new_rate IS NULL THEN 'absent' ELSE 'differs' END AS finding
+FROM u WHERE new_rate IS NULL OR abs(old_rate - new_rate) > 1e-9""")
+def price_crosscheck(t: Tables) -> DataFrame:
+    size, n = F.col("p_size"), F.count("*")
+    old = {"input": F.max(size).cast("double"), "output": F.min(size).cast("double"),
+           "cache_read": n.cast("double"), "cache_write_5m": (F.sum(size) % 3).cast("double"),
+           "cache_write_1h": F.lit(7.0)}
+    new = {**old, "output": (F.min(size) + F.when(n % 2 == 0, 1).otherwise(0)).cast("double"),
+           "cache_read": F.when(F.sum(size) % 5 != 0, n.cast("double"))}
+    return pricing.cross_check(part_sheet(t, new), part_sheet(t, old))
+
+
+@query("q_sheet_build", """
+WITH l AS (SELECT p_partkey AS ordinal, CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN 'openai/' WHEN 2 THEN 'azure/'
+    ELSE 'xai/' END || p_brand || '-' || p_partkey AS price_key, p_retailprice FROM part),
+m AS (SELECT DISTINCT p_brand AS model_key FROM part),
+h AS (SELECT model_key, ordinal, price_key, p_retailprice, CASE WHEN price_key NOT LIKE '%/%' THEN 1
+    WHEN price_key LIKE 'openai/%' THEN 3 ELSE 4 END AS r FROM m JOIN l
+  ON price_key NOT LIKE 'azure/%' AND starts_with(regexp_replace(price_key, '^(openai|xai)/', ''), model_key))
+SELECT model_key, arg_min(price_key, r * 100000000 + ordinal) AS price_key,
+  arg_min(p_retailprice, r * 100000000 + ordinal) AS input, CAST(NULL AS DOUBLE) AS output FROM h GROUP BY model_key""")
+def sheet_build(t: Tables) -> DataFrame:
+    """Parts as a vendor price list, brands as the wanted models."""
+    provider = D.pick(F.col("p_size") % 4, ["", "openai/", "azure/", "xai/"])
+    fields = fixed.PER_TOKEN_FIELDS
+    listed = t.part.select(
+        F.col("p_partkey").alias("ordinal"),
+        F.concat(provider, "p_brand", F.lit("-"), F.col("p_partkey").cast("string")).alias("price_key"),
+        (F.col("p_retailprice") / 1_000_000).alias(fields["input"]),
+        *[F.lit(None).cast("double").alias(v) for k, v in fields.items() if k != "input"])
+    models = t.part.select(F.col("p_brand").alias("model_id")).distinct().withColumn(
+        "ordinal", F.lit(0))
+    return pricing.build_sheet(listed, models).select("model_key", "price_key", "input", "output")
+
+
+# -- tiers and overspend ------------------------------------------------------------------------
+
+TIERS = [("1-", "frontier"), ("2-", "mid"), ("3-MEDIUM", "small"), ("3", "open_weight"), ("4-NOT", "small")]
+
+
+def tiers(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame([(i, p, n) for i, (p, n) in enumerate(TIERS)],
+                                   "ordinal int, prefix string, tier string")
+
+
+@query("q_overspend", CLASS_SQL + """
+, o AS (SELECT *, CASE WHEN rt2.p IS NOT NULL THEN 0.0::DOUBLE + input / 1000000::DOUBLE * 3
+    + output / 1000000::DOUBLE * 15 + cache_read / 1000000::DOUBLE * 0.3
+    + cache_creation / 1000000::DOUBLE * 6 END AS mid
+  FROM cs JOIN pr ON csid = sid, (SELECT 1 AS p) rt2 WHERE task_type = 'single_file_bug_fix' AND has_tokens)
+SELECT count(*) FILTER (model LIKE '1-%' AND cost IS NOT NULL) AS sessions,
+  round(sum(cost) FILTER (model LIKE '1-%'), 6) AS actual,
+  round(sum(mid) FILTER (model LIKE '1-%' AND cost IS NOT NULL), 6) AS at_mid,
+  count(*) FILTER (model LIKE '1-%' AND cost IS NOT NULL AND cohort = 'eval_harness') AS eval_sessions,
+  count(*) FILTER (model LIKE '3-%' OR model LIKE '4-%') AS below_floor,
+  round(sum(cost) FILTER (model LIKE '1-%') - sum(mid) FILTER (model LIKE '1-%' AND cost IS NOT NULL), 6) AS delta
+FROM o""")
+def overspend(t: Tables) -> DataFrame:
+    scoped = evals.in_scope(order_sessions(t), order_classes(t), "single_file_bug_fix")
+    out = evals.overspend(evals.lead_tier(scoped, tiers(t)), sheet(t), "2-HIGH")
+    return out.select("sessions", "eval_sessions", "below_floor",
+                      *[F.round(c, 6).alias(c) for c in ("actual", "at_mid", "delta")])
+
+
+@query("q_access_tiers", """
+SELECT CASE WHEN o_orderpriority LIKE '1-%' THEN 'frontier' WHEN o_orderpriority LIKE '2-%' THEN 'mid'
+  ELSE 'small' END AS tier, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ',') AS models
+FROM orders WHERE left(o_orderpriority, 1) <> '5' GROUP BY 1""")
+def access_tiers(t: Tables) -> DataFrame:
+    seen = t.orders.select(F.col("o_orderpriority").alias("model_id"))
+    return evals.accessible_tiers(seen, tiers(t)).select("tier", F.array_join("models", ",").alias("models"))
+
+
+def runs(t: Tables) -> DataFrame:
+    """Line items as replay runs: part is the task, line status and flag the tier."""
+    n = F.col("l_linenumber")
+    tier = D.pick(F.when(F.col("l_linestatus") == "O", F.when(F.col("l_returnflag") == "N", 0).otherwise(1))
+                  .otherwise(2), ["frontier", "mid", "small"])
+    turns = F.when(n % 5 != 0, F.col("l_quantity").cast("long"))
+    capped = evals.turn_capped(F.when(n == 7, "error_max_turns"), F.when(n != 5, F.col("l_quantity") * 1.3))
+    return t.lineitem.select(
+        F.col("l_partkey").alias("task_id"), tier.alias("tier"),
+        F.concat(F.lit("model-"), tier).alias("model_id"), F.col("l_orderkey").alias("ordinal"),
+        n.alias("line"),
+        evals.solved(n != 6, capped, F.when(n == 4, "fail").otherwise("pass"), n,
+                     F.when(F.col("l_discount") < 0.05, n).otherwise(n + 1)).alias("solved"),
+        F.when(n != 3, F.floor("l_extendedprice") / 1000).alias("cost"),
+        turns.alias("turns"), F.col("l_quantity").alias("wall_seconds"))
+
+
+RUNS_SQL = """
+WITH rn AS (SELECT l_partkey AS task_id, CASE WHEN l_linestatus = 'O' THEN CASE WHEN l_returnflag = 'N'
+    THEN 'frontier' ELSE 'mid' END ELSE 'small' END AS tier, l_quantity, l_linenumber,
+    l_linenumber NOT IN (4, 6, 7) AND NOT (l_linenumber <> 5 AND l_quantity * 1.3 > 60) AND l_discount < 0.05 AS solved,
+    CASE WHEN l_linenumber <> 3 THEN floor(l_extendedprice) / 1000 END AS cost,
+    CASE WHEN l_linenumber % 5 <> 0 THEN CAST(l_quantity AS BIGINT) END AS turns FROM lineitem),
+ce AS (SELECT task_id, tier, count(*) AS n, count(*) FILTER (solved) AS solved FROM rn GROUP BY ALL)
+"""
+
+
+@query("q_tier_grid", RUNS_SQL + """
+, g AS (SELECT tier, count(*) AS n, count(*) FILTER (solved) AS solved, sum(coalesce(cost, 0)) AS cost,
+    avg(turns) AS mean_turns, sum(l_quantity) AS wall_seconds FROM rn GROUP BY tier),
+b AS (SELECT *, 'model-' || tier AS model_id, cost * CASE WHEN tier = 'mid' THEN 2 / 3 ELSE 1 END AS bill FROM g)
+SELECT tier, model_id, n, solved, round(cost, 4) AS cost, round(mean_turns, 6) AS mean_turns, wall_seconds,
+  round(bill, 4) AS cost_billed, tier = 'mid' AS restated, round(bill / solved, 6) AS per_solve FROM b""")
+def tier_grid(t: Tables) -> DataFrame:
+    factors = t.spark.createDataFrame([("model-mid", 2 / 3)], "model_id string, factor double")
+    g = evals.tier_grid(runs(t), factors)
+    return g.select("tier", "model_id", "n", "solved", F.round("cost", 4).alias("cost"),
+                    F.round("mean_turns", 6).alias("mean_turns"), "wall_seconds",
+                    F.round("cost_billed", 4).alias("cost_billed"), "restated",
+                    F.round("per_solve", 6).alias("per_solve"))
+
+
+@query("q_wilson", """
+SELECT p_brand, n, k, round((k / n + 3.841458820694124 / 2 / n - 1.959963984540054 * sqrt(k / n * (1 - k / n) / n
+    + 3.841458820694124 / 4 / n / n)) / (1 + 3.841458820694124 / n), 9) AS ci_lower,
+  round((k / n + 3.841458820694124 / 2 / n + 1.959963984540054 * sqrt(k / n * (1 - k / n) / n
+    + 3.841458820694124 / 4 / n / n)) / (1 + 3.841458820694124 / n), 9) AS ci_upper
+FROM (SELECT p_brand, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS k FROM lineitem JOIN part
+  ON l_partkey = p_partkey GROUP BY p_brand)""")
+def wilson(t: Tables) -> DataFrame:
+    """Return rate per brand with its interval."""
+    by_part = t.lineitem.groupBy(F.col("l_partkey").alias("p_partkey")).agg(
+        F.count("*").alias("n"), count_if(F.col("l_returnflag") == "R").alias("k"))
+    by_brand = by_part.join(t.part.select("p_partkey", "p_brand"), "p_partkey").groupBy("p_brand").agg(
+        F.sum("n").alias("n"), F.sum("k").alias("k"))
+    w = evals.with_wilson(by_brand, "k", "n")
+    return w.select("p_brand", "n", "k", F.round("ci_lower", 9).alias("ci_lower"),
+                    F.round("ci_upper", 9).alias("ci_upper"))
+
+
+@query("q_flaky", RUNS_SQL + "SELECT task_id, tier, n, solved FROM ce WHERE solved > 0 AND solved < n")
+def flaky(t: Tables) -> DataFrame:
+    return evals.flaky(evals.cells(runs(t)))
+
+
+@query("q_flipped", RUNS_SQL + """
+, o AS (SELECT task_id, tier, count(*) FILTER (solved) AS once FROM rn WHERE l_linenumber = 1 GROUP BY ALL),
+m AS (SELECT task_id, tier, count(*) AS n, count(*) FILTER (solved) AS solved FROM rn WHERE l_linenumber > 1 GROUP BY ALL)
+SELECT task_id, tier, once, n, solved FROM o JOIN m USING (task_id, tier)
+WHERE (once = 0 AND solved = n) OR (once > 0 AND solved = 0)""")
+def flipped(t: Tables) -> DataFrame:
+    """First lines as the single runs, later lines as the repeated ones."""
+    every = runs(t)
+    return evals.flipped(evals.cells(every.where("line = 1")), evals.cells(every.where("line > 1")))
+
+
+@query("q_nesting", RUNS_SQL + """
+SELECT task_id FROM ce WHERE tier = 'small' AND solved > 0 AND task_id NOT IN (
+  SELECT task_id FROM ce WHERE tier = 'frontier' AND solved > 0)""")
+def nesting(t: Tables) -> DataFrame:
+    return evals.solved_only_by(evals.cells(runs(t)), "small", "frontier")
+
+
+PAIRED_SQL = RUNS_SQL + """, pa AS (SELECT a.n AS n_a, a.solved AS k_a, b.n AS n_b, b.solved AS k_b
+  FROM ce a JOIN ce b ON a.task_id = b.task_id WHERE a.tier = 'frontier' AND b.tier = 'mid')"""
+
+
+@query("q_sign_test", PAIRED_SQL + """
+SELECT count(*) FILTER (k_a * n_b > k_b * n_a) AS favour_a, count(*) FILTER (k_a * n_b < k_b * n_a) AS favour_b,
+  count(*) FILTER (k_a * n_b = k_b * n_a) AS tied FROM pa""")
+def sign_test(t: Tables) -> DataFrame:
+    return evals.sign_counts(evals.paired(evals.cells(runs(t)), "frontier", "mid"))
+
+
+@query("q_permutation")
+def permutation(t: Tables) -> DataFrame:
+    """Exact test; checked against full enumeration in the tests."""
+    return evals.permutation_test(durable(evals.paired(evals.cells(runs(t)), "frontier", "mid")))
+
+
+@query("q_missing_cells", RUNS_SQL + """
+SELECT p_partkey AS task_id, 'model-' || tier AS model_id FROM part, (SELECT unnest(['frontier', 'mid', 'small']) AS tier)
+WHERE (p_partkey, tier) NOT IN (SELECT task_id, tier FROM ce)""")
+def missing_cells(t: Tables) -> DataFrame:
+    tasks = t.part.select(F.col("p_partkey").alias("task_id"))
+    return evals.missing_cells(tasks, runs(t), ["model-frontier", "model-mid", "model-small"])
+
+
+@query("q_curve_points", """
+SELECT s_nationkey AS policy_id, CASE WHEN s_acctbal < 3000 THEN 'small' WHEN s_acctbal < 6000 THEN 'mid'
+    ELSE 'frontier' END AS model_tier, arg_max(s_acctbal, s_suppkey) AS value
+FROM supplier WHERE s_suppkey % 3 <> 0 GROUP BY 1, 2""")
+def curve_points(t: Tables) -> DataFrame:
+    """Suppliers as curve points of their nation's policy."""
+    tier = F.when(F.col("s_acctbal") < 3000, "small").when(F.col("s_acctbal") < 6000, "mid").otherwise("frontier")
+    metric = F.when(F.col("s_suppkey") % 3 != 0, "solve_rate_full_run_n1").otherwise("solve_rate_n3")
+    point = F.struct("s_suppkey", tier.alias("model_tier"), metric.alias("metric"),
+                     F.col("s_acctbal").alias("value"))
+    policies = t.supplier.groupBy(F.col("s_nationkey").alias("policy_id")).agg(
+        F.array_sort(F.collect_list(point)).alias("quality_curve"))
+    return evals.curve_points(policies).select("policy_id", "model_tier", "value")
+
+
+# -- agreement -------------------------------------------------------------------------------------
+
+def label_pairs(t: Tables) -> DataFrame:
+    """Human quality labels against a length rule, joined by document."""
+    human = t.labels.select("doc_id", D.pick(F.col("quality") * 2 + F.col("toxic"),
+                                             ["junk", "toxic", "good", None]).alias("task_type"))
+    n = F.col("n_chars")
+    rule = F.when(n < 200, "junk").when(n < 1000, "good").when(n < 5000, F.lit(None)).otherwise("toxic")
+    predicted = t.documents.where("lang <> 'fr'").select(
+        "doc_id", rule.cast("string").alias("task_type"), F.lit("len").alias("rule_id"),
+        F.lit(0).alias("written"))
+    return agreement.match_labels(human, predicted, ["doc_id"], ["written"])
+
+
+PAIRS_SQL = """
+WITH mt AS (SELECT l.doc_id, coalesce(CASE quality * 2 + toxic WHEN 0 THEN 'junk' WHEN 1 THEN 'toxic' WHEN 2 THEN 'good' END,
+    'unclassified') AS human, d.doc_id IS NOT NULL AS matched,
+    CASE WHEN d.doc_id IS NOT NULL THEN coalesce(CASE WHEN n_chars < 200 THEN 'junk' WHEN n_chars < 1000 THEN 'good'
+      WHEN n_chars < 5000 THEN NULL ELSE 'toxic' END, 'unclassified') END AS ours
+  FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id AND d.lang <> 'fr'),
+ct AS (SELECT human, ours, count(*) AS n FROM mt WHERE matched GROUP BY ALL),
+tt AS (SELECT sum(n) AS n, sum(n) FILTER (human = ours) AS agree FROM ct)
+"""
+
+
+@query("q_label_match", PAIRS_SQL + "SELECT doc_id, human, matched, ours FROM mt")
+def label_match(t: Tables) -> DataFrame:
+    return label_pairs(t).select("doc_id", "human", "matched", "ours")
+
+
+def counts(t: Tables) -> DataFrame:
+    return agreement.contingency(label_pairs(t).where("matched"), [])
+
+
+@query("q_agreement", PAIRS_SQL + """
+, mg AS (SELECT label, sum(h) AS h, sum(o) AS o FROM (SELECT human AS label, n AS h, 0 AS o FROM ct
+  UNION ALL SELECT ours, 0, n FROM ct) GROUP BY label),
+e AS (SELECT sum(h * o) AS cross_n FROM mg)
+SELECT n, agree / n AS accuracy, round((agree / n - cross_n / (n * n)) / (1 - cross_n / (n * n)), 9) AS cohens_kappa
+FROM tt, e""")
+def kappa(t: Tables) -> DataFrame:
+    k = agreement.kappa(durable(counts(t)), [])
+    return k.select("n", "accuracy", F.round("cohens_kappa", 9).alias("cohens_kappa"))
+
+
+@query("q_prf", PAIRS_SQL + """
+, lb AS (SELECT human AS label FROM ct UNION SELECT ours FROM ct),
+s AS (SELECT label, coalesce(sum(n) FILTER (human = label AND ours = label), 0) AS tp,
+    coalesce(sum(n) FILTER (human <> label AND ours = label), 0) AS fp,
+    coalesce(sum(n) FILTER (human = label AND ours <> label), 0) AS fn FROM lb, ct GROUP BY label),
+r AS (SELECT label, tp + fn AS support, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END AS p,
+    CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END AS r FROM s)
+SELECT label, support, p AS precision, r AS recall,
+  round(CASE WHEN p > 0 AND r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 9) AS f1 FROM r""")
+def prf(t: Tables) -> DataFrame:
+    p = agreement.per_class(durable(counts(t)), [])
+    return p.select("label", "support", "precision", "recall", F.round("f1", 9).alias("f1"))
+
+
+@query("q_confusions", PAIRS_SQL + """
+SELECT human, ours, n FROM ct WHERE human <> ours ORDER BY n DESC, human, ours LIMIT 8""")
+def confusions(t: Tables) -> DataFrame:
+    return agreement.confusions(counts(t), [], 8)
+
+
+# -- savings and verdicts ---------------------------------------------------------------------------
+
+@query("q_savings", PRICED_SQL + """
+, v(d0, f) AS (VALUES (DATE '1996-01-01', 1.0::DOUBLE), (DATE '1998-06-01', 0.5::DOUBLE), (DATE '2000-01-01', 2.0::DOUBLE)),
+e AS (SELECT pr.*, v.f, 'v' || strftime(v.d0, '%Y') AS pricing_version FROM pr ASOF LEFT JOIN v ON CAST(pr.tm AS DATE) >= v.d0),
+c AS (SELECT sid, pricing_version, CASE WHEN f IS NOT NULL THEN cost * f END AS own,
+    CASE WHEN f IS NOT NULL AND has_tokens THEN (input / 1000000::DOUBLE * 10 + output / 1000000::DOUBLE * 50
+      + cache_read / 1000000::DOUBLE * 1 + cache_creation / 1000000::DOUBLE * 20) * f END AS base FROM e)
+SELECT sid AS session_id, pricing_version, round(own, 6) AS actual_cost, round(base, 6) AS baseline_cost,
+  round(base - own, 6) AS saving FROM c""")
+def savings(t: Tables) -> DataFrame:
+    """Orders at their own and at the frontier price, by the sheet of the day."""
+    sheets = None
+    for day, factor in (("1996-01-01", 1.0), ("1998-06-01", 0.5), ("2000-01-01", 2.0)):
+        rates = [(r[0], *[x * factor if x is not None else None for x in r[1:]]) for r in RATE_ROWS]
+        one = sheet(t, rates, "v" + day[:4]).withColumn("effective_date", F.lit(day))
+        sheets = one if sheets is None else sheets.unionByName(one)
+    s = order_sessions(t).withColumn("baseline_list", F.array(F.lit("1-URGENT")))
+    out = trace.verified_savings(s, sheets, "started_at")
+    return out.select("session_id", "pricing_version", *[
+        F.round(c, 6).alias(c) for c in ("actual_cost", "baseline_cost", "saving")])
+
+
+@query("q_triangulate", """
+WITH r AS (SELECT p_type AS task_type, count(*) FILTER (l_returnflag <> 'R') * 3 > count(*) * 2 AS s, count(*) AS n
+  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_type <> 'PROMO' GROUP BY 1),
+p AS (SELECT p_type AS task_type, avg(p_size) > 25 AS s, count(*) AS n FROM part WHERE p_type <> 'SMALL'
+  GROUP BY 1)
+SELECT coalesce(r.task_type, p.task_type) AS task_type, r.s AS replay_supports, r.n AS replay_n,
+  p.s AS production_supports, p.n AS production_n, CASE WHEN r.n >= 10 AND p.n >= 10 THEN CASE WHEN r.s = p.s
+    THEN 'tracks_agree' ELSE 'tracks_disagree' END WHEN r.n >= 10 OR p.n >= 10 THEN 'single_track_only'
+    ELSE 'insufficient_data' END AS verdict FROM r FULL JOIN p ON r.task_type = p.task_type""")
+def triangulate(t: Tables) -> DataFrame:
+    """Return rates of line items against sizes of parts, per part type."""
+    kind = F.col("p_type").alias("task_type")
+    li = t.lineitem.select(F.col("l_partkey").alias("p_partkey"), "l_returnflag")
+    replay = li.join(t.part.where("p_type <> 'PROMO'"), "p_partkey").groupBy(kind).agg(
+        (count_if(F.col("l_returnflag") != "R") * 3 > F.count("*") * 2).alias("supports"),
+        F.count("*").alias("n"))
+    production = t.part.where("p_type <> 'SMALL'").groupBy(kind).agg(
+        (F.avg("p_size") > 25).alias("supports"), F.count("*").alias("n"))
+    return trace.triangulate(replay, production)
+
+
+@query("q_judge_gate", """
+WITH v AS (SELECT p_type AS task_type, l_partkey AS item, l_linestatus = 'O' AS sw, CASE max(l_returnflag) WHEN 'R'
+    THEN 'win' WHEN 'N' THEN 'loss' ELSE 'tie' END AS verdict FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3),
+j AS (SELECT task_type, item, CASE WHEN min(verdict) = max(verdict) THEN min(verdict) ELSE 'inconsistent' END AS verdict
+  FROM v GROUP BY 1, 2)
+SELECT task_type, count(*) AS calibration_n, count(*) FILTER (verdict = CASE WHEN p_size > 25 THEN 'win' ELSE 'loss' END)
+    AS agreed, count(*) FILTER (verdict = CASE WHEN p_size > 25 THEN 'win' ELSE 'loss' END) / count(*) AS agreement_value,
+  count(*) FILTER (verdict = CASE WHEN p_size > 25 THEN 'win' ELSE 'loss' END) / count(*) >= 0.8 AS cleared_agreement_gate
+FROM j JOIN part ON item = p_partkey GROUP BY task_type""")
+def judge_gate(t: Tables) -> DataFrame:
+    """Parts as compared items, both line states as both orders."""
+    part = t.part.select(F.col("p_partkey").alias("item"), F.col("p_type").alias("task_type"), "p_size")
+    seen = t.lineitem.groupBy(F.col("l_partkey").alias("item"), (F.col("l_linestatus") == "O").alias("swapped")).agg(
+        F.max("l_returnflag").alias("flag"))
+    verdict = F.when(F.col("flag") == "R", "win").when(F.col("flag") == "N", "loss").otherwise("tie")
+    comps = seen.join(part.select("item", "task_type"), "item").withColumn("verdict", verdict)
+    human = part.select("task_type", "item", F.when(F.col("p_size") > 25, "win").otherwise("loss").alias("verdict"))
+    keys = ["task_type", "item"]
+    return trace.judge_gate(trace.judge_verdicts(comps, keys), human, keys)
+
+
+@query("q_decision_buckets", """
+SELECT o_orderkey, CASE WHEN o_totalprice >= 300000 AND o_orderstatus = 'P' THEN 'high_spend_abandoned'
+  WHEN o_totalprice >= 300000 AND o_orderpriority = '5-LOW' THEN 'high_spend_low_priority'
+  WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderkey % 3 = 0 THEN 'high_priority_strong_ai'
+  WHEN o_orderstatus = 'F' AND (o_orderkey % 10) / 10 <= 0.3 AND o_orderkey % 3 <> 2 THEN 'shipped_low_rework' END AS bucket
+FROM orders""")
+def decision_buckets(t: Tables) -> DataFrame:
+    key = F.col("o_orderkey")
+    work = t.orders.select(
+        "o_orderkey", F.col("o_totalprice").alias("cost"),
+        D.pick(F.left("o_orderpriority", F.lit(1)).cast("int"),
+               [None, "highest", "high", "medium", "unknown", "low"]).alias("priority"),
+        F.when(F.col("o_orderstatus") == "P", "abandoned").when(F.col("o_orderstatus") == "F", "deployed")
+        .otherwise("in_progress").alias("delivery_status"),
+        D.pick(key % 3, ["known", "partial", "unknown"]).alias("ai_contribution"),
+        ((key % 10) / 10).alias("rework_rate"))
+    return trace.decision_bucket(work, 300_000, 0.3).select("o_orderkey", "bucket")
+
+
+@query("q_team_level", """
+SELECT c_nationkey AS team, count(DISTINCT o_custkey) AS members, count(*) AS sessions FROM orders JOIN customer
+ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' GROUP BY 1
+HAVING count(DISTINCT o_custkey) >= 5""")
+def team_level(t: Tables) -> DataFrame:
+    o = t.orders.where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'").join(t.customer.select(
+        F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("team")), "o_custkey")
+    return trace.team_level(o, "team", "o_custkey", {"sessions": F.count("*")})
