@@ -18,8 +18,15 @@ SALT = "salt"
 LINES_PER_SPLIT = 65_536
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly row work when a small table is read as fewer
+    tasks than there are cores; a table of many files is left as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def _k(events: DataFrame) -> DataFrame:
-    return events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    return spread(events).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
 
 
 def pick(number: Column, values: list[str | None]) -> Column:

@@ -12,110 +12,111 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import fixed
-from . import variant as V
 from .lines import parsed
 
 SUBAGENT_PATTERN = r"/([^/]+)/subagents/(agent-[^/]+)\.jsonl$"
+BLOCK = "struct<type:string,text:string,name:string>"
+SHAPE = """
+  type STRING, subtype STRING, uuid STRING, sessionId STRING, timestamp STRING, cwd STRING,
+  gitBranch STRING, version STRING, isMeta BOOLEAN, isSidechain BOOLEAN, promptSource STRING,
+  origin STRUCT<kind: STRING>, durationMs DOUBLE, effort STRING,
+  message STRUCT<id: STRING, model: STRING, content: VARIANT,
+    usage: STRUCT<input_tokens: DOUBLE, output_tokens: DOUBLE, cache_read_input_tokens: DOUBLE,
+      cache_creation_input_tokens: DOUBLE, speed: STRING, service_tier: STRING, effort: STRING>>,
+  toolUseResult STRUCT<interrupted: BOOLEAN, userModified: BOOLEAN, filePath: STRING, type: STRING,
+    structuredPatch: ARRAY<STRUCT<lines: ARRAY<STRING>>>>"""
 
 
-def _block_texts(kind: str) -> Column:
-    """Values of the content blocks of one kind: their text, or their name."""
-    blocks = F.filter("content_blocks", lambda b: V.field(b, "type", "string") == kind)
-    if kind == "text":
-        return F.transform(blocks, lambda b: F.coalesce(V.field(b, "text", "string"), F.lit("")))
-    return F.transform(blocks, lambda b: F.coalesce(V.field(b, "name", "string"), F.lit("?")))
+def _of_kind(kind: str, value: str, default: str) -> Column:
+    """One field of the content blocks of one kind."""
+    return F.transform(F.filter("blocks", lambda b: b["type"] == kind),
+                       lambda b: F.coalesce(b[value], F.lit(default)))
 
 
-def _patch_lines(sign: str) -> Column:
-    def of_hunk(hunk: Column) -> Column:
-        lines = F.coalesce(V.items(hunk, "lines"), F.array().cast("array<variant>"))
-        return F.size(F.filter(lines, lambda line: F.coalesce(
-            V.is_text(line) & F.try_variant_get(line, "$", "string").startswith(sign),
-            F.lit(False))))
-    return F.coalesce(F.aggregate("patch", F.lit(0), lambda total, h: total + of_hunk(h)),
-                      F.lit(0)).cast("long")
+def _signed_lines(sign: str) -> Column:
+    """Patch lines that start with the sign, over all hunks."""
+    every = F.flatten(F.transform("patch", lambda h: F.coalesce(
+        h["lines"], F.array().cast("array<string>"))))
+    return F.size(F.filter(every, lambda line: F.coalesce(line.startswith(sign), F.lit(False))))
 
 
 def records(lines: DataFrame) -> DataFrame:
     """Typed records, bookkeeping types and malformed lines left out."""
-    rec = F.col("rec")
-    usage = V.field(rec, "message.usage", "variant")
-    result = V.field(rec, "toolUseResult", "variant")
-    rows = parsed(lines).where(F.col("rec").isNotNull()).select(
-        "path", "split", "pos",
-        V.text(rec, "type").alias("rtype"),
-        V.text(rec, "subtype").alias("subtype"),
-        V.text(rec, "uuid").alias("uuid"),
-        V.text(rec, "sessionId").alias("log_session_id"),
-        V.text(rec, "timestamp").alias("ts_text"),
-        V.text(rec, "cwd").alias("cwd"),
-        V.text(rec, "gitBranch").alias("git_branch"),
-        V.text(rec, "version").alias("tool_version"),
-        V.truthy(rec, "isMeta").alias("is_meta"),
-        V.truthy(rec, "isSidechain").alias("is_sidechain"),
-        V.text(rec, "promptSource").alias("prompt_source"),
-        V.text(rec, "origin.kind").alias("origin_kind"),
-        V.whole(rec, "durationMs").alias("duration_ms"),
-        F.coalesce(V.text(rec, "message.id"), V.text(rec, "uuid")).alias("message_id"),
-        V.text(rec, "message.model").alias("model_id"),
-        V.non_empty_object(usage).alias("has_usage"),
-        V.count(usage, "input_tokens").alias("input"),
-        V.count(usage, "output_tokens").alias("output"),
-        V.count(usage, "cache_read_input_tokens").alias("cache_read"),
-        V.count(usage, "cache_creation_input_tokens").alias("cache_creation"),
-        F.coalesce(V.text(rec, "effort"), V.text(usage, "effort")).alias("effort"),
-        V.text(usage, "speed").alias("speed"),
-        V.text(usage, "service_tier").alias("service_tier"),
-        V.field(rec, "message.content", "variant").alias("content"),
-        V.items(rec, "message.content").alias("content_blocks"),
-        V.is_object(result).alias("has_result"),
-        V.truthy(result, "interrupted").alias("interrupted"),
-        V.truthy(result, "userModified").alias("user_modified"),
-        V.text(result, "filePath").alias("file_path"),
-        V.text(result, "type").alias("result_type"),
-        V.items(result, "structuredPatch").alias("patch"),
-    ).where(F.col("rtype").isNull() | ~F.col("rtype").isin(fixed.BOOKKEEPING_TYPES))
-
-    is_user = F.coalesce(F.col("rtype") == "user", F.lit(False))
-    texts = _block_texts("text")
-    has_result_block = F.coalesce(F.exists(
-        "content_blocks", lambda b: V.field(b, "type", "string") == "tool_result"), F.lit(False))
-    body = (F.when(V.is_text(F.col("content")), F.try_variant_get("content", "$", "string"))
-            .when(F.size(texts) > 0, F.array_join(texts, "\n")))
-    marker_text = (F.when(V.is_text(F.col("content")), F.try_variant_get("content", "$", "string"))
-                   .when(F.col("content_blocks").isNotNull(), F.array_join(texts, " ")))
-    patched = F.col("has_result") & (F.size("patch") > 0) & is_user
-    return rows.select(
-        "path", "split", "pos", "rtype", "uuid", "log_session_id", "ts_text",
+    r, m, u, t = (lambda c, p=p: F.col(f"rec.{p}{c}") for p in (
+        "", "message.", "message.usage.", "toolUseResult."))
+    known = F.coalesce(r("type"), r("timestamp"), r("sessionId"), r("uuid"), r("cwd"))
+    kept = parsed(lines, SHAPE).where(
+        known.isNotNull() & ~F.coalesce(r("type").isin(fixed.BOOKKEEPING_TYPES), F.lit(False)))
+
+    def count(column: Column) -> Column:
+        return F.coalesce(column.cast("long"), F.lit(0).cast("long"))
+
+    usage_fields = [u(c).cast("string") for c in (
+        "input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens",
+        "speed", "service_tier", "effort")]
+    content = m("content")
+    is_user = F.coalesce(r("type") == "user", F.lit(False))
+    typed = kept.select(
+        "path", "split", "pos", r("type").alias("rtype"), C.blank_to_null(r("uuid")).alias("uuid"),
+        C.blank_to_null(r("sessionId")).alias("log_session_id"),
+        C.blank_to_null(r("timestamp")).alias("ts_text"), C.blank_to_null(r("cwd")).alias("cwd"),
+        C.blank_to_null(r("gitBranch")).alias("git_branch"),
+        C.blank_to_null(r("version")).alias("tool_version"),
+        F.coalesce(r("isSidechain"), F.lit(False)).alias("is_sidechain"),
+        C.blank_to_null(r("promptSource")).alias("prompt_source"),
+        C.blank_to_null(r("origin.kind")).alias("origin_kind"),
+        F.when((r("type") == "system") & (r("subtype") == "turn_duration"),
+               r("durationMs").cast("long")).alias("duration_ms"),
+        F.coalesce(C.blank_to_null(m("id")), C.blank_to_null(r("uuid"))).alias("message_id"),
+        C.blank_to_null(m("model")).alias("model_id"),
+        F.coalesce(*usage_fields).isNotNull().alias("has_usage"),
+        count(u("input_tokens")).alias("input"), count(u("output_tokens")).alias("output"),
+        count(u("cache_read_input_tokens")).alias("cache_read"),
+        count(u("cache_creation_input_tokens")).alias("cache_creation"),
+        F.coalesce(C.blank_to_null(r("effort")), C.blank_to_null(u("effort"))).alias("effort"),
+        C.blank_to_null(u("speed")).alias("speed"),
+        C.blank_to_null(u("service_tier")).alias("service_tier"),
+        is_user.alias("is_user"), F.coalesce(r("isMeta"), F.lit(False)).alias("is_meta"),
+        # content is text or an array of blocks
+        F.when(F.schema_of_variant(content) == "STRING",
+               F.try_variant_get(content, "$", "string")).alias("content_text"),
+        F.transform(F.try_variant_get(content, "$", "array<variant>"),
+                    lambda b: F.try_variant_get(b, "$", BLOCK)).alias("blocks"),
+        (is_user & F.coalesce(t("interrupted"), F.lit(False))).alias("interrupted"),
+        F.coalesce(t("userModified"), F.lit(False)).alias("user_modified"),
+        C.blank_to_null(t("filePath")).alias("file_path"), t("type").alias("result_type"),
+        F.when(is_user & (F.size(t("structuredPatch")) > 0), t("structuredPatch")).alias("patch"))
+
+    texts = _of_kind("text", "text", "")
+    is_result = F.coalesce(F.exists("blocks", lambda b: b["type"] == "tool_result"), F.lit(False))
+    body = F.coalesce(F.col("content_text"), F.when(F.size(texts) > 0, F.array_join(texts, "\n")))
+    marker = F.coalesce(F.col("content_text"), F.array_join(texts, " "))
+    patched = F.col("patch").isNotNull()
+
+    def of_patch(value: Column) -> Column:
+        return F.when(patched, value).otherwise(0).cast("long")
+
+    flat = typed.select(
+        *[c for c in typed.columns if c not in (
+            "is_user", "is_meta", "content_text", "blocks", "file_path", "result_type", "patch")],
         C.instant(F.col("ts_text")).alias("at"),
-        "cwd", "git_branch", "tool_version", "is_sidechain", "prompt_source", "origin_kind",
-        F.when((F.col("rtype") == "system") & (F.col("subtype") == "turn_duration"),
-               F.col("duration_ms")).alias("duration_ms"),
-        "message_id", "model_id", "has_usage",
-        "input", "output", "cache_read", "cache_creation", "effort", "speed", "service_tier",
-        F.when(is_user & ~F.col("is_meta") & ~has_result_block, body).alias("body"),
-        F.coalesce(is_user & C.starts_with_any(C.strip(marker_text), fixed.INTERRUPT_MARKERS),
-                   F.lit(False)).alias("interrupt_marker"),
-        F.when(F.col("rtype") == "assistant", _block_texts("tool_use")).alias("tool_names"),
-        (is_user & F.col("has_result") & F.col("interrupted")).alias("interrupted"),
-        F.coalesce(patched, F.lit(False)).alias("patched"),
-        F.col("user_modified"),
-        F.when(patched, F.col("file_path")).alias("file_path"),
-        F.when(F.col("result_type").isNotNull(),
-               F.col("result_type") == "create").alias("is_new_file"),
-        F.when(patched, F.size(F.filter("patch", lambda h: V.is_object(h)))).otherwise(0)
-        .cast("long").alias("hunks"),
-        F.when(patched, _patch_lines("+")).otherwise(0).cast("long").alias("lines_added"),
-        F.when(patched, _patch_lines("-")).otherwise(0).cast("long").alias("lines_removed"),
-    ).withColumn("stripped", C.strip(F.col("body"))).withColumn(
-        "is_prompt", F.coalesce(
-            (F.col("stripped") != "")
-            & ~C.starts_with_any(F.col("stripped"),
-                                 fixed.COMMAND_MARKERS + fixed.INTERRUPT_MARKERS),
-            F.lit(False))).withColumn(
-        "opens_unit", F.col("is_prompt")
-        & ~F.coalesce(F.col("origin_kind") == fixed.TASK_NOTIFICATION, F.lit(False))
-    ).drop("stripped")
+        F.when(F.col("is_user") & ~F.col("is_meta") & ~is_result, body).alias("body"),
+        F.when(F.col("is_user"), C.strip(marker)).alias("marker"),
+        F.when(F.col("rtype") == "assistant", _of_kind("tool_use", "name", "?")).alias("tool_names"),
+        patched.alias("patched"), F.when(patched, F.col("file_path")).alias("file_path"),
+        (F.col("result_type") == "create").alias("is_new_file"),
+        of_patch(F.size(F.array_compact("patch"))).alias("hunks"),
+        of_patch(_signed_lines("+")).alias("lines_added"),
+        of_patch(_signed_lines("-")).alias("lines_removed"))
+    plain = C.strip(F.col("body"))
+    opening = fixed.COMMAND_MARKERS + fixed.INTERRUPT_MARKERS
+    prompt = F.coalesce((plain != "") & ~C.starts_with_any(plain, opening), F.lit(False))
+    notice = F.coalesce(F.col("origin_kind") == fixed.TASK_NOTIFICATION, F.lit(False))
+    return flat.select(
+        *[c for c in flat.columns if c != "marker"],
+        F.coalesce(C.starts_with_any(F.col("marker"), fixed.INTERRUPT_MARKERS), F.lit(False))
+        .alias("interrupt_marker"),
+        prompt.alias("is_prompt"), (prompt & ~notice).alias("opens_unit"))
 
 
 def file_identity(path: Column) -> list[Column]:

@@ -7,62 +7,72 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from . import variant as V
 from .lines import parsed
 
 TOKEN_FIELDS = {"raw_input": "input_tokens", "cached": "cached_input_tokens",
                 "cache_write": "cache_write_input_tokens", "output": "output_tokens",
                 "reasoning": "reasoning_output_tokens"}
+USAGE = "STRUCT<" + ", ".join(f"{f}: DOUBLE" for f in TOKEN_FIELDS.values()) + ">"
+SHAPE = f"""
+  timestamp STRING, type STRING, payload STRUCT<
+    type: STRING, id: STRING, session_id: STRING, cwd: STRING, cli_version: STRING,
+    git: STRUCT<branch: STRING>, parent_thread_id: STRING, thread_source: STRING,
+    model: STRING, effort: STRING, message: STRING,
+    info: STRUCT<total_token_usage: {USAGE}, last_token_usage: {USAGE}>,
+    duration_ms: DOUBLE, invocation: STRUCT<server: STRING, tool: STRING>, stdout: STRING,
+    name: STRING>"""
 
 
-def _usage(value: Column) -> Column:
+def _usage(path: str) -> Column:
     """Token counts of one usage object; null when it is absent or empty."""
-    return F.when(V.non_empty_object(value), F.struct(
-        *[V.count(value, name).alias(alias) for alias, name in TOKEN_FIELDS.items()]))
+    present = F.coalesce(*[F.col(f"{path}.{f}") for f in TOKEN_FIELDS.values()]).isNotNull()
+    return F.when(present, F.struct(*[
+        F.coalesce(F.col(f"{path}.{name}").cast("long"), F.lit(0).cast("long")).alias(alias)
+        for alias, name in TOKEN_FIELDS.items()]))
 
 
 def records(lines: DataFrame) -> DataFrame:
-    rec = F.col("rec")
-    payload = V.field(rec, "payload", "variant")
-    rtype, ptype = F.col("rtype"), F.col("ptype")
-    rows = parsed(lines).where(F.col("rec").isNotNull()).select(
-        "path", "split", "pos", V.text(rec, "type").alias("rtype"),
-        V.text(payload, "type").alias("ptype"), V.text(rec, "timestamp").alias("ts_text"),
-        payload.alias("payload"))
-    p = F.col("payload")
-    event = rtype == "event_msg"
-    item = rtype == "response_item"
-    is_meta = rtype == "session_meta"
-    named_tool = item & ptype.isin("function_call", "custom_tool_call")
-    search_tool = item & ptype.isin("web_search_call", "tool_search_call")
-    mcp_tool = event & (ptype == "mcp_tool_call_end")
-    tool = (F.when(named_tool, F.coalesce(V.text(p, "name"), F.lit("?")))
-            .when(search_tool, ptype)
-            .when(mcp_tool, F.concat(
-                F.lit("mcp__"), F.coalesce(V.field(p, "invocation.server", "string"), F.lit("?")),
-                F.lit("__"), F.coalesce(V.field(p, "invocation.tool", "string"), F.lit("?")))))
+    """Typed records; malformed lines left out."""
+    rtype, ptype = F.col("rec.type"), F.col("rec.payload.type")
+
+    def p(name: str) -> Column:
+        return C.blank_to_null(F.col(f"rec.payload.{name}"))
+
+    event, item = rtype == "event_msg", rtype == "response_item"
+    is_meta, is_context = rtype == "session_meta", rtype == "turn_context"
+    unnamed = F.lit("?")
+    tool = (F.when(item & ptype.isin("function_call", "custom_tool_call"),
+                   F.coalesce(p("name"), unnamed))
+            .when(item & ptype.isin("web_search_call", "tool_search_call"), ptype)
+            .when(event & (ptype == "mcp_tool_call_end"), F.concat(
+                F.lit("mcp__"), F.coalesce("rec.payload.invocation.server", unnamed),
+                F.lit("__"), F.coalesce("rec.payload.invocation.tool", unnamed))))
+
+    def on(kind: str) -> Column:
+        return F.coalesce(event & (ptype == kind), F.lit(False))
+
+    rows = parsed(lines, SHAPE).where(F.coalesce("rec.type", "rec.timestamp").isNotNull())
+    ts_text = C.blank_to_null(F.col("rec.timestamp"))
     return rows.select(
-        "path", "split", "pos", "rtype", "ts_text", C.instant(F.col("ts_text")).alias("at"),
+        "path", "split", "pos", rtype.alias("rtype"), ts_text.alias("ts_text"),
+        C.instant(ts_text).alias("at"),
         F.when(is_meta, F.struct(
-            F.coalesce(V.text(p, "id"), V.text(p, "session_id")).alias("thread_id"),
-            V.text(p, "cwd").alias("cwd"), V.text(p, "cli_version").alias("cli_version"),
-            V.text(p, "git.branch").alias("git_branch"),
-            V.text(p, "parent_thread_id").alias("parent_thread_id"),
-            V.field(p, "thread_source", "string").alias("thread_source"))).alias("meta"),
-        F.coalesce(rtype == "turn_context", F.lit(False)).alias("is_context"),
-        F.when(rtype == "turn_context", V.text(p, "model")).alias("context_model"),
-        F.when(rtype == "turn_context", V.text(p, "effort")).alias("context_effort"),
-        F.coalesce(event & (ptype == "user_message"), F.lit(False)).alias("is_prompt"),
-        F.when(event & (ptype == "user_message"), V.text(p, "message")).alias("body"),
-        F.coalesce(event & (ptype == "agent_message"), F.lit(False)).alias("is_agent_message"),
-        F.when(event & (ptype == "token_count"),
-               _usage(V.field(p, "info.total_token_usage", "variant"))).alias("total_usage"),
-        F.when(event & (ptype == "token_count"),
-               _usage(V.field(p, "info.last_token_usage", "variant"))).alias("request_usage"),
-        F.when(event & (ptype == "task_complete"), V.whole(p, "duration_ms")).alias("duration_ms"),
-        F.coalesce(event & (ptype == "turn_aborted"), F.lit(False)).alias("aborted"),
-        tool.alias("tool_name"),
-        F.when(event & (ptype == "patch_apply_end"), V.text(p, "stdout")).alias("patch_output"))
+            F.coalesce(p("id"), p("session_id")).alias("thread_id"), p("cwd").alias("cwd"),
+            p("cli_version").alias("cli_version"), p("git.branch").alias("git_branch"),
+            p("parent_thread_id").alias("parent_thread_id"),
+            F.col("rec.payload.thread_source").alias("thread_source"))).alias("meta"),
+        F.coalesce(is_context, F.lit(False)).alias("is_context"),
+        F.when(is_context, p("model")).alias("context_model"),
+        F.when(is_context, p("effort")).alias("context_effort"),
+        on("user_message").alias("is_prompt"),
+        F.when(on("user_message"), p("message")).alias("body"),
+        on("agent_message").alias("is_agent_message"),
+        F.when(on("token_count"), _usage("rec.payload.info.total_token_usage")).alias("total_usage"),
+        F.when(on("token_count"), _usage("rec.payload.info.last_token_usage")).alias("request_usage"),
+        F.when(on("task_complete"), F.col("rec.payload.duration_ms").cast("long"))
+        .alias("duration_ms"),
+        on("turn_aborted").alias("aborted"), tool.alias("tool_name"),
+        F.when(on("patch_apply_end"), p("stdout")).alias("patch_output"))
 
 
 def patched_files(records_b: DataFrame, keep: list[str]) -> DataFrame:
