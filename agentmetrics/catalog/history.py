@@ -26,10 +26,10 @@ def git(t: Tables) -> tuple[DataFrame, DataFrame]:
 def facts(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     commits, lines = git(t)
     kept, _ = outcomes.newest_commits(commits, cap=None)
-    snaps = outcomes.snapshots(kept, commits, outcomes.SNAPSHOT_DAYS)
+    snaps = durable(outcomes.snapshots(kept, commits, outcomes.SNAPSHOT_DAYS))
     surviving = outcomes.surviving_by_spans(snaps, D.spans(lines))
     sizes = outcomes.change_sizes(D.numstat(lines))
-    return commits, lines, outcomes.measured(kept, sizes, snaps, surviving, NOW)
+    return commits, lines, outcomes.measured(sizes, snaps, surviving, NOW)
 
 
 @query("q_asof_snapshot", """
@@ -75,6 +75,7 @@ SELECT repo, sha, other AS rework_sha, nth FROM (SELECT *, row_number() OVER (
   PARTITION BY repo, sha ORDER BY t_at DESC, other DESC) AS nth FROM pr) WHERE nth <= 20""")
 def rework_commits(t: Tables) -> DataFrame:
     commits, lines, measured = facts(t)
+    measured = durable(measured)
     stats = D.numstat(lines)
     return outcomes.rework_commits(outcomes.rework(measured), outcomes.added_files(stats),
                                    outcomes.touched_files(stats), commits)

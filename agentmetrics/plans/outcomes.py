@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import fixed
 from ..operators.keyed import count_if, earliest
-from ..operators.scan import ROWS_PER_BLOCK, asof, running
-from ..operators.scan import Running
+from ..operators.scan import ROWS_PER_BLOCK, asof, running, running_sum
+from ..session import durable
 
 KEY = ["repo", "sha"]
 SNAPSHOT_DAYS = [fixed.REWORK_WINDOW, *fixed.SURVIVAL_HORIZONS]
@@ -103,7 +103,7 @@ def surviving_by_spans(snaps: DataFrame, line_spans: DataFrame) -> DataFrame:
                                        .alias("surviving")))
 
 
-def measured(commits: DataFrame, sizes: DataFrame, snaps: DataFrame, surviving: DataFrame,
+def measured(sizes: DataFrame, snaps: DataFrame, surviving: DataFrame,
              now: datetime) -> DataFrame:
     """Status and surviving lines per commit and horizon.
 
@@ -156,25 +156,29 @@ def rework_commits(reworked: DataFrame, files: DataFrame, touched: DataFrame,
                    commits: DataFrame, limit: int = ROWS_PER_BLOCK) -> DataFrame:
     """The newest 20 commits that touched the reworked commit's files in its window.
 
-    Each touch of a file carries the last 20 distinct touches up to it, so one
-    as-of lookup per (commit, file) finds the candidates; touches are never
+    Touches of a file are numbered in time order. One as-of lookup finds the
+    last touch inside the window, and only the at most 20 numbers before it,
+    down to the commit's own, are looked up by equality: touches are never
     paired with each other. A commit's 20 newest are among its files' 20 newest.
     """
     k = fixed.REWORK_LIST_SIZE
-    touch = F.struct(F.unix_micros("at").alias("at"), F.col("sha"))
     touches = touched.join(commits.where(~F.coalesce("is_merge", F.lit(False)))
-                         .select(*KEY, "at"), KEY)
-    chained = running(touches, ["repo", "path"], ["at", "sha"],
-                      {"recent": Running("last_k", touch, k=k + 1)}, limit=limit)
+                           .select(*KEY, "at"), KEY)
+    numbered = running(touches, ["repo", "path"], ["at", "sha"],
+                       {"nth": running_sum(F.lit(1))}, limit=limit)
+    own = numbered.select(*KEY, "path", F.col("nth").alias("own_nth"))
     probes = (reworked.where("occurred").select(*KEY, F.col("at").alias("own_at"), "target_at")
-              .join(files, KEY))
-    found = asof(probes, chained, ["repo", "path"], "target_at", "at", {"recent": "recent"},
+              .join(files, KEY).join(own, [*KEY, "path"]))
+    found = asof(probes, numbered, ["repo", "path"], "target_at", "at", {"last_nth": "nth"},
                  tie="sha", limit=limit)
-    from_at = F.unix_micros("own_at") + 1_000_000
-    pairs = (found.select(*KEY, from_at.alias("from_at"), F.explode("recent").alias("t"))
-             .where((F.col("t.at") >= F.col("from_at")) & (F.col("t.sha") != F.col("sha")))
-             .select(*KEY, F.col("t.at").alias("t_at"), F.col("t.sha").alias("rework_sha"))
-             .distinct())
+    first = F.greatest(F.col("own_nth") + 1, F.col("last_nth") - (k - 1))
+    wanted = (found.where(F.col("last_nth") > F.col("own_nth"))
+              .select("repo", "path", F.col("sha").alias("of_sha"), "own_at",
+                      F.explode(F.sequence(first, F.col("last_nth"))).alias("nth")))
+    later = F.unix_micros("at") >= F.unix_micros("own_at") + 1_000_000
+    pairs = (wanted.join(numbered, ["repo", "path", "nth"]).where(later)
+             .select("repo", F.col("of_sha").alias("sha"), F.col("at").alias("t_at"),
+                     F.col("sha").alias("rework_sha")).distinct())
     newest = Window.partitionBy(*KEY).orderBy(F.desc("t_at"), F.desc("rework_sha"))
     return (pairs.withColumn("nth", F.row_number().over(newest)).where(F.col("nth") <= k)
             .select(*KEY, "rework_sha", "nth"))
@@ -257,10 +261,10 @@ def signals(commits: DataFrame, numstat: DataFrame, pr_members: DataFrame, score
     the child tables ``survival``, ``rework`` and ``rework_commits``."""
     kept, cut = newest_commits(commits, cap)
     sizes, files = change_sizes(numstat), added_files(numstat)
-    snaps = snapshots(kept, commits, SNAPSHOT_DAYS, limit)
+    snaps = durable(snapshots(kept, commits, SNAPSHOT_DAYS, limit))
     surviving = (surviving_by_blame(snaps, files, blame_lines) if blame_lines is not None
                  else surviving_by_spans(snaps, line_spans))
-    facts = measured(kept, sizes, snaps, surviving, now)
+    facts = durable(measured(sizes, snaps, surviving, now))
     reworked = rework(facts)
     changes = (kept.select(*KEY, "at").join(sizes, KEY, "left")
                .fillna(0, subset=["lines_added", "lines_deleted"])
