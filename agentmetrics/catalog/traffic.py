@@ -11,7 +11,7 @@ from ..plans import classify, sessions_a, sessions_b, sessions_c
 from ..sources import lines, logs_a, logs_b
 from ..session import durable
 from . import adapters as D
-from .registry import Tables, query
+from .registry import SQL, Tables, query
 
 A = "WITH " + D.LOG_A_SQL
 B = "WITH " + D.LOG_B_SQL
@@ -556,7 +556,20 @@ def all_classes(t: Tables) -> DataFrame:
     return classify.classify_all(sessions, c_tools(t), a["units"], a["tools"], a["files"])
 
 
-@query("q_class_summary")
+def summary_sql(unit: str, labelled: str) -> str:
+    return f"""SELECT '{unit}' AS unit, count(*) AS records, count(*) FILTER (task_type IS NULL) AS unclassified,
+  count(*) FILTER (task_type IS NULL) / count(*) AS unclassified_share FROM ({labelled})"""
+
+
+BY_RULE = f"SELECT {VERDICT_SQL} FROM (SELECT *, {RULE_SQL} AS rule_id FROM fe)"
+
+
+@query("q_class_summary", " UNION ALL ".join([
+    summary_sql("prompt", A + "," + UNIT_SQL + "," + features_sql("sid, turn", "") + BY_RULE),
+    summary_sql("segment", RECURSIVE_A + "," + UNIT_SQL + "," + SEGMENT_SQL.replace(
+        f"> {GAP}", "> 1800000") + "," + SEGMENT_FEATURES + BY_RULE),
+    summary_sql("session", f"""SELECT task_type FROM ({A + "," + UNIT_SQL + "," + features_sql("sid", "") + BY_RULE})
+      UNION ALL SELECT task_type FROM ({SQL["q_rules_fallback"]})""")]))
 def class_summary(t: Tables) -> DataFrame:
     """Labels at all grains, counted. The gap is the 30 minutes of the rule set."""
     return classify.summary(all_classes(t))
