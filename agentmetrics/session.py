@@ -35,7 +35,7 @@ def build_session(app: str = "agentmetrics", master: str | None = None,
 
 def use_utc(spark: SparkSession) -> SparkSession:
     """All timestamps are UTC instants; zone-less input is read as UTC."""
-    if spark.conf.get("spark.sql.session.timeZone", "") != "UTC":
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 

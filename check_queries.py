@@ -4,9 +4,9 @@ import sys
 import time
 
 import duckdb
+from pyspark.sql import SparkSession
 
 from agentmetrics.catalog import QUERIES, SQL
-from agentmetrics.session import build_session
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
@@ -25,7 +25,10 @@ def norm(v):
 def main():
     sf, names = sys.argv[1], sys.argv[2:] or list(QUERIES)
     folder = f"/root/testdata/sf{sf}"
-    spark = build_session("check", master="local[8]", shuffle_partitions=8, **{"spark.driver.memory": "8g"})
+    # deliberately plain settings: queries must not depend on build_session
+    spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
+             .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+             .config("spark.driver.memory", "4g").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
