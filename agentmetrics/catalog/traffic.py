@@ -397,10 +397,9 @@ SELECT user_id, epoch_us(min(ts)) // 1000 AS first_ms, epoch_us(max(ts)) // 1000
       THEN 0 ELSE 1 END AS brk FROM events)) GROUP BY user_id, grp""")
 def session_window(t: Tables) -> DataFrame:
     """Gap-only segments in batch. A gap of exactly the limit stays inside."""
-    w = F.session_window("ts", "21600 seconds")
-    return (t.events.groupBy("user_id", w).agg(
-        F.unix_millis(F.min("ts")).alias("first_ms"), F.unix_millis(F.max("ts")).alias("last_ms"),
-        F.count("*").alias("n")).drop("session_window"))
+    runs = segment.gap_sessions(t.events, "user_id", "ts", "event_id", GAP)
+    return runs.select("user_id", F.unix_millis("first_at").alias("first_ms"),
+                       F.unix_millis("last_at").alias("last_ms"), "n")
 
 
 # -- features and labels ----------------------------------------------------------------------------

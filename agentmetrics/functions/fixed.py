@@ -121,6 +121,3 @@ CLASSIFIER_VERSION = "rules-0.1.1"
 TAXONOMY_VERSION = "0.1.0"
 SEGMENTER_VERSION = "0.1.0"
 TASK_CLASS_SCHEMA_VERSION = "0.1.0"
-
-# -- link methods of session-to-outcome edges, strongest first ------------------------
-# (filled from the trace contract; see plans/trace.py)

@@ -1,12 +1,10 @@
-"""Keyed picks and joins: one row per key without a window, and checked broadcasts."""
+"""Keyed picks: one row or value per key without a window."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 100_000
-
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str],
                   keep: list[str] | None = None) -> DataFrame:
@@ -38,18 +36,5 @@ def final(value: Column, position: Column) -> Column:
     return F.max_by(value, F.when(value.isNotNull(), position))
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; reads no more than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def join_dimension(facts: DataFrame, dimension: DataFrame, on, how: str = "left",
-                   max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a table expected to be small: broadcast if its counted size allows,
-    else leave the shuffle join to the optimizer."""
-    side = F.broadcast(dimension) if is_small(dimension, max_rows) else dimension
-    return facts.join(side, on, how)
-
-
 def count_if(condition: Column) -> Column:
     return F.count(F.when(condition, F.lit(1)))

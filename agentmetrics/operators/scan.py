@@ -13,8 +13,6 @@ key columns only), so ordinary data keeps the plain single-window plan.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -166,7 +164,3 @@ def asof(probes: DataFrame, facts: DataFrame, keys: list[str], probe_at: str, fa
                       {"__seen": latest(F.col("__fact"))}, limit=limit)
     return scanned.where(F.col("__kind") == 1).select(
         "__probe.*", *[F.col(f"__seen.{n}").alias(n) for n in take])
-
-
-def conjunction(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

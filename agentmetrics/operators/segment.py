@@ -177,5 +177,23 @@ def segments(assigned: DataFrame, keys: list[str]) -> DataFrame:
         F.min_by("opened_by", TURN).alias("opened_by"), F.count("*").alias("n_units"))
 
 
+def gap_sessions(events: DataFrame, key: str, at: str, tie: str, gap_ms: int,
+                 limit: int = ROWS_PER_BLOCK) -> DataFrame:
+    """Runs of one key's events without an idle gap above the limit.
+
+    The batch form of a session window. Being two ordered scans, it also holds
+    for a key with more events than a task should sort.
+    """
+    top, _ = rows_per_key(events, [key])
+    slim = events.select(key, at, tie)
+    step = running(slim, [key], [at, tie], {"before": latest_before(F.col(at))}, limit=limit, top=top)
+    idle = F.unix_micros(at) - F.unix_micros("before")
+    opens = F.col("before").isNull() | (idle > gap_ms * 1000)
+    runs = running(step.withColumn("opens", opens), [key], [at, tie],
+                   {"run": running_sum(F.col("opens").cast("int"))}, limit=limit, top=top)
+    return runs.groupBy(key, "run").agg(
+        F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.count("*").alias("n")).drop("run")
+
+
 def segment_id(session_id, segment_no):
     return F.concat(F.substring(session_id, 1, 8), F.lit("-seg"), segment_no.cast("string"))
