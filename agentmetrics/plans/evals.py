@@ -75,8 +75,9 @@ def in_scope(sessions: DataFrame, classes: DataFrame, task_type: str) -> DataFra
 def lead_tier(sessions: DataFrame, tiers: DataFrame, list_col: str = "model_list") -> DataFrame:
     """Attach the tier of the first model in the list that has one."""
     from ..operators.prefix import first_in_list
-    known = pricing.tier_of(sessions.select(F.explode(list_col).alias("m")), "m", tiers)
-    by_list = first_in_list(sessions, list_col, known, "tier").withColumnRenamed("ids", list_col)
+    lists = sessions.select(list_col).distinct()
+    known = pricing.tier_of(lists.select(F.explode(list_col).alias("m")), "m", tiers)
+    by_list = first_in_list(lists, list_col, known, "tier").withColumnRenamed("ids", list_col)
     return sessions.join(by_list, list_col, "left")
 
 
@@ -87,7 +88,8 @@ def overspend(tiered_sessions: DataFrame, sheet: DataFrame, mid_model: str) -> D
     rated = pricing.with_rates(tiered_sessions, sheet, suffix="_own")
     rated = rated.withColumn("own", pricing.session_price("_own"))
     mid = rated.withColumn("mid_list", F.array(F.lit(mid_model)))
-    mid = pricing.with_rates(mid, sheet, "mid_list", "_mid").withColumn(
+    one = sheet.select(F.array(F.lit(mid_model)).alias("mid_list"))
+    mid = pricing.with_rates(mid, sheet, "mid_list", "_mid", one).withColumn(
         "mid", pricing.session_price("_mid"))
     tokens = F.coalesce(*[F.col(b) for b in fixed.TOKEN_BUCKETS]).isNotNull()
     over = (F.col("tier") == "frontier") & F.col("own").isNotNull() & F.col("mid").isNotNull()

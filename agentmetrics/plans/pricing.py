@@ -67,16 +67,18 @@ def dominant_models(model_rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def with_rates(sessions: DataFrame, sheet: DataFrame, list_col: str = "model_list",
-               suffix: str = "") -> DataFrame:
+               suffix: str = "", lists_of: DataFrame | None = None) -> DataFrame:
     """Attach the rates of the first model in the list that the sheet knows.
 
     Distinct model lists are resolved once and joined back, so sessions move
     once at most (not at all when the resolved table is small enough for
-    adaptive execution to broadcast it).
+    adaptive execution to broadcast it). ``lists_of`` names a cheaper table that
+    holds the same lists, such as the sessions before an earlier attachment.
     """
-    ids = sessions.select(F.explode(list_col).alias("id"))
-    keyed = match_prefix(ids, "id", sheet, "model_key", "ordinal")
-    resolved = first_in_list(sessions, list_col, keyed, "matched").join(
+    lists = (lists_of if lists_of is not None else sessions).select(list_col).distinct()
+    keyed = match_prefix(lists.select(F.explode(list_col).alias("id")), "id", sheet,
+                         "model_key", "ordinal")
+    resolved = first_in_list(lists, list_col, keyed, "matched").join(
         sheet.select(F.col("model_key").alias("matched"),
                      *[F.col(r).alias(f"rate_{r}{suffix}") for r in fixed.RATES]), "matched")
     return (sessions.join(resolved.withColumnRenamed("ids", list_col)
@@ -207,7 +209,7 @@ def effective_version(sessions: DataFrame, sheets: DataFrame, at: str) -> DataFr
 
 
 def with_dated_rates(sessions: DataFrame, sheets: DataFrame, list_col: str = "model_list",
-                     suffix: str = "") -> DataFrame:
+                     suffix: str = "", lists_of: DataFrame | None = None) -> DataFrame:
     """As ``with_rates``, each session by the sheet of its own pricing_version.
 
     The version becomes part of the id and of the key, so one prefix lookup
@@ -216,9 +218,10 @@ def with_dated_rates(sessions: DataFrame, sheets: DataFrame, list_col: str = "mo
     def tagged(name: Column) -> Column:
         return F.concat(F.col("pricing_version"), F.lit("\x01"), name)
 
-    dated = sessions.withColumn("__ids", F.transform(list_col, tagged))
+    ids = F.transform(list_col, tagged)
+    source = (lists_of if lists_of is not None else sessions).select(ids.alias("__ids"))
     keyed = sheets.withColumn("model_key", tagged(F.col("model_key")))
-    return with_rates(dated, keyed, "__ids", suffix).drop("__ids")
+    return with_rates(sessions.withColumn("__ids", ids), keyed, "__ids", suffix, source).drop("__ids")
 
 
 def landed_price_list(lines: DataFrame) -> DataFrame:

@@ -60,7 +60,7 @@ def verified_savings(sessions: DataFrame, sheets: DataFrame, at: str,
     dated = pricing.effective_version(sessions, sheets, at)
     own = pricing.with_dated_rates(dated, sheets, "model_list", "_own").withColumn(
         "actual_cost", pricing.session_price("_own"))
-    both = pricing.with_dated_rates(own, sheets, baseline_list, "_base").withColumn(
+    both = pricing.with_dated_rates(own, sheets, baseline_list, "_base", dated).withColumn(
         "baseline_cost", pricing.session_price("_base"))
     return both.select(*sessions.columns, "pricing_version", "actual_cost", "baseline_cost",
                        (F.col("baseline_cost") - F.col("actual_cost")).alias("saving"))
