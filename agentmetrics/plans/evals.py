@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import fixed
 from ..operators.keyed import count_if, last_per_key
+from ..session import durable
 from . import pricing
 
 MAX_SIGNATURES = 100_000
@@ -78,7 +79,7 @@ def lead_tier(sessions: DataFrame, tiers: DataFrame, list_col: str = "model_list
     lists = sessions.select(list_col).distinct()
     known = pricing.tier_of(lists.select(F.explode(list_col).alias("m")), "m", tiers)
     by_list = first_in_list(lists, list_col, known, "tier").withColumnRenamed("ids", list_col)
-    return sessions.join(by_list, list_col, "left")
+    return sessions.join(durable(by_list), list_col, "left")
 
 
 def overspend(tiered_sessions: DataFrame, sheet: DataFrame, mid_model: str) -> DataFrame:

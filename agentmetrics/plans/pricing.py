@@ -15,6 +15,7 @@ from ..functions import columns as C
 from ..functions import fixed
 from ..operators.prefix import first_in_list, match_prefix
 from ..operators.scan import asof
+from ..session import durable
 from ..sources import variant as V
 
 MILLION = 1_000_000
@@ -70,9 +71,9 @@ def with_rates(sessions: DataFrame, sheet: DataFrame, list_col: str = "model_lis
                suffix: str = "", lists_of: DataFrame | None = None) -> DataFrame:
     """Attach the rates of the first model in the list that the sheet knows.
 
-    Distinct model lists are resolved once and joined back, so sessions move
-    once at most (not at all when the resolved table is small enough for
-    adaptive execution to broadcast it). ``lists_of`` names a cheaper table that
+    Distinct model lists are resolved once and landed, so the join back is
+    planned by the real size of that table: broadcast while it is small, which
+    keeps sessions where they are, and a shuffle join beyond. ``lists_of`` names a cheaper table that
     holds the same lists, such as the sessions before an earlier attachment.
     """
     lists = (lists_of if lists_of is not None else sessions).select(list_col).distinct()
@@ -81,8 +82,9 @@ def with_rates(sessions: DataFrame, sheet: DataFrame, list_col: str = "model_lis
     resolved = first_in_list(lists, list_col, keyed, "matched").join(
         sheet.select(F.col("model_key").alias("matched"),
                      *[F.col(r).alias(f"rate_{r}{suffix}") for r in fixed.RATES]), "matched")
-    return (sessions.join(resolved.withColumnRenamed("ids", list_col)
-                          .withColumnRenamed("matched", f"priced_as{suffix}"), list_col, "left"))
+    table = durable(resolved.withColumnRenamed("ids", list_col)
+                    .withColumnRenamed("matched", f"priced_as{suffix}"))
+    return sessions.join(table, list_col, "left")
 
 
 def session_price(suffix: str = "") -> Column:

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import types as T
 
 from agentmetrics.operators import scan
-from agentmetrics.operators.segment import _summary, _through, _walk, assign_segments, segments
+from agentmetrics.operators.segment import (
+    _summary, _through, _walk, assign_segments, gap_sessions, segments)
 from tests.conftest import rows
 from pyspark.sql import functions as F
 
@@ -135,3 +136,13 @@ def test_asof(spark):
         got = {r["id"]: r["snap"] for r in rows(scan.asof(
             probes, facts, ["repo"], "at", "at", {"snap": "sha"}, tie="sha", limit=limit))}
         assert got == {1: None, 2: "a", 3: "c", 4: "c", 5: None}
+
+
+def test_gap_sessions_in_blocks(spark):
+    rng = random.Random(2)
+    data = [(f"k{rng.choice([0, 0, 0, 1])}", i * rng.choice([1, 1, 9]), i) for i in range(200)]
+    df = spark.createDataFrame(data, "k string, s long, id long").select(
+        "k", F.timestamp_seconds("s").alias("at"), "id")
+    want = rows(gap_sessions(df, "k", "at", "id", 5_000), "k", "first_at")
+    assert rows(gap_sessions(df, "k", "at", "id", 5_000, limit=15), "k", "first_at") == want
+    assert sum(r["n"] for r in want) == 200 and len(want) > 4
