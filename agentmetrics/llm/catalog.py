@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
-from .common import table
+from . import exact_dedup, piece_encoding
+from .common import table, tokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -34,3 +34,8 @@ ranked AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM ranked""")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, folder, "documents"))
+
+
+@query("op4_piece_encoding")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return piece_encoding.encode_table(table(spark, folder, "documents"), tokenizer("piece_bpe_32k.model"))

@@ -15,6 +15,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """Where this machine keeps a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def whole_text(col: str = "text") -> Column:
     """The text as it is; null counts as empty."""
     return F.coalesce(F.col(col), F.lit(""))
