@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, piece_encoding
+from . import exact_dedup, piece_encoding, simhash
 from .common import table, tokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +39,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_piece_encoding")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return piece_encoding.encode_table(table(spark, folder, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+@query("op7_simhash")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_groups(table(spark, folder, "documents"))
