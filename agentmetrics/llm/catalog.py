@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, piece_encoding, simhash, vector_search
+from . import exact_dedup, mixing, piece_encoding, simhash, url_filter, vector_search
 from .common import table, tokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,13 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM scored QUALIFY rank <= 5""")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return vector_search.top_k(table(spark, folder, "embeddings"))
+
+
+@query("op1_mixing", mixing.mix_sql())
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_table(table(spark, folder, "documents"))
+
+
+@query("op3_url_filter")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judged(table(spark, folder, "pages"))
