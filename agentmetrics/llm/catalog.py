@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, piece_encoding, simhash, url_filter, vector_search
+from . import exact_dedup, mixing, piece_encoding, quality, simhash, url_filter, vector_search
 from .common import table, tokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,8 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_url_filter")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judged(table(spark, folder, "pages"))
+
+
+@query("op8_quality")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.select(table(spark, folder, "documents"), table(spark, folder, "labels"))

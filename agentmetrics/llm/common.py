@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +50,13 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     light = groups.where(F.col(size) < F.lit(max(2.0, total * HEAVY_SHARE)))
     rest = rows.join(heavy.select(key), key, "left_anti")
     return rows.join(heavy, key).unionByName(rest.join(light, key))
+
+
+def stretches(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """A long text in parts of about ``size`` bytes that end at white space where they can."""
+    at = 0
+    while len(data) - at > size:
+        cut = max(data.rfind(b" ", at, at + size), data.rfind(b"\n", at, at + size)) + 1
+        yield data[at:cut or at + size]
+        at = cut or at + size
+    yield data[at:]
