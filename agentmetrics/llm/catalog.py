@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, piece_encoding, quality, simhash, url_filter, vector_search
+from . import (
+    exact_dedup, language_id, mixing, piece_encoding, quality, simhash, url_filter, vector_search)
 from .common import table, tokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +75,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_quality")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return quality.select(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify(table(spark, folder, "documents"), tokenizer("piece_bpe_32k.model"))
