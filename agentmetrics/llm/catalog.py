@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    exact_dedup, language_id, mixing, piece_encoding, quality, simhash, url_filter, vector_search)
+    exact_dedup, language_id, mixing, piece_encoding, quality, simhash, toxicity, url_filter, vector_search)
 from .common import table, tokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_language_id")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify(table(spark, folder, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import durable
+
 #: A table is broadcast only if its rows, at this many bytes each, stay under the limit.
 BROADCAST_BYTES = 64 << 20
 #: Keys with at least this share of all rows are joined as heavy ones; there are at most 1/share.
@@ -60,3 +62,22 @@ def stretches(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
         yield data[at:cut or at + size]
         at = cut or at + size
     yield data[at:]
+
+
+def labelled_sample(labels: DataFrame, label: str, rows: int, among: Column | None = None) -> DataFrame:
+    """(_id, _label): at most ``rows`` ids of each class 0 and 1, lowest hash of the id first.
+
+    Null ids and labels are left out; of several labels of an id the lowest counts.
+    """
+    known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label"),
+                          (F.lit(True) if among is None else among).alias("_among")) \
+        .where("_among AND _id IS NOT NULL AND _label IN (0, 1)").groupBy("_id").agg(F.min("_label").alias("_label"))
+    known = durable(known.withColumn("_order", F.xxhash64("_id")))
+    parts = [known.where(F.col("_label") == c).orderBy("_order", "_id").limit(rows) for c in (0, 1)]
+    return durable(parts[0].unionByName(parts[1]).select("_id", "_label"))
+
+
+def with_label(docs: DataFrame, sample: DataFrame, text: str, doc_id: str, how: str = "left") -> DataFrame:
+    """(_id, _text, _label) of documents; a label outside the bounded sample is null."""
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+    return rows.join(F.broadcast(sample), "_id", how).select("_id", "_text", "_label")

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
-from .common import maybe_broadcast, stretches, whole_text
+from .common import labelled_sample, maybe_broadcast, stretches, whole_text, with_label
 
 BUCKETS = 10_000
 SAMPLE_ROWS = 50_000
@@ -58,21 +58,6 @@ def grams(text: str, buckets: int = BUCKETS) -> Iterator[np.ndarray]:
         yield (np.concatenate([hashes, pairs]) % np.uint64(buckets)).astype(np.int64)
 
 
-def sample_of(labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(_id, _label): at most ``rows`` labelled ids of each class."""
-    known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label")) \
-        .where("_id IS NOT NULL AND _label IN (0, 1)").groupBy("_id").agg(F.min("_label").alias("_label"))
-    known = durable(known.withColumn("_order", F.xxhash64("_id")))
-    parts = [known.where(F.col("_label") == c).orderBy("_order", "_id").limit(rows) for c in (0, 1)]
-    return durable(parts[0].unionByName(parts[1]).select("_id", "_label"))
-
-
-def with_label(docs: DataFrame, sample: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(_id, _text, _label) of all documents; the label is null outside the sample."""
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
-    return rows.join(F.broadcast(sample), "_id", "left").select("_id", "_text", "_label")
-
-
 def log_ratios(rows: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """Per bucket the log of its share in target texts over that in all texts."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +144,7 @@ def kth_greatest(keys: DataFrame, k: int) -> int | None:
 def weighted(docs: DataFrame, labels: DataFrame, seed: int = 0, text: str = "text", doc_id: str = "doc_id",
              k: int | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Per row: _id, _sum, _label, _weight, _key (weight and noise) and _selected."""
-    rows = with_label(docs, sample_of(labels, "quality", sample_rows), text, doc_id)
+    rows = with_label(docs, labelled_sample(labels, "quality", sample_rows), text, doc_id)
     bound = float(1 << 40)
     key = F.floor(F.greatest(F.lit(-bound), F.least(F.lit(bound), F.col("_weight") + gumbel("_id", seed))) * STEPS)
     scored = durable(with_weight(rows, log_ratios(rows)).withColumn("_key", key))
