@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    exact_dedup, language_id, mixing, piece_encoding, quality, simhash, toxicity, url_filter, vector_search)
+    exact_dedup, language_id, mixing, pii, piece_encoding, quality, simhash, toxicity, url_filter,
+    vector_search)
 from .common import table, tokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +86,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_toxicity")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op10_pii")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find(table(spark, folder, "documents"))

@@ -37,13 +37,15 @@ from .common import join_groups, maybe_broadcast, whole_text
 from .components import components
 
 RADIUS = 3
+#: Words of a shingle.
+WIDTH = 3
 BLOCKS = (13, 13, 13, 13, 12)
 TILE = 4096
 SHINGLES_AT_ONCE = 1 << 16
 COUNTERS = (RADIUS + 1).bit_length() - 1  # planes; RADIUS + 1 is a power of two
 
 
-def fingerprint(text: str, width: int = 3) -> bytes:
+def fingerprint(text: str, width: int = WIDTH) -> bytes:
     """Eight bytes, most significant first. Upper-case A-Z count as lower case."""
     words = text.encode().lower().split()
     if not words:
@@ -60,13 +62,13 @@ def fingerprint(text: str, width: int = 3) -> bytes:
     return np.packbits(counts * 2 > number).tobytes()
 
 
-def with_fingerprint(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def with_fingerprint(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH) -> DataFrame:
     """(_id, _sum, _print): id, a checksum of the text, fingerprint as a signed number."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = b"".join(fingerprint(text.as_py() or "") for text in batch.column(2))
+            found = b"".join(fingerprint(text.as_py() or "", width) for text in batch.column(2))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(np.frombuffer(found, ">i8").astype(np.int64))],
                 ["_id", "_sum", "_print"])
@@ -195,9 +197,9 @@ def links(distinct: DataFrame, tile: int = TILE) -> DataFrame:
         link_buckets, "a long, b long")
 
 
-def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH) -> DataFrame:
     """Per row: _id, _sum, _print and _component."""
-    rows = durable(with_fingerprint(docs, text, doc_id))
+    rows = durable(with_fingerprint(docs, text, doc_id, width))
     distinct = durable(rows.groupBy("_print").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_n")))
     roots = durable(components(durable(links(distinct))))
     placed = distinct.join(roots.select(F.col("node").alias("_print"), F.col("root").alias("_root")), "_print", "left") \
@@ -210,20 +212,20 @@ def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     return join_groups(rows, durable(named), "_print", "_n", rows.count())
 
 
-def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH) -> DataFrame:
     """One row per document: doc_id, fingerprint, component_id."""
-    return grouped(docs, text, doc_id).select(
+    return grouped(docs, text, doc_id, width).select(
         F.col("_id").alias("doc_id"), F.lower(F.lpad(F.hex("_print"), 16, "0")).alias("fingerprint"),
         F.col("_component").alias("component_id"))
 
 
-def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH) -> DataFrame:
     """The row with the smallest id of each component, with its own columns.
 
     Rows are dropped by a join with the narrow table of those that go, so kept texts
     are not grouped. Should a smallest id have several rows, one of them stays.
     """
-    rows = durable(grouped(docs, text, doc_id))
+    rows = durable(grouped(docs, text, doc_id, width))
     choice = rows.where(F.col("_id").eqNullSafe(F.col("_component"))).groupBy("_id", "_sum", "_component").agg(
         F.count(F.lit(1)).alias("_n"))
     several = choice.groupBy("_component").agg(F.sum("_n").alias("_n")).where("_n > 1").select("_component")
