@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.scan import asof
+from ..operators.scan import asof, latest, latest_before, running, running_sum
 from ..plans import mining, outcomes
 from ..session import durable
 from . import adapters as D
@@ -49,6 +49,24 @@ def asof_snapshot(t: Tables) -> DataFrame:
                 tie="o_orderkey").drop("target")
 
 
+@query("q_running_blocks", """
+WITH o AS (SELECT nullif(o_orderpriority, '5-LOW') AS lane, o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS price,
+  CASE WHEN o_orderstatus = 'P' THEN o_orderkey END AS mark FROM orders)
+SELECT o_orderkey, CAST(sum(price) OVER w AS BIGINT) AS spent, last_value(mark IGNORE NULLS) OVER w AS last_mark,
+  last_value(mark IGNORE NULLS) OVER (PARTITION BY lane ORDER BY o_orderkey
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark_before
+FROM o WINDOW w AS (PARTITION BY lane ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)""")
+def running_blocks(t: Tables) -> DataFrame:
+    """Running values in blocks of at most a thousand rows, one key being null."""
+    o = t.orders.select(F.expr("nullif(o_orderpriority, '5-LOW')").alias("lane"), "o_orderkey",
+                        F.floor("o_totalprice").cast("long").alias("price"),
+                        F.when(F.col("o_orderstatus") == "P", F.col("o_orderkey")).alias("mark"))
+    return running(o, ["lane"], ["o_orderkey"], {
+        "spent": running_sum(F.col("price")), "last_mark": latest(F.col("mark")),
+        "mark_before": latest_before(F.col("mark"))}, limit=1000).select(
+        "o_orderkey", "spent", "last_mark", "mark_before")
+
+
 @query("q_survival", GIT + """
 SELECT repo, sha, days AS horizon_days, status, lines_original,
   CASE WHEN status = 'measured' THEN kept END AS lines_surviving,
@@ -71,8 +89,8 @@ pr AS (SELECT DISTINCT rw.repo, rw.sha, t.sha AS other, t.tm AS t_at FROM rw
   JOIN fl t ON t.repo = f.repo AND t.path = f.path AND NOT t.is_merge
     AND t.tm >= rw.tm + INTERVAL 1 SECOND AND t.tm <= rw.target_at AND t.sha <> rw.sha
   WHERE rw.lines_reworked > 0)
-SELECT repo, sha, other AS rework_sha, nth FROM (SELECT *, row_number() OVER (
-  PARTITION BY repo, sha ORDER BY t_at DESC, other DESC) AS nth FROM pr) WHERE nth <= 20""")
+SELECT repo, sha, other AS rework_sha, row_number() OVER (PARTITION BY repo, sha ORDER BY t_at DESC, other DESC) AS nth,
+  count(*) OVER (PARTITION BY repo, sha) AS "of" FROM pr""")
 def rework_commits(t: Tables) -> DataFrame:
     commits, lines, measured = facts(t)
     measured = durable(measured)
@@ -130,42 +148,52 @@ def reverts(t: Tables) -> DataFrame:
 
 
 def members(commits: DataFrame) -> DataFrame:
-    """Commits a merge brought in: here those of the same repo and second."""
-    merged = outcomes.merge_numbers(commits).join(commits.select("repo", "sha", "at"), ["repo", "sha"])
-    same = merged.groupBy("repo", "at").agg(F.max("pr_number").alias("pr_number"))
-    return commits.where(~F.col("is_merge")).select("repo", "sha", "at").join(same, ["repo", "at"]).drop("at")
+    """Commits a merge brought in: here those of the same repo up to a week older,
+    so that a commit may come in by several merges."""
+    merges = outcomes.merge_numbers(commits).withColumnRenamed("sha", "merge_sha").withColumn(
+        "day", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn(
+        "at", F.col("merged_at") - F.make_dt_interval("day"))
+    return commits.where(~F.col("is_merge")).select("repo", "sha", "at").join(
+        merges.select("repo", "at", "merge_sha", "merged_at", "pr_number"), ["repo", "at"]).drop("at")
 
 
 @query("q_pr_numbers", GIT + """
-, mg AS (SELECT repo, tm, max(o_orderkey) AS pr FROM co WHERE is_merge GROUP BY repo, tm)
+, mg AS (SELECT c.repo, c.sha, min(struct_pack(tm := m.tm, s := m.sha, pr := m.o_orderkey)).pr AS pr
+  FROM co c JOIN co m ON m.is_merge AND m.repo = c.repo AND m.tm >= c.tm AND m.tm <= c.tm + INTERVAL 7 DAY
+  WHERE NOT c.is_merge GROUP BY c.repo, c.sha)
 SELECT co.repo, co.sha, coalesce(mg.pr, CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderkey END) AS pr_number
-FROM co LEFT JOIN mg ON co.repo = mg.repo AND co.tm = mg.tm WHERE NOT is_merge""")
+FROM co LEFT JOIN mg ON co.repo = mg.repo AND co.sha = mg.sha WHERE NOT is_merge""")
 def pr_numbers(t: Tables) -> DataFrame:
+    """The first of the merges that brought a commit in names its PR."""
     commits = durable(D.commits(t))
-    kept, _ = outcomes.newest_commits(commits, cap=None)
+    kept, _ = outcomes.newest_commits(commits)
     return outcomes.pull_requests(kept, members(commits))
 
 
 def scores(t: Tables) -> DataFrame:
-    """Vendor scores of orders above a price; the dearest lack the counts."""
+    """Vendor scores of orders above a price, of some on two branches; the dearest
+    lack the counts."""
     price = F.floor("o_totalprice").cast("long")
     known = F.col("o_totalprice") < 400_000
-    return t.orders.where("o_totalprice > 250000").select(
-        F.sha1(F.col("o_orderkey").cast("string")).alias("sha"), F.when(known, price % 10).alias("tab"),
+    branch = F.explode(F.when(price % 5 == 0, F.array(F.lit("main"), F.lit("topic"))).otherwise(F.array(F.lit("main"))))
+    return t.orders.where("o_totalprice > 250000").withColumn("branch", branch).select(
+        F.sha1(F.col("o_orderkey").cast("string")).alias("sha"), "branch",
+        F.when(known, price % 10 + F.when(F.col("branch") == "topic", 1).otherwise(0)).alias("tab"),
         (price % 7).alias("composer"), (price % 4).alias("human"),
         F.when(price % 3 == 0, "1").alias("v1"), F.when(price % 2 == 0, "2").alias("v2"))
 
 
 ATTRIBUTION_SQL = """, sc AS (SELECT sha1(CAST(o_orderkey AS VARCHAR)) AS sha, CAST(floor(o_totalprice) AS BIGINT) AS p,
+    CASE WHEN CAST(floor(o_totalprice) AS BIGINT) % 5 = 0 THEN 1 ELSE 0 END AS x,
     o_totalprice < 400000 AS known FROM orders WHERE o_totalprice > 250000),
 ab AS (SELECT co.repo, co.sha, co.tm,
     CASE WHEN known THEN 'known' WHEN sc.sha IS NOT NULL OR (NOT is_merge AND o_orderpriority = '2-HIGH')
       THEN 'partial' ELSE 'unknown' END AS status,
     CASE WHEN sc.sha IS NOT NULL THEN 'vendor_tracking_db' WHEN o_orderpriority = '2-HIGH' THEN 'self_report'
       ELSE 'none' END AS evidence_source,
-    CASE WHEN known THEN p % 10 + p % 7 END AS ai_lines, CASE WHEN known THEN p % 4 END AS human_lines,
-    CASE WHEN known AND p % 10 + p % 7 + p % 4 > 0
-      THEN round_even((p % 10 + p % 7) / (p % 10 + p % 7 + p % 4), 4) END AS ai_fraction,
+    CASE WHEN known THEN p % 10 + x + p % 7 END AS ai_lines, CASE WHEN known THEN p % 4 END AS human_lines,
+    CASE WHEN known AND p % 10 + x + p % 7 + p % 4 > 0
+      THEN round_even((p % 10 + x + p % 7) / (p % 10 + x + p % 7 + p % 4), 4) END AS ai_fraction,
     CASE WHEN known THEN CASE WHEN p % 2 = 0 THEN 'v2' WHEN p % 3 = 0 THEN 'v1' END END AS vendor_score_version
   FROM co LEFT JOIN sc ON co.sha = sc.sha WHERE NOT is_merge)"""
 

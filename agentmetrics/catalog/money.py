@@ -119,16 +119,21 @@ def headline(t: Tables) -> DataFrame:
 
 
 @query("q_largest_groups", PRICED_SQL + """
-SELECT key, input + output + cache_read + cache_creation AS total_tokens FROM ru
-WHERE dimension = 'project' ORDER BY total_tokens DESC, key LIMIT 14""")
+, lg AS (SELECT key, input + output + cache_read + cache_creation AS total_tokens,
+    row_number() OVER (ORDER BY input + output + cache_read + cache_creation DESC, key) AS nth
+  FROM ru WHERE dimension = 'project')
+SELECT CASE WHEN nth <= 14 THEN key ELSE 'rest' END AS key, sum(total_tokens) AS total_tokens, count(*) AS groups
+FROM lg GROUP BY 1""")
 def largest_groups(t: Tables) -> DataFrame:
-    return spend.largest_groups(spend.rollup(priced(t)), "project").select("key", "total_tokens")
+    return spend.largest_groups(spend.rollup(priced(t)), "project", 14)
 
 
 @query("q_first_days", PRICED_SQL + """
-SELECT key, sessions, cost_x1000 FROM ru WHERE dimension = 'day' ORDER BY key LIMIT 100""")
+, dy AS (SELECT key, sessions, cost_x1000, row_number() OVER (ORDER BY key) AS nth FROM ru WHERE dimension = 'day')
+SELECT CASE WHEN nth <= 100 THEN key ELSE 'rest' END AS key, CAST(sum(sessions) AS BIGINT) AS sessions,
+  CAST(sum(cost_x1000) AS BIGINT) AS cost_x1000, count(*) AS groups FROM dy GROUP BY 1""")
 def first_days(t: Tables) -> DataFrame:
-    return spend.first_days(spend.rollup(priced(t))).select("key", "sessions", "cost_x1000")
+    return spend.first_days(spend.rollup(priced(t)), 100)
 
 
 @query("q_coverage", PRICED_SQL + """
@@ -462,7 +467,7 @@ def label_pairs(t: Tables) -> DataFrame:
                                              ["junk", "toxic", "good", None]).alias("task_type"))
     n = F.col("n_chars")
     rule = F.when(n < 200, "junk").when(n < 1000, "good").when(n < 5000, F.lit(None)).otherwise("toxic")
-    predicted = t.documents.where("lang <> 'fr'").select(
+    predicted = t.documents.select(
         "doc_id", rule.cast("string").alias("task_type"), F.lit("len").alias("rule_id"),
         F.lit(0).alias("written"))
     return agreement.match_labels(human, predicted, ["doc_id"], ["written"])
@@ -473,7 +478,7 @@ WITH mt AS (SELECT l.doc_id, coalesce(CASE quality * 2 + toxic WHEN 0 THEN 'junk
     'unclassified') AS human, d.doc_id IS NOT NULL AS matched,
     CASE WHEN d.doc_id IS NOT NULL THEN coalesce(CASE WHEN n_chars < 200 THEN 'junk' WHEN n_chars < 1000 THEN 'good'
       WHEN n_chars < 5000 THEN NULL ELSE 'toxic' END, 'unclassified') END AS ours
-  FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id AND d.lang <> 'fr'),
+  FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id),
 ct AS (SELECT human, ours, count(*) AS n FROM mt WHERE matched GROUP BY ALL),
 tt AS (SELECT sum(n) AS n, sum(n) FILTER (human = ours) AS agree FROM ct)
 """
@@ -514,9 +519,12 @@ def prf(t: Tables) -> DataFrame:
 
 
 @query("q_confusions", PAIRS_SQL + """
-SELECT human, ours, n FROM ct WHERE human <> ours ORDER BY n DESC, human, ours LIMIT 8""")
+, cf AS (SELECT human, ours, n, row_number() OVER (ORDER BY n DESC, human, ours) AS nth FROM ct WHERE human <> ours)
+SELECT CASE WHEN nth <= 4 THEN human ELSE 'rest' END AS human, CASE WHEN nth <= 4 THEN ours ELSE 'rest' END AS ours,
+  CAST(sum(n) AS BIGINT) AS n FROM cf GROUP BY 1, 2""")
 def confusions(t: Tables) -> DataFrame:
-    return agreement.confusions(counts(t), [], 8)
+    """The four most frequent pairs and the rest."""
+    return agreement.confusions(counts(t), [], 4)
 
 
 # -- savings and verdicts ---------------------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -127,7 +127,9 @@ SELECT sid, line_no, 'malformed JSON line' AS reason FROM (
   SELECT *, row_number() OVER (PARTITION BY sid ORDER BY event_id) AS line_no FROM ev)
 WHERE event_type = 'signup' AND k % 4 = 2""")
 def rejects(t: Tables) -> DataFrame:
-    return with_sid(lines.rejects(D.log_a(t)))
+    in_block = Window.partitionBy("path", "split").orderBy("pos")
+    numbered = D.log_a(t).withColumn("pos", F.row_number().over(in_block).cast("long"))  # as read_lines gives it
+    return with_sid(lines.rejects(numbered))
 
 
 UNIT_SQL = f"""
@@ -552,7 +554,10 @@ def all_classes(t: Tables) -> DataFrame:
     a = a_tables(t)
     sessions = sessions_c.sessions(headers_c(t), attributions_c(t), D.SALT).withColumn(
         "interrupted_tool_calls", F.lit(None).cast("long"))
-    return classify.classify_all(sessions, c_tools(t), a["units"], a["tools"], a["files"])
+    # one population: the sessions of the logs with units, and the header sessions without
+    logged = a["units"].select("session_id").distinct()
+    return classify.classify_all(sessions.unionByName(logged, allowMissingColumns=True), c_tools(t),
+                                 a["units"], a["tools"], a["files"])
 
 
 def summary_sql(unit: str, labelled: str) -> str:

@@ -73,8 +73,6 @@ NOISE_PATTERN = (
 # -- outcome windows, in days ---------------------------------------------------
 SURVIVAL_HORIZONS = [30, 60, 90]
 REWORK_WINDOW = 14
-REWORK_LIST_SIZE = 20
-MAX_COMMITS_PER_REPO = 1000
 
 # -- fix mining limits -----------------------------------------------------------
 MAIN_PREFIX = "src/main/java/"

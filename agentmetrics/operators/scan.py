@@ -83,7 +83,8 @@ def running(df: DataFrame, keys: list[str], order: list[str], values: dict[str,
             top: int | None = None) -> DataFrame:
     """Add each running value in ``values`` as a column.
 
-    ``order`` must give a total order within a key; keys must not be null.
+    ``order`` must give a total order within a key; rows with a null key form
+    one key of their own.
     """
     inputs = {name: f"__in_{name}" for name in values}
     df = df.select("*", *[v.value.alias(inputs[n]) for n, v in values.items()])
@@ -125,7 +126,11 @@ def running(df: DataFrame, keys: list[str], order: list[str], values: dict[str,
 
     carries = [carried_in(n, v).alias(f"__carry_{n}") for n, v in values.items()]
     carried = df.groupBy(*scope).agg(*totals).select(*scope, *carries)
-    joined = scanned.join(carried, scope, "left")
+    same = F.lit(True)
+    for c in scope:  # a null key is a key, as it is to a window
+        same = same & F.col(f"s.{c}").eqNullSafe(F.col(f"c.{c}"))
+    joined = scanned.alias("s").join(carried.alias("c"), same, "left").select(
+        "s.*", *[f"c.__carry_{n}" for n in values])
     for name, item in values.items():
         carry = F.col(f"__carry_{name}")
         if item.kind == "sum":

@@ -65,7 +65,14 @@ def per_class(counts: DataFrame, by: list[str]) -> DataFrame:
 
 
 def confusions(counts: DataFrame, by: list[str], k: int | None = None) -> DataFrame:
-    """Mismatched pairs by count, optionally the k most frequent."""
-    wrong = counts.where(F.col("human") != F.col("ours")).orderBy(
-        F.desc("n"), *by, "human", "ours")
-    return wrong.limit(k) if k else wrong
+    """Mismatched pairs by count; with ``k`` the k most frequent and the sum of the
+    rest, as a pair (rest, rest)."""
+    wrong = counts.where(F.col("human") != F.col("ours"))
+    order = [F.desc("n"), *by, "human", "ours"]
+    if k is None:
+        return wrong.orderBy(*order)
+    top = wrong.orderBy(*order).limit(k)
+    rest = wrong.join(F.broadcast(top.select(*by, "human", "ours")), [*by, "human", "ours"], "left_anti")
+    folded = rest.groupBy(*by).agg(F.sum("n").alias("n")).where("n IS NOT NULL").select(
+        *by, F.lit("rest").alias("human"), F.lit("rest").alias("ours"), "n")
+    return top.select(*by, "human", "ours", "n").unionByName(folded)

@@ -159,7 +159,10 @@ def classify_all(sessions: DataFrame, session_tools: DataFrame, units: DataFrame
         F.lit("segment").alias("unit"), sid, "start_turn", "end_turn",
         segment_id(F.col(sid), F.col("segment_no")).alias("segment_id"), *VERDICT)
 
-    with_units = unit_features(units, unit_tools, unit_files, [sid])
+    # a label needs a session: units of a session that was turned away have none
+    known = sessions.select(sid).distinct()
+    with_units = unit_features(*[df.join(known, sid, "left_semi")
+                                 for df in (units, unit_tools, unit_files)], [sid])
     without = sessions.join(units.select(sid).distinct(), sid, "left_anti")
     fallback = session_features(without, session_tools, [sid])
     by_session = label(with_units.unionByName(fallback)).select(

@@ -12,7 +12,7 @@ from ..functions import fixed
 from ..operators import upsert
 from ..session import durable
 from ..sources import lines, logs_a, logs_b
-from ..sources.registry import Extract, extract_from, register
+from ..sources.registry import Extract, extract_from, normalise, register
 from . import sessions_a, sessions_b, sessions_c
 
 KEY = ["source_tool", "session_id"]
@@ -48,7 +48,8 @@ def from_logs_b(spark: SparkSession, path: str, salt: str) -> Extract:
     records = durable(logs_b.records(raw))
     found = sessions_b.sessions(records, salt).join(lines.file_digests(raw), "path")
     sessions, turned = durable(found), durable(sessions_b.turns(records))
-    units = sessions_b.units(turned)
+    # units of this format carry their session's branch
+    units = sessions_b.units(turned).join(sessions.select("path", "git_branch"), "path")
     return Extract(
         sessions, _named(units, sessions), _named(sessions_b.unit_tools(turned), sessions),
         _named(sessions_b.unit_files(turned, salt), sessions),
@@ -87,6 +88,26 @@ def session_rules() -> dict[str, Column]:
             *fixed.TOKEN_BUCKETS, "files_touched", "lines_added", "lines_removed")}}
 
 
+#: Columns of a stored session; a source that cannot measure one leaves it null.
+SESSION_TYPES = {
+    **{c: "string" for c in (
+        "source_tool", "session_id", "log_format", "source_format_version", "project_ref", "git_branch",
+        "parent_session_id", "fork_of", "source_path", "content_hash")},
+    **{c: "timestamp" for c in ("started_at", "ended_at")},
+    **{c: "bigint" for c in (
+        "wall_clock_ms", "active_duration_ms", "user_messages", "assistant_messages", "tool_calls",
+        "interrupted_tool_calls", *fixed.TOKEN_BUCKETS, "reasoning_output", "files_touched", "lines_added",
+        "lines_removed", "hunks", "user_modified_edits", "subagent_count", "attribution_rows")},
+    "automated": "boolean", "languages": "array<string>"}
+UNIT_TYPES = {"git_branch": "string", "interrupt_marker": "boolean"}
+
+
+def projected(df: DataFrame, types: dict[str, str]) -> DataFrame:
+    """With every named column, null where the source has none; others stay."""
+    lacking = [F.lit(None).cast(kind).alias(c) for c, kind in types.items() if c not in df.columns]
+    return df.select("*", *lacking)
+
+
 def union_all(frames: list[DataFrame | None]) -> DataFrame | None:
     present = [f for f in frames if f is not None]
     if not present:
@@ -98,16 +119,15 @@ def extract(spark: SparkSession, sources: dict[str, dict], out: str, salt: str,
             include_content: bool = False) -> DataFrame:
     """Read sources, upsert their tables under ``out`` and return the manifest.
 
-    Sessions keep their stored row while their content and both versions are
-    unchanged; units and child tables always follow the batch. Invalid rows go
-    to the manifest and not to the tables.
+    Any set of sources gives the same columns. Sessions keep their stored row
+    while their content and both versions are unchanged; the child rows of a
+    session in the batch are replaced as a whole. Invalid sessions, with the rules
+    they fail, and lines that could not be read are written to ``errors`` and
+    counted in the manifest.
     """
     parts = [extract_from(spark, name, salt=salt, **where) for name, where in sources.items()]
-    every = union_all([p.sessions for p in parts]).drop("path", "cwd")
-    for column in ("user_messages", "assistant_messages", "tool_calls", *fixed.TOKEN_BUCKETS,
-                   "reasoning_output"):
-        if column not in every.columns:
-            every = every.withColumn(column, F.lit(None).cast("long"))
+    every = union_all([projected(p.sessions.withColumn("source_path", F.col("path")), SESSION_TYPES)
+                       for p in parts]).drop("path", "cwd")
     stamped = every.select(
         "*", F.lit(fixed.SESSION_SCHEMA_VERSION).alias("schema_version"),
         F.lit(fixed.CONNECTOR_VERSION).alias("connector_version"),
@@ -119,21 +139,28 @@ def extract(spark: SparkSession, sources: dict[str, dict], out: str, salt: str,
     upsert.replace_table(merged.drop("outcome"), f"{out}/sessions")
 
     children = {
-        "units": ([p.units for p in parts], [*KEY, "turn_index"]),
-        "unit_tools": ([p.unit_tools for p in parts], KEY),
-        "unit_files": ([p.unit_files for p in parts], KEY),
-        "models": ([p.models for p in parts], KEY), "tools": ([p.tools for p in parts], KEY),
-        "prompt_sources": ([p.prompt_sources for p in parts], KEY)}
+        "units": [p.units and projected(p.units, UNIT_TYPES) for p in parts],
+        "unit_tools": [p.unit_tools for p in parts], "unit_files": [p.unit_files for p in parts],
+        "models": [p.models for p in parts], "tools": [p.tools for p in parts],
+        "prompt_sources": [p.prompt_sources for p in parts]}
     accepted = good.select(*KEY)
-    for name, (frames, keys) in children.items():
+    for name, frames in children.items():
         batch = union_all(frames)
         if batch is not None:
             batch = durable(batch.join(accepted, KEY, "left_semi"))
             held = upsert.read_or_empty(spark, f"{out}/{name}", batch.schema)
-            upsert.replace_table(upsert.replace_by_key(held, batch, keys), f"{out}/{name}")
+            upsert.replace_table(upsert.replace_by_key(held, batch, KEY, accepted), f"{out}/{name}")
     if include_content:
         upsert.append_new(spark, f"{out}/content", union_all([p.content for p in parts]))
-    report = durable(upsert.manifest(merged, checked, "source_tool", "started_at", "ended_at"))
+    unread = union_all([p.rejects and p.rejects.withColumn("source_tool", F.lit(normalise(name)))
+                        for name, p in zip(sources, parts)])
+    bad = upsert.invalid(checked).select(
+        "source_tool", F.col("source_path").alias("path"), F.lit(None).cast("long").alias("line_no"),
+        F.explode("errors").alias("reason"))
+    (bad if unread is None else bad.unionByName(unread.select(
+        "source_tool", "path", F.col("line_no").cast("long"), "reason"))).write.mode("append").parquet(
+        f"{out}/errors")
+    report = durable(upsert.manifest(merged, checked, "source_tool", "started_at", "ended_at", unread))
     report.write.mode("append").parquet(f"{out}/manifests")
     return report
 

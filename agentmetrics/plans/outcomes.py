@@ -6,8 +6,8 @@ Landed inputs, one row each:
   blame_lines(repo, snapshot_sha, path, commit_sha)   one row per line
   line_spans(repo, path, commit_sha, removed_at)      the same fact per line
                                                       lifetime; null = still there
-  pr_members(repo, pr_number, sha)
-  scored_commits(sha, tab, composer, human, v1, v2)
+  pr_members(repo, pr_number, sha, merge_sha, merged_at)
+  scored_commits(sha, branch, tab, composer, human, v1, v2)
 """
 
 from __future__ import annotations
@@ -31,13 +31,11 @@ def days_after(at: Column, days: Column) -> Column:
     return F.timestamp_micros(F.unix_micros(at) + days.cast("long") * 86_400_000_000)
 
 
-def newest_commits(commits: DataFrame, cap: int | None = fixed.MAX_COMMITS_PER_REPO
-                   ) -> tuple[DataFrame, DataFrame]:
+def newest_commits(commits: DataFrame, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Commits to measure, without merges, and how many a cap cut per repo.
 
-    ``cap=None`` measures all. The cap exists because the reported figures are
-    defined over the newest 1000; markers and snapshots still see every commit.
-    The row limit is applied before the shuffle as well (group limit).
+    All are measured unless a cap is given; under one, markers and snapshots still
+    see every commit. The limit is applied before the shuffle too (group limit).
     """
     plain = commits.where(~F.coalesce("is_merge", F.lit(False)))
     if cap is None:
@@ -153,44 +151,52 @@ def touched_files(numstat: DataFrame) -> DataFrame:
 
 
 def rework_commits(reworked: DataFrame, files: DataFrame, touched: DataFrame,
-                   commits: DataFrame, limit: int = ROWS_PER_BLOCK) -> DataFrame:
-    """The newest 20 commits that touched the reworked commit's files in its window.
-
-    Touches of a file are numbered in time order. One as-of lookup finds the
-    last touch inside the window, and only the at most 20 numbers before it,
-    down to the commit's own, are looked up by equality: touches are never
-    paired with each other. A commit's 20 newest are among its files' 20 newest.
+                   commits: DataFrame, limit: int = ROWS_PER_BLOCK,
+                   k: int | None = None) -> DataFrame:
+    """The commits that touched the reworked commit's files in its window, newest
+    first, with their number in all; with ``k`` only the k newest are listed.
+
+    Touches of a file are numbered in time order and landed. One as-of lookup
+    finds the last touch inside the window, and the numbers down to the commit's
+    own are looked up by equality, so only pairs of the result are formed.
     """
-    k = fixed.REWORK_LIST_SIZE
     touches = touched.join(commits.where(~F.coalesce("is_merge", F.lit(False)))
                            .select(*KEY, "at"), KEY)
-    numbered = running(touches, ["repo", "path"], ["at", "sha"],
-                       {"nth": running_sum(F.lit(1))}, limit=limit)
+    numbered = durable(running(touches, ["repo", "path"], ["at", "sha"],
+                               {"nth": running_sum(F.lit(1))}, limit=limit))
     own = numbered.select(*KEY, "path", F.col("nth").alias("own_nth"))
     probes = (reworked.where("occurred").select(*KEY, F.col("at").alias("own_at"), "target_at")
               .join(files, KEY).join(own, [*KEY, "path"]))
     found = asof(probes, numbered, ["repo", "path"], "target_at", "at", {"last_nth": "nth"},
                  tie="sha", limit=limit)
-    first = F.greatest(F.col("own_nth") + 1, F.col("last_nth") - (k - 1))
     wanted = (found.where(F.col("last_nth") > F.col("own_nth"))
               .select("repo", "path", F.col("sha").alias("of_sha"), "own_at",
-                      F.explode(F.sequence(first, F.col("last_nth"))).alias("nth")))
+                      F.explode(F.sequence(F.col("own_nth") + 1, F.col("last_nth"))).alias("nth")))
     later = F.unix_micros("at") >= F.unix_micros("own_at") + 1_000_000
     pairs = (wanted.join(numbered, ["repo", "path", "nth"]).where(later)
              .select("repo", F.col("of_sha").alias("sha"), F.col("at").alias("t_at"),
                      F.col("sha").alias("rework_sha")).distinct())
-    newest = Window.partitionBy(*KEY).orderBy(F.desc("t_at"), F.desc("rework_sha"))
-    return (pairs.withColumn("nth", F.row_number().over(newest)).where(F.col("nth") <= k)
-            .select(*KEY, "rework_sha", "nth"))
+    of_commit = Window.partitionBy(*KEY)
+    newest = of_commit.orderBy(F.desc("t_at"), F.desc("rework_sha"))
+    listed = pairs.select(*KEY, "rework_sha", F.row_number().over(newest).alias("nth"),
+                          F.count("*").over(of_commit).alias("of"))
+    return listed if k is None else listed.where(F.col("nth") <= k)
 
 
 def attribution(commits: DataFrame, scored: DataFrame) -> DataFrame:
-    """Who wrote the lines, from recorded evidence only, never from the code."""
+    """Who wrote the lines, from recorded evidence only, never from the code.
+
+    Scores are per commit and branch; of several of a commit the last branch's
+    counts, so that a commit stays one row.
+    """
     counted = F.col("tab").isNotNull() & F.col("composer").isNotNull() & F.col("human").isNotNull()
     has_row = F.col("has_row").isNotNull()
     trailer = F.coalesce(F.col("body").rlike(fixed.AI_TRAILER_PATTERN), F.lit(False))
     ai = F.col("tab") + F.col("composer")
-    scores = scored.withColumn("has_row", F.lit(True))
+    named = [c for c in scored.columns if c != "sha"]
+    order = F.col("branch") if "branch" in named else F.lit(0)
+    scores = scored.groupBy("sha").agg(F.max_by(F.struct(*named), order).alias("s")).select(
+        "sha", "s.*", F.lit(True).alias("has_row"))
     return commits.join(scores, "sha", "left").select(
         *KEY,
         F.when(counted, "known").when(has_row | trailer, "partial").otherwise("unknown")
@@ -236,11 +242,12 @@ def reverts(commits: DataFrame, markers: DataFrame) -> DataFrame:
 
 
 def pull_requests(commits: DataFrame, pr_members: DataFrame) -> DataFrame:
-    """PR number per commit: from a merge that brought it in, else from a
-    squash subject."""
+    """PR number per commit: from the first merge that brought it in (by the merge's
+    time, then its hash), else from a squash subject."""
     subject = F.split_part("body", F.lit("\n"), F.lit(1))
     squash = C.blank_to_null(F.regexp_extract(subject, fixed.PR_SQUASH_PATTERN, 1)).cast("int")
-    members = pr_members.groupBy(*KEY).agg(F.max("pr_number").alias("merged_in"))
+    members = pr_members.groupBy(*KEY).agg(F.min_by(
+        "pr_number", F.struct("merged_at", "merge_sha")).alias("merged_in"))
     return commits.join(members, KEY, "left").select(
         *KEY, F.coalesce("merged_in", squash).alias("pr_number"))
 
@@ -249,13 +256,14 @@ def merge_numbers(commits: DataFrame) -> DataFrame:
     """PR number a merge commit's subject names."""
     subject = F.split_part("body", F.lit("\n"), F.lit(1))
     number = C.blank_to_null(F.regexp_extract(subject, fixed.PR_MERGE_PATTERN, 1)).cast("int")
-    return commits.where("is_merge").select(*KEY, number.alias("pr_number")).where(
+    return commits.where("is_merge").select(
+        *KEY, F.col("at").alias("merged_at"), number.alias("pr_number")).where(
         "pr_number is not null")
 
 
 def signals(commits: DataFrame, numstat: DataFrame, pr_members: DataFrame, scored: DataFrame,
             now: datetime, blame_lines: DataFrame | None = None,
-            line_spans: DataFrame | None = None, cap: int | None = fixed.MAX_COMMITS_PER_REPO,
+            line_spans: DataFrame | None = None, cap: int | None = None,
             limit: int = ROWS_PER_BLOCK) -> dict[str, DataFrame]:
     """All outcome tables of the commits: one row per commit in ``changes``, and
     the child tables ``survival``, ``rework`` and ``rework_commits``."""

@@ -53,7 +53,7 @@ def sessions(headers: DataFrame, attributions: DataFrame, salt: str) -> DataFram
 
     changed = positive(added) | positive(removed) | positive(files)
     known = headers.select(
-        F.col("composer_id").alias("session_id"),
+        F.col("composer_id").alias("session_id"), F.sha2("value", 256).alias("header"),
         C.epoch_instant(F.col("created_at")).alias("header_start"),
         C.epoch_instant(F.col("updated_at")).alias("header_end"),
         F.coalesce(V.text(v, "workspaceIdentifier.uri.fsPath"),
@@ -83,8 +83,8 @@ def sessions(headers: DataFrame, attributions: DataFrame, salt: str) -> DataFram
         "subagent_count",
         F.when(F.col("is_subagent"), F.lit(True)).alias("automated"),
         F.coalesce("attribution_rows", F.lit(0)).alias("attribution_rows"),
-        F.sha2(F.concat_ws("|", "session_id", start.cast("string"), end.cast("string"), "cwd",
-                           "git_branch", "files_touched", "lines_added", "lines_removed",
-                           "subagent_count", F.coalesce("attribution_rows", F.lit(0)),
-                           "rows_digest"), 256).alias("content_hash"),
+        # every part under its name, so that a missing one cannot stand for another
+        F.sha2(F.to_json(F.struct(
+            "session_id", start.cast("string").alias("start"), end.cast("string").alias("end"),
+            "header", "attribution_rows", "rows_digest")), 256).alias("content_hash"),
     ).where(F.col("started_at").isNotNull())

@@ -168,15 +168,28 @@ def top_and_rest(totals: DataFrame, key: str, measure: str, k: int,
             .unionByName(folded.where(F.col("groups") > 0)))
 
 
-def largest_groups(rollup_rows: DataFrame, dimension: str, k: int = 14) -> DataFrame:
-    """Groups of one dimension by total tokens, largest first."""
+def listed_and_rest(totals: DataFrame, key: str, measures: list[str], order: list[Column],
+                    k: int) -> DataFrame:
+    """The first k groups in order; all others are summed into one ``rest`` row."""
+    listed = totals.orderBy(*order).limit(k)
+    others = totals.join(F.broadcast(listed.select(key)), key, "left_anti")  # k rows
+    rest = others.agg(F.lit("rest").alias(key), *[F.sum(m).alias(m) for m in measures],
+                      F.count("*").alias("groups"))
+    return listed.select(key, *measures, F.lit(1).cast("long").alias("groups")).unionByName(
+        rest.where(F.col("groups") > 0))
+
+
+def largest_groups(rollup_rows: DataFrame, dimension: str, k: int) -> DataFrame:
+    """The k groups of one dimension with most tokens, and the rest."""
     total = sum((F.coalesce(t, F.lit(0)) for t in TOKENS[1:]), F.coalesce(TOKENS[0], F.lit(0)))
-    return (rollup_rows.where(F.col("dimension") == dimension).withColumn("total_tokens", total)
-            .orderBy(F.desc("total_tokens"), "key").limit(k))
+    groups = rollup_rows.where(F.col("dimension") == dimension).withColumn("total_tokens", total)
+    return listed_and_rest(groups, "key", ["total_tokens"], [F.desc("total_tokens"), F.asc("key")], k)
 
 
-def first_days(rollup_rows: DataFrame, k: int = 100) -> DataFrame:
-    return rollup_rows.where(F.col("dimension") == "day").orderBy("key").limit(k)
+def first_days(rollup_rows: DataFrame, k: int) -> DataFrame:
+    """The k earliest days, and all later ones as the rest."""
+    days = rollup_rows.where(F.col("dimension") == "day")
+    return listed_and_rest(days, "key", ["sessions", "cost_x1000"], [F.asc("key")], k)
 
 
 def outcomes_beside_spend(repos: DataFrame, rollup_rows: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -43,16 +45,27 @@ def use_utc(spark: SparkSession) -> SparkSession:
 def scratch_folder(spark: SparkSession) -> str:
     """This application's folder inside the shared checkpoint folder.
 
-    The cluster names the shared folder in ``spark.checkpoint.dir``. A private
-    one is made only where that is unset, which is the case on one machine.
+    The cluster names the shared folder in ``spark.checkpoint.dir``. Where that is
+    unset, a private folder serves a session of one machine and goes with it; on a
+    cluster, whose nodes could not read it, this raises.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all nodes share")
         shared = tempfile.mkdtemp(prefix="agentmetrics-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application has landed; call it when its results are written."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 

@@ -35,39 +35,40 @@ def parsed(lines: DataFrame, shape: str) -> DataFrame:
             .select("path", "split", "pos", F.explode(F.array(read)).alias("rec")))
 
 
-def rejects(lines: DataFrame) -> DataFrame:
-    """Malformed lines with their one-based line number.
+def block_offsets(lines: DataFrame) -> DataFrame:
+    """Per file and block what to add to ``pos`` for a one-based line number.
 
-    The position within the block comes from a per-block row number over the
-    key columns and a flag (the text itself is not shuffled), the offset from
-    the line counts of earlier blocks.
+    ``pos`` is consecutive within a block, so its least value and the counts of
+    earlier blocks number every line; nothing is ranked.
     """
-    per_block = lines.groupBy("path", "split").agg(F.count("*").alias("n"))
+    per_block = lines.groupBy("path", "split").agg(
+        F.count("*").alias("n"), F.min("pos").alias("first"))
     before = (Window.partitionBy("path").orderBy("split")
               .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = per_block.select("path", "split",
-                               F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    in_block = Window.partitionBy("path", "split").orderBy("pos")
-    flagged = lines.select(
-        "path", "split", "pos",
-        ((F.trim("value") != "") & F.try_parse_json("value").isNull()).alias("bad"))
-    bad = flagged.withColumn("nth", F.row_number().over(in_block)).where("bad")
-    return (bad.join(offsets, ["path", "split"])
-            .select("path", (F.col("offset") + F.col("nth")).alias("line_no"),
+    return per_block.select("path", "split", (
+        F.coalesce(F.sum("n").over(before), F.lit(0)) + 1 - F.col("first")).alias("to_line"))
+
+
+def rejects(lines: DataFrame) -> DataFrame:
+    """Malformed lines with their one-based line number; only those are joined."""
+    bad = lines.where((F.trim("value") != "") & F.try_parse_json("value").isNull()).select(
+        "path", "split", "pos")
+    return (bad.join(block_offsets(lines), ["path", "split"])
+            .select("path", (F.col("pos") + F.col("to_line")).alias("line_no"),
                     F.lit("malformed JSON line").alias("reason")))
 
 
 def file_digests(lines: DataFrame) -> DataFrame:
     """Content digest per file, for change detection.
 
-    Built from line hashes by mergeable aggregates, so no file is ever held
-    whole; block offsets are part of each hash, row positions are not, because
-    they may change when other files are added.
+    Built from hashes of (line number, text) by mergeable aggregates, so no file
+    is ever held whole, and where a file was cut into blocks does not matter.
     """
-    line = F.xxhash64("split", "value")
-    return lines.groupBy("path").agg(F.sha2(F.concat_ws(
-        "|", F.count("*").cast("string"), F.bit_xor(line).cast("string"),
-        F.sum((line % 2_147_483_647)).cast("string")), 256).alias("content_hash"))
+    line = F.xxhash64(F.col("pos") + F.col("to_line"), "value")
+    hashed = lines.join(block_offsets(lines), ["path", "split"]).select("path", line.alias("line"))
+    return hashed.groupBy("path").agg(F.sha2(F.concat_ws(
+        "|", F.count("*").cast("string"), F.bit_xor("line").cast("string"),
+        F.sum(F.col("line") % 2_147_483_647).cast("string")), 256).alias("content_hash"))
 
 
 def position():

@@ -17,20 +17,6 @@ def text(value: Column, path: str) -> Column:
     return blank_to_null(field(value, path, "string"))
 
 
-def count(value: Column, path: str) -> Column:
-    """An integer field, zero when absent."""
-    return F.coalesce(field(value, path, "long"), F.lit(0).cast("long"))
-
-
-def truthy(value: Column, path: str) -> Column:
-    return F.coalesce(field(value, path, "boolean"), F.lit(False))
-
-
-def whole(value: Column, path: str) -> Column:
-    """A number field cut to a whole number."""
-    return field(value, path, "double").cast("long")
-
-
 def items(value: Column, path: str) -> Column:
     """An array field; null when the field is not an array."""
     return field(value, path, "array<variant>")
@@ -38,16 +24,3 @@ def items(value: Column, path: str) -> Column:
 
 def kind_of(value: Column) -> Column:
     return F.schema_of_variant(value)
-
-
-def is_object(value: Column) -> Column:
-    return F.coalesce(kind_of(value).startswith("OBJECT"), F.lit(False))
-
-
-def non_empty_object(value: Column) -> Column:
-    return F.coalesce(kind_of(value).startswith("OBJECT<") & (kind_of(value) != "OBJECT<>"),
-                      F.lit(False))
-
-
-def is_text(value: Column) -> Column:
-    return F.coalesce(kind_of(value) == "STRING", F.lit(False))
