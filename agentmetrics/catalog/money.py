@@ -551,22 +551,23 @@ def savings(t: Tables) -> DataFrame:
 
 
 @query("q_triangulate", """
-WITH r AS (SELECT p_type AS task_type, count(*) FILTER (l_returnflag <> 'R') * 3 > count(*) * 2 AS s, count(*) AS n
-  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_type <> 'PROMO' GROUP BY 1),
-p AS (SELECT p_type AS task_type, avg(p_size) > 25 AS s, count(*) AS n FROM part WHERE p_type <> 'SMALL'
-  GROUP BY 1)
+WITH part AS (SELECT p_partkey, p_size, p_type || '/' || p_size AS p_type FROM part),
+r AS (SELECT p_type AS task_type, count(*) FILTER (l_returnflag <> 'R') * 3 > count(*) * 2 AS s, count(*) AS n
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
+p AS (SELECT p_type AS task_type, avg(p_size) > 25 AS s, count(*) AS n FROM part GROUP BY 1)
 SELECT coalesce(r.task_type, p.task_type) AS task_type, r.s AS replay_supports, r.n AS replay_n,
   p.s AS production_supports, p.n AS production_n, CASE WHEN r.n >= 10 AND p.n >= 10 THEN CASE WHEN r.s = p.s
     THEN 'tracks_agree' ELSE 'tracks_disagree' END WHEN r.n >= 10 OR p.n >= 10 THEN 'single_track_only'
     ELSE 'insufficient_data' END AS verdict FROM r FULL JOIN p ON r.task_type = p.task_type""")
 def triangulate(t: Tables) -> DataFrame:
-    """Return rates of line items against sizes of parts, per part type."""
+    """Return rates of line items against sizes of parts, per part type and size."""
     kind = F.col("p_type").alias("task_type")
+    part = t.part.withColumn("p_type", F.concat_ws("/", "p_type", "p_size"))
     li = t.lineitem.select(F.col("l_partkey").alias("p_partkey"), "l_returnflag")
-    replay = li.join(t.part.where("p_type <> 'PROMO'"), "p_partkey").groupBy(kind).agg(
+    replay = li.join(part, "p_partkey").groupBy(kind).agg(
         (count_if(F.col("l_returnflag") != "R") * 3 > F.count("*") * 2).alias("supports"),
         F.count("*").alias("n"))
-    production = t.part.where("p_type <> 'SMALL'").groupBy(kind).agg(
+    production = part.groupBy(kind).agg(
         (F.avg("p_size") > 25).alias("supports"), F.count("*").alias("n"))
     return trace.triangulate(replay, production)
 
@@ -612,10 +613,9 @@ def decision_buckets(t: Tables) -> DataFrame:
 
 
 @query("q_team_level", """
-SELECT c_nationkey AS team, count(DISTINCT o_custkey) AS members, count(*) AS sessions FROM orders JOIN customer
-ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' GROUP BY 1
-HAVING count(DISTINCT o_custkey) >= 5""")
+SELECT c_nationkey * 10 + c_custkey % 10 AS team, count(DISTINCT o_custkey) AS members, count(*) AS sessions
+FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1 HAVING count(DISTINCT o_custkey) >= 5""")
 def team_level(t: Tables) -> DataFrame:
-    o = t.orders.where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'").join(t.customer.select(
-        F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("team")), "o_custkey")
+    o = t.orders.join(t.customer.select(F.col("c_custkey").alias("o_custkey"), (
+        F.col("c_nationkey") * 10 + F.col("c_custkey") % 10).alias("team")), "o_custkey")
     return trace.team_level(o, "team", "o_custkey", {"sessions": F.count("*")})

@@ -63,21 +63,21 @@ def replace_units(t: Tables) -> DataFrame:
 
 
 @query("q_sidecar_append", """
-SELECT DISTINCT lang, source, text FROM documents WHERE source <> 'web' AND (lang, source, text) NOT IN (
+SELECT DISTINCT lang, source, text FROM documents WHERE (lang, source, text) NOT IN (
   SELECT lang, source, text FROM documents WHERE n_chars % 5 = 0)""")
 def sidecar_append(t: Tables) -> DataFrame:
     """Text rows that are new to the sidecar, each once; whole texts compared."""
     rows = t.documents.select("lang", "source", "text", "n_chars")
     held = rows.where("n_chars % 5 = 0").drop("n_chars")
-    return upsert.new_rows(held, rows.where("source <> 'web'").drop("n_chars"))
+    return upsert.new_rows(held, rows.drop("n_chars"))
 
 
 @query("q_pending_anti", """
-SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_custkey NOT IN (
+SELECT c_custkey FROM customer WHERE c_custkey NOT IN (
   SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""")
 def pending_anti(t: Tables) -> DataFrame:
-    """Drafts (customers of two segments) without an applied decision (urgent order)."""
-    drafts = t.customer.where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).select("c_custkey")
+    """Drafts (customers) without an applied decision (urgent order)."""
+    drafts = t.customer.select("c_custkey")
     decisions = t.orders.select(F.col("o_custkey").alias("c_custkey"),
                                 (F.col("o_orderpriority") == "1-URGENT").alias("applied"))
     return upsert.pending(drafts, decisions, "c_custkey")

@@ -111,11 +111,6 @@ PROVIDER_PREFIXES = ["anthropic/", "openai/", "xai/"]
 
 # -- versions written into records ---------------------------------------------------
 SESSION_SCHEMA_VERSION = "0.4.0"
-UNIT_SCHEMA_VERSION = "0.1.1"
 CONNECTOR_VERSION = "0.3.1"
-SIGNAL_SCHEMA_VERSION = "0.2.0"
-SIGNALS_VERSION = "0.1.0"
 CLASSIFIER_VERSION = "rules-0.1.1"
 TAXONOMY_VERSION = "0.1.0"
-SEGMENTER_VERSION = "0.1.0"
-TASK_CLASS_SCHEMA_VERSION = "0.1.0"

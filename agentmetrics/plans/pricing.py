@@ -16,7 +16,6 @@ from ..functions import fixed
 from ..operators.prefix import first_in_list, match_prefix
 from ..operators.scan import asof
 from ..session import durable
-from ..sources import variant as V
 
 MILLION = 1_000_000
 
@@ -224,11 +223,3 @@ def with_dated_rates(sessions: DataFrame, sheets: DataFrame, list_col: str = "mo
     source = (lists_of if lists_of is not None else sessions).select(ids.alias("__ids"))
     keyed = sheets.withColumn("model_key", tagged(F.col("model_key")))
     return with_rates(sessions.withColumn("__ids", ids), keyed, "__ids", suffix, source).drop("__ids")
-
-
-def landed_price_list(lines: DataFrame) -> DataFrame:
-    """A downloaded price list, one {key: entry} JSON object, as rows."""
-    entries = lines.select(F.explode(F.from_json("value", "map<string,string>")).alias("k", "v"))
-    return entries.select(F.col("k").alias("price_key"), *[
-        V.field(F.try_parse_json("v"), src, "double").alias(src)
-        for src in fixed.PER_TOKEN_FIELDS.values()])

@@ -87,10 +87,10 @@ def _gid(position: int, n: int = 4) -> int:
 
 
 def headline(priced_sessions: DataFrame) -> DataFrame:
-    """One row of totals and shares."""
-    total = F.coalesce(*[F.col(t) for t in TOKENS[:1]], F.lit(0))
-    for t in TOKENS[1:]:
-        total = total + F.coalesce(t, F.lit(0))
+    """One row of totals and shares. Unpriced tokens include those of reasoning,
+    where sessions report them."""
+    counted = [c for c in (*TOKENS, "reasoning_output") if c in priced_sessions.columns]
+    total = sum((F.coalesce(c, F.lit(0)) for c in counted), F.lit(0))
     unpriced = F.col("has_tokens") & F.col("cost").isNull()
     review = unpriced & F.exists(
         "model_list", lambda m: m.startswith(fixed.AUTO_REVIEW_PREFIX))
@@ -192,6 +192,27 @@ def first_days(rollup_rows: DataFrame, k: int) -> DataFrame:
     return listed_and_rest(days, "key", ["sessions", "cost_x1000"], [F.asc("key")], k)
 
 
+def highlights(rollup_rows: DataFrame, classes: DataFrame, repos: DataFrame, k: int) -> DataFrame:
+    """The k models and projects with most tokens, task types with most labels and
+    repos with most commits, each kind with the sum of its rest. Placeholder model
+    names, written by tools for turns without a model, are no models.
+    """
+    total = sum((F.coalesce(t, F.lit(0)) for t in TOKENS), F.lit(0))
+    spent = rollup_rows.where(F.col("dimension").isin("model", "project") & ~(
+        (F.col("dimension") == "model") & (F.col("key") == fixed.SYNTHETIC_MODEL))).select(
+        F.col("dimension").alias("kind"), "key", total.alias("amount"))
+    tasks = classes.where("task_type IS NOT NULL").groupBy(F.col("task_type").alias("key")).agg(
+        F.count("*").alias("amount")).select(F.lit("task_type").alias("kind"), "key", "amount")
+    known = repos.select(F.lit("repo").alias("kind"), F.col("repo").alias("key"), F.col("commits").alias("amount"))
+    every = spent.unionByName(tasks).unionByName(known)
+    # the limit is taken in each task before the shuffle, the rest summed by kind
+    order = Window.partitionBy("kind").orderBy(F.desc("amount"), "key")
+    listed = every.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k).drop("nth")
+    rest = every.join(listed.select("kind", "key"), ["kind", "key"], "left_anti").groupBy("kind").agg(
+        F.lit("rest").alias("key"), F.sum("amount").alias("amount"))
+    return listed.unionByName(rest)
+
+
 def outcomes_beside_spend(repos: DataFrame, rollup_rows: DataFrame) -> DataFrame:
     """Repo outcomes with the spend of the project of the same name; a project
     never priced keeps a null cost."""
