@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from math import comb
+from math import pi
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +13,6 @@ from ..operators.keyed import count_if, last_per_key
 from ..session import durable
 from . import pricing
 
-MAX_SIGNATURES = 100_000
-
 
 def solved(completed: Column, capped: Column, build: Column, passed: Column,
            total: Column) -> Column:
@@ -162,49 +158,53 @@ def sign_counts(pairs: DataFrame) -> DataFrame:
                      count_if(lead == 0).alias("tied"))
 
 
+def _choose(n: Column, x: Column) -> Column:
+    """Ways to choose x of n."""
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(x, F.lit(1))), F.lit(1.0),
+                       lambda acc, i: F.when(i > x, acc).otherwise(acc * (n - x + i) / i))
+
+
 def permutation_test(pairs: DataFrame) -> DataFrame:
     """Exact two-sided p of the difference in solved runs, labels permuted
     within each task.
 
     Within a task the permuted count is hypergeometric, and tasks are
     independent, so the distribution of the sum is a product of characteristic
-    functions. Tasks with equal counts share one factor, which leaves a table of
-    few signatures (its size follows the repeats per cell, and is checked); the
-    inverse transform is a sum over frequencies, spread over tasks as a range.
+    functions: a sum of logarithms over tasks, at each frequency. Tasks with
+    equal counts share one term. The inverse transform is a sum over frequencies;
+    those above the middle mirror the ones below.
     """
-    signatures = pairs.groupBy("n_a", "n_b", (F.col("k_a") + F.col("k_b")).alias("k")).agg(
-        F.count("*").alias("tasks"), F.sum(F.col("k_a") - F.col("k_b")).alias("lead"))
-    rows = signatures.limit(MAX_SIGNATURES + 1).collect()
-    if len(rows) > MAX_SIGNATURES:
-        raise ValueError("too many distinct repeat counts for the exact test")
-    factors = []
-    for r in rows:
-        ways = [(x, comb(r["n_a"], x) * comb(r["n_b"], r["k"] - x))
-                for x in range(max(0, r["k"] - r["n_b"]), min(r["n_a"], r["k"]) + 1)]
-        whole = sum(w for _, w in ways)
-        factors.append((np.array([x for x, _ in ways]),
-                        np.array([w / whole for _, w in ways]), r["tasks"]))
-    total = sum(r["k"] * r["tasks"] for r in rows)
-    lead = abs(sum(r["lead"] for r in rows))
-    size = total + 1
-    low, high = (total - lead) // 2, -(-(total + lead) // 2)
-
-    def transform(batches):
-        for batch in batches:
-            w = 2 * np.pi * batch["id"].to_numpy() / size
-            value = np.ones(len(w), dtype=complex)
-            for xs, ps, n in factors:
-                value *= (np.exp(1j * np.outer(w, xs)) @ ps) ** n
-            # sum of exp(-iwx) over the inner outcomes low < x < high
-            count = high - low - 1
-            half = np.sin(w / 2)
-            safe = np.where(np.abs(half) < 1e-300, 1.0, half)
-            kernel = np.where(np.abs(half) < 1e-300, count, np.sin(count * w / 2) / safe)
-            inner = value * kernel * np.exp(-1j * w * (low + high) / 2)
-            yield pd.DataFrame({"part": [float(inner.real.sum()) / size]})
-
-    frequencies = pairs.sparkSession.range(size)
-    inside = frequencies.mapInPandas(transform, "part double").agg(F.sum("part").alias("inside"))
+    k = (F.col("k_a") + F.col("k_b")).alias("k")
+    signatures = durable(pairs.groupBy("n_a", "n_b", k).agg(
+        F.count("*").alias("tasks"), F.sum(F.col("k_a") - F.col("k_b")).alias("lead")))
+    row = signatures.agg(F.coalesce(F.sum(F.col("k") * F.col("tasks")), F.lit(0)).alias("total"),
+                         F.abs(F.coalesce(F.sum("lead"), F.lit(0))).alias("lead")).first()
+    total, lead = int(row["total"]), int(row["lead"])
+    size, low, high = total + 1, (total - lead) // 2, -(-(total + lead) // 2)
+
+    def way(x: Column) -> Column:
+        return F.struct(x.alias("x"), (_choose(F.col("n_a"), x) * _choose(F.col("n_b"), F.col("k") - x)
+                                       / _choose(F.col("n_a") + F.col("n_b"), F.col("k"))).alias("p"))
+
+    span = F.sequence(F.greatest(F.lit(0), F.col("k") - F.col("n_b")), F.least("n_a", "k"))
+    w = F.col("i") * F.lit(2 * pi / size)
+
+    def part(wave) -> Column:
+        return F.aggregate("ways", F.lit(0.0), lambda acc, e: acc + e["p"] * wave(w * e["x"]))
+
+    terms = signatures.select("tasks", F.transform(span, way).alias("ways")).withColumn(
+        "i", F.explode(F.sequence(F.lit(0), F.lit(size // 2)))).select(
+        "i", "tasks", part(F.cos).alias("re"), part(F.sin).alias("im"))
+    modulus = F.log(F.greatest(F.hypot("re", "im"), F.lit(1e-300)))
+    factor = terms.groupBy("i").agg(F.sum(F.col("tasks") * modulus).alias("log_modulus"),
+                                    F.sum(F.col("tasks") * F.atan2("im", "re")).alias("angle"))
+    # sum of exp(-iwx) over the inner outcomes low < x < high
+    count = high - low - 1
+    kernel = F.when(F.col("i") == 0, F.lit(float(count))).otherwise(
+        F.try_divide(F.sin(w * (count / 2)), F.sin(w / 2)))
+    mirrored = F.when((F.col("i") == 0) | (F.col("i") * 2 == size), 1.0).otherwise(2.0)
+    inside = factor.agg(F.coalesce(F.sum(mirrored * F.exp("log_modulus") * kernel * F.cos(
+        F.col("angle") - w * ((low + high) / 2))), F.lit(0.0)).alias("inside"))
     return inside.select(
-        F.lit(lead).alias("difference"), F.lit(total).alias("solved_runs"),
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("inside"))).alias("p_value"))
+        F.lit(lead).cast("long").alias("difference"), F.lit(total).cast("long").alias("solved_runs"),
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("inside") / size)).alias("p_value"))
