@@ -1,6 +1,7 @@
 """Quality by importance resampling: two hashed n-gram models and a Gumbel top-k.
 
-Words, runs of signs and pairs of neighbours are hashed into BUCKETS. One model
+Words, runs of signs and pairs of neighbours are hashed into BUCKETS; a word that
+follows itself is the same pair for all words. One model
 counts them in target texts (documents labelled as good), one in all texts; the log
 weight of a text is the sum, over its n-grams, of the log ratio of the two. Texts
 are drawn without replacement in proportion to their weights: each log weight gets
@@ -40,6 +41,8 @@ SAMPLE_ROWS = 50_000
 #: Pseudo-counts of a bucket in either model.
 PRIOR = 1.0
 TOKENS = re.compile(rb"[0-9A-Za-z_\x80-\xff]+|[^\s0-9A-Za-z_\x80-\xff]+")
+#: The n-gram of a word and itself, whatever the word.
+REPEATED = np.uint64(0x5245504541544544)
 #: Sums of weights and noise are kept in steps of 2 ** -20.
 STEPS = 1 << 20
 
@@ -53,7 +56,9 @@ def grams(text: str, buckets: int = BUCKETS) -> Iterator[np.ndarray]:
             continue
         hashes = np.fromiter(map(crc32, tokens), np.uint64, len(tokens))
         before = hashes[:-1] if last is None else np.concatenate([[last], hashes[:-1]]).astype(np.uint64)
-        pairs = (before * np.uint64(0x9E3779B97F4A7C15) + hashes[len(hashes) - len(before):]) >> np.uint64(20)
+        after = hashes[len(hashes) - len(before):]
+        pairs = (before * np.uint64(0x9E3779B97F4A7C15) + after) >> np.uint64(20)
+        pairs[before == after] = REPEATED
         last = hashes[-1]
         yield (np.concatenate([hashes, pairs]) % np.uint64(buckets)).astype(np.int64)
 
@@ -158,10 +163,10 @@ def weighted(docs: DataFrame, labels: DataFrame, seed: int = 0, text: str = "tex
 
 def select(docs: DataFrame, labels: DataFrame, seed: int = 0, text: str = "text", doc_id: str = "doc_id",
            k: int | None = None) -> DataFrame:
-    """doc_id, log_weight, gumbel_key and selected for every document."""
+    """doc_id, log_weight, gumbel_key and kept for every document."""
     return weighted(docs, labels, seed, text, doc_id, k).select(
         F.col("_id").alias("doc_id"), F.col("_weight").alias("log_weight"),
-        (F.col("_key") / STEPS).alias("gumbel_key"), F.col("_selected").alias("selected"))
+        (F.col("_key") / STEPS).alias("gumbel_key"), F.col("_selected").alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, seed: int = 0, text: str = "text",

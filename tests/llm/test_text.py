@@ -127,10 +127,10 @@ def test_quality_parts_junk_and_keeps_ties(spark, odd, labels):
     table, known = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(
         marks, "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in quality.select(table, known).collect()}
-    assert all(got[i].selected == (i % 4 != 0) for i in range(300))
+    assert all(got[i].kept == (i % 4 != 0) for i in range(300))
     kept = quality.keep_good(table, known)
     assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(300) if i % 4] and kept.columns == table.columns
-    few = quality.select(table, known, k=10).where("selected").collect()
+    few = quality.select(table, known, k=10).where("kept").collect()
     assert len(few) == 10 and min(r.gumbel_key for r in few) >= sorted(r.gumbel_key for r in got.values())[-10]
     assert quality.select(odd, labels).count() == odd.count()
     assert quality.keep_good(odd.limit(0), labels).count() == 0
