@@ -7,7 +7,7 @@ from agentmetrics.plans import sessions_a
 from agentmetrics.sources import lines, logs_a
 from agentmetrics.streaming import jobs
 from tests.conftest import rows
-from tests.test_logs import session_log
+from tests.test_logs import orchard_log
 from tests.test_money import SHEET, SHEET_DDL
 from tests.test_segments import fold, random_sessions
 
@@ -21,14 +21,14 @@ def drain(stream, tmp_path, spark, name="out"):
 
 
 def test_usage_stream_equals_batch(spark, write_log, tmp_path):
-    root = write_log("a/proj/1111.jsonl", session_log("1111"))
+    root = write_log("logs/grove/first.jsonl", orchard_log("first"))
     recs = logs_a.records(jobs.log_lines(spark, root))
     got = drain(jobs.first_usage(recs).select("message_id", "input"), tmp_path, spark)
-    assert sorted((r["message_id"], r["input"]) for r in got) == [("m1", 10), ("m2", 5)]
+    assert sorted((r["message_id"], r["input"]) for r in got) == [("msg-1", 31), ("msg-2", 9)]
 
 
 def test_landed_stream_gives_the_same_units(spark, write_log, tmp_path):
-    root = write_log("a/proj/1111.jsonl", session_log("1111"))
+    root = write_log("logs/grove/first.jsonl", orchard_log("first"))
     table = str(tmp_path / "bronze")
     jobs.run(jobs.log_lines(spark, root), str(tmp_path / "ck"), jobs.land(logs_a.records, table),
              drain=True).awaitTermination(240)
