@@ -1,7 +1,7 @@
 """Language by unigram pieces, marginalised over all segmentations.
 
 Each language has a probability for every piece of a fixed public vocabulary. A
-unit, a run of letters in lower case behind a word mark, may be cut into pieces in
+unit, a run of word characters in lower case behind a word mark, may be cut into pieces in
 many ways; a forward algorithm sums the products of all of them. A text's log
 likelihood is the sum over its units, and the language with the greatest posterior,
 by the share of each language's texts, is predicted with it as score.
@@ -13,7 +13,7 @@ the expected uses of each piece, by forward and backward sums. Only the sums, on
 language and piece, come to the driver.
 
 Equal units are scored once per worker as long as they are remembered (CACHED).
-Runs of over UNIT letters are cut there, so that sums stay in range; no letter is
+Runs of over UNIT characters are cut there, so that sums stay in range; no letter is
 left out. A letter that is no piece uses one piece for all unknown letters.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0;
@@ -26,10 +26,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import batched
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import sentencepiece
@@ -45,11 +44,17 @@ ROUNDS = 2
 CACHED = 300_000
 COUNTED = 200_000
 UNITS_AT_ONCE = 20_000
+#: Texts of up to so many letters are cut into units at once.
+WHOLE = 2 * UNITS_AT_ONCE
+#: Of the tables in which pieces are looked up by hash.
+TABLE_BITS = 20
+BASE, BY_LENGTH = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+SPREAD = 0x9E3779B97F4A7C15
 #: Pseudo-uses of each piece.
 PRIOR = 0.1
 #: Uses are scaled by this factor per letter, which keeps long units in range.
 PER_LETTER = 20.0
-UNITS = re.compile(rf"[^\W\d_]{{1,{UNIT}}}")
+UNITS = re.compile(rf"\w{{1,{UNIT}}}")
 
 
 def vocabulary(model_path: str) -> list[str]:
@@ -59,9 +64,12 @@ def vocabulary(model_path: str) -> list[str]:
     return [p for p in pieces if (p == MARK or p.removeprefix(MARK).isalpha()) and p == p.lower()]
 
 
-def units(text: str) -> Iterator[tuple[str, ...]]:
+def units(text: str) -> Iterator[Sequence[str]]:
     """A text's units, some thousand at a time."""
-    return batched((m.group() for m in UNITS.finditer(text.lower())), UNITS_AT_ONCE)
+    lowered = text.lower()
+    if len(lowered) <= WHOLE:
+        return iter([found]) if (found := UNITS.findall(lowered)) else iter(())
+    return batched((m.group() for m in UNITS.finditer(lowered)), UNITS_AT_ONCE)
 
 
 class Lattice:
@@ -69,32 +77,86 @@ class Lattice:
 
     def __init__(self, pieces: list[str]):
         self.size = len(pieces) + 1  # the last is the unknown letter
-        self.found = ahocorasick.Automaton()
-        for i, piece in enumerate(pieces):
-            self.found.add_word(piece, (i, len(piece)))
-        self.found.make_automaton()
+        self.lengths = np.array([*map(len, pieces), 1])
+        self.scale = PER_LETTER ** self.lengths.astype(float)
+        starts = sorted({piece[:n] for piece in pieces for n in range(1, len(piece) + 1)})
+        number = {piece: i for i, piece in enumerate(pieces)}
+        self.piece = np.array([number.get(start, -1) for start in starts])  # of each start of pieces
+        self.hashes = np.array([self.hash_of(start) for start in starts], np.uint64)
         self.single = {p for p in pieces if len(p) == 1}
+        # a start lies in its slot of the first table, or where that is taken in one of the next
+        self.tables: list[np.ndarray] = []
+        left = np.arange(len(starts))
+        while len(left):
+            left = self.fill(len(self.tables), left)
 
-    def build(self, words: list[str]) -> tuple[np.ndarray, ...]:
+    @staticmethod
+    def hash_of(piece: str) -> int:
+        """A polynomial in the code points, modulo 2 ** 64, told apart by length."""
+        h = 0
+        for c in piece:
+            h = (h * BASE + ord(c)) % 2 ** 64
+        return (h + len(piece) * BY_LENGTH) % 2 ** 64
+
+    @staticmethod
+    def slots(hashes: np.ndarray, level: int) -> np.ndarray:
+        spread = np.uint64(SPREAD * (2 * level + 1) % 2 ** 64)
+        return ((hashes * spread) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+    def fill(self, level: int, ids: np.ndarray) -> np.ndarray:
+        """Put starts into a new table; those that find no free slot are returned."""
+        self.tables.append(np.full(1 << TABLE_BITS, -1, np.int32))
+        slots = self.slots(self.hashes[ids], level)
+        _, first = np.unique(slots, return_index=True)
+        self.tables[level][slots[first]] = ids[first]
+        return np.delete(ids, first)
+
+    def lookup(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of the starts with these hashes, -1 for none."""
+        found = np.full(len(hashes), -1, np.int64)
+        open_ones = np.arange(len(hashes))
+        for level, table in enumerate(self.tables):
+            held = table[self.slots(hashes[open_ones], level)]
+            same = (held >= 0) & (self.hashes[held] == hashes[open_ones])
+            found[open_ones[same]] = held[same]
+            open_ones = open_ones[(held >= 0) & ~same]  # a free slot: not in later tables either
+        return found
+
+    def pieces_in(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Where each use of a piece ends, and its number. All places are read on
+        together, letter by letter, as long as some piece starts like this."""
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        at, hashes, to, ids = np.arange(len(codes)), np.zeros(len(codes), np.uint64), [], []
+        length = 0
+        while len(at):
+            hashes = hashes * np.uint64(BASE) + codes[at + length]
+            length += 1
+            found = self.lookup(hashes + np.uint64(length * BY_LENGTH % 2 ** 64))
+            known = found >= 0
+            at, hashes, piece = at[known], hashes[known], self.piece[found[known]]
+            whole = piece >= 0
+            to.append(at[whole] + length)
+            ids.append(piece[whole])
+            more = at + length < len(codes)
+            at, hashes = at[more], hashes[more]
+        return np.concatenate(to), np.concatenate(ids)
+
+    def build(self, words: Sequence[str]) -> tuple[np.ndarray, ...]:
         """Per use of a piece: from, to, piece, step (place of its end), and each unit's start and end."""
-        text = "".join(MARK + word + "\n" for word in words)
-        ends, ids, lengths = [], [], []
-        for end, (piece, length) in self.found.iter(text):
-            ends.append(end)
-            ids.append(piece)
-            lengths.append(length)
+        text = "".join([f"{MARK}{word}\n" for word in words])
+        to, ids = self.pieces_in(text)
         strange = set(text) - self.single - {"\n"}
         if strange:
-            at = [i for i, c in enumerate(text) if c in strange]
-            ends, ids, lengths = ends + at, ids + [self.size - 1] * len(at), lengths + [1] * len(at)
-        to = np.array(ends, np.int64) + 1
-        sizes = np.array([len(word) + 2 for word in words], np.int64)
-        starts = np.cumsum(sizes) - sizes
-        unit = np.searchsorted(starts, to - 1, side="right") - 1
+            at = np.array([i for i, c in enumerate(text) if c in strange], np.int64)
+            to, ids = np.append(to, at + 1), np.append(ids, np.full(len(at), self.size - 1))
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        ends = np.cumsum(sizes) - 1
+        starts = ends - sizes + 1
+        unit = np.repeat(np.arange(len(words)), sizes)[to - 1]
         step = to - starts[unit]
-        order = np.lexsort((to, step))
-        length = np.array(lengths, np.int64)
-        return (to - length)[order], to[order], np.array(ids, np.int64)[order], step[order], unit[order], starts, starts + sizes - 1
+        order = np.argsort(step * (ends[-1] + 2) + to)
+        to, ids = to[order], ids[order]
+        return to - self.lengths[ids], to, ids, step[order], unit[order], starts, ends
 
     @staticmethod
     def forward(frm: np.ndarray, to: np.ndarray, step: np.ndarray, uses: np.ndarray, starts: np.ndarray,
@@ -112,14 +174,14 @@ class Lattice:
     def score(self, words: list[str], table: np.ndarray) -> np.ndarray:
         """Log probability of each unit in each language; ``table`` is (pieces, languages)."""
         frm, to, ids, step, _, starts, ends = self.build(words)
-        uses = table[ids] * PER_LETTER ** (to - frm)[:, None]
+        uses = (table * self.scale[:, None])[ids]
         sums = self.forward(frm, to, step, uses, starts, int(ends[-1]))[ends]
         return np.log(np.maximum(sums, 1e-300)) - (ends - starts)[:, None] * np.log(PER_LETTER)
 
     def expect(self, words: list[str], languages: np.ndarray, counts: np.ndarray, table: np.ndarray) -> np.ndarray:
         """Expected uses (pieces, languages) in units, each of one language and with a count."""
         frm, to, ids, step, unit, starts, ends = self.build(words)
-        uses = table[ids, languages[unit]] * PER_LETTER ** (to - frm)
+        uses = (table * self.scale[:, None])[ids, languages[unit]]
         ahead = self.forward(frm, to, step, uses, starts, int(ends[-1]))
         # the same sums from behind: mirror places within each unit
         mirror_from, mirror_to = starts[unit] + ends[unit] - to, starts[unit] + ends[unit] - frm
@@ -204,9 +266,9 @@ def predict(docs: DataFrame, pieces: list[str], languages: list[str], table: np.
         names, known, probabilities, prior = shared.value
         lattice = lattice_of(names)
         cache: dict[str, int] = {}
-        scores = np.zeros((CACHED + UNITS_AT_ONCE, len(known)))
+        scores = np.zeros((CACHED + WHOLE, len(known)))
 
-        def remember(part: tuple[str, ...]) -> None:
+        def remember(part: Sequence[str]) -> None:
             fresh = list({word for word in part if word not in cache})
             if len(cache) + len(fresh) > CACHED:
                 cache.clear()
