@@ -181,7 +181,7 @@ def test_agreement(spark):
     per = {r["label"]: r for r in rows(agreement.per_class(counts, []))}
     assert per["z"]["precision"] is None and per["z"]["f1"] == 0.0 and per["z"]["support"] == 1
     assert per["x"]["precision"] == 0.8 and per["x"]["recall"] == pytest.approx(4 / 6)
-    assert [(r["human"], r["n"]) for r in agreement.confusions(counts, [], 1).collect()] == [("x", 2)]
+    assert [(r["human"], r["n"]) for r in agreement.confusions(counts, [], 1).collect()] == [("x", 2), ("rest", 1)]
 
 
 def test_verified_savings_and_verdicts(spark):
