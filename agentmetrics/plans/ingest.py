@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import fixed
 from ..operators import upsert
-from ..session import durable
+from ..session import durable, job_scratch
 from ..sources import lines, logs_a, logs_b
 from ..sources.registry import Extract, extract_from, normalise, register
 from . import sessions_a, sessions_b, sessions_c
@@ -123,46 +123,48 @@ def extract(spark: SparkSession, sources: dict[str, dict], out: str, salt: str,
     while their content and both versions are unchanged; the child rows of a
     session in the batch are replaced as a whole. Invalid sessions, with the rules
     they fail, and lines that could not be read are written to ``errors`` and
-    counted in the manifest.
+    counted in the manifest. What is landed on the way, text included, is deleted
+    when the job ends.
     """
-    parts = [extract_from(spark, name, salt=salt, **where) for name, where in sources.items()]
-    every = union_all([projected(p.sessions.withColumn("source_path", F.col("path")), SESSION_TYPES)
-                       for p in parts]).drop("path", "cwd")
-    stamped = every.select(
-        "*", F.lit(fixed.SESSION_SCHEMA_VERSION).alias("schema_version"),
-        F.lit(fixed.CONNECTOR_VERSION).alias("connector_version"),
-        F.current_timestamp().alias("extracted_at"))
-    checked = durable(upsert.check(stamped, session_rules()))
-    good = upsert.valid(checked)
-    stored = upsert.read_or_empty(spark, f"{out}/sessions", good.schema)
-    merged = durable(upsert.merge(stored, good, KEY))
-    upsert.replace_table(merged.drop("outcome"), f"{out}/sessions")
-
-    children = {
-        "units": [p.units and projected(p.units, UNIT_TYPES) for p in parts],
-        "unit_tools": [p.unit_tools for p in parts], "unit_files": [p.unit_files for p in parts],
-        "models": [p.models for p in parts], "tools": [p.tools for p in parts],
-        "prompt_sources": [p.prompt_sources for p in parts]}
-    accepted = good.select(*KEY)
-    for name, frames in children.items():
-        batch = union_all(frames)
-        if batch is not None:
-            batch = durable(batch.join(accepted, KEY, "left_semi"))
-            held = upsert.read_or_empty(spark, f"{out}/{name}", batch.schema)
-            upsert.replace_table(upsert.replace_by_key(held, batch, KEY, accepted), f"{out}/{name}")
-    if include_content:
-        upsert.append_new(spark, f"{out}/content", union_all([p.content for p in parts]))
-    unread = union_all([p.rejects and p.rejects.withColumn("source_tool", F.lit(normalise(name)))
-                        for name, p in zip(sources, parts)])
-    bad = upsert.invalid(checked).select(
-        "source_tool", F.col("source_path").alias("path"), F.lit(None).cast("long").alias("line_no"),
-        F.explode("errors").alias("reason"))
-    (bad if unread is None else bad.unionByName(unread.select(
-        "source_tool", "path", F.col("line_no").cast("long"), "reason"))).write.mode("append").parquet(
-        f"{out}/errors")
-    report = durable(upsert.manifest(merged, checked, "source_tool", "started_at", "ended_at", unread))
-    report.write.mode("append").parquet(f"{out}/manifests")
-    return report
+    with job_scratch(spark):
+        parts = [extract_from(spark, name, salt=salt, **where) for name, where in sources.items()]
+        every = union_all([projected(p.sessions.withColumn("source_path", F.col("path")), SESSION_TYPES)
+                           for p in parts]).drop("path", "cwd")
+        stamped = every.select(
+            "*", F.lit(fixed.SESSION_SCHEMA_VERSION).alias("schema_version"),
+            F.lit(fixed.CONNECTOR_VERSION).alias("connector_version"),
+            F.current_timestamp().alias("extracted_at"))
+        checked = durable(upsert.check(stamped, session_rules()))
+        good = upsert.valid(checked)
+        stored = upsert.read_or_empty(spark, f"{out}/sessions", good.schema)
+        merged = durable(upsert.merge(stored, good, KEY))
+        upsert.replace_table(merged.drop("outcome"), f"{out}/sessions")
+
+        children = {
+            "units": [p.units and projected(p.units, UNIT_TYPES) for p in parts],
+            "unit_tools": [p.unit_tools for p in parts], "unit_files": [p.unit_files for p in parts],
+            "models": [p.models for p in parts], "tools": [p.tools for p in parts],
+            "prompt_sources": [p.prompt_sources for p in parts]}
+        accepted = good.select(*KEY)
+        for name, frames in children.items():
+            batch = union_all(frames)
+            if batch is not None:
+                batch = durable(batch.join(accepted, KEY, "left_semi"))
+                held = upsert.read_or_empty(spark, f"{out}/{name}", batch.schema)
+                upsert.replace_table(upsert.replace_by_key(held, batch, KEY, accepted), f"{out}/{name}")
+        if include_content:
+            upsert.append_new(spark, f"{out}/content", union_all([p.content for p in parts]))
+        unread = union_all([p.rejects and p.rejects.withColumn("source_tool", F.lit(normalise(name)))
+                            for name, p in zip(sources, parts)])
+        bad = upsert.invalid(checked).select(
+            "source_tool", F.col("source_path").alias("path"), F.lit(None).cast("long").alias("line_no"),
+            F.explode("errors").alias("reason"))
+        (bad if unread is None else bad.unionByName(unread.select(
+            "source_tool", "path", F.col("line_no").cast("long"), "reason"))).write.mode("append").parquet(
+            f"{out}/errors")
+        report = durable(upsert.manifest(merged, checked, "source_tool", "started_at", "ended_at", unread))
+        report.write.mode("append").parquet(f"{out}/manifests")
+        return spark.createDataFrame(report.collect(), report.schema)  # a row for each source
 
 
 def session_records(sessions: DataFrame, models: DataFrame, tools: DataFrame,

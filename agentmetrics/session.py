@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,12 +62,26 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
-def clear_scratch(spark: SparkSession) -> None:
+def clear_scratch(spark: SparkSession, part: str = "") -> None:
     """Delete what this application has landed; call it when its results are written."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_folder(spark)}/{part}".rstrip("/"))
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+_JOBS: list[str] = []
+
+
+@contextmanager
+def job_scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables landed inside go when the block ends, whether it succeeds or not."""
+    _JOBS.append(f"job-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        clear_scratch(spark, "/".join(_JOBS))
+        _JOBS.pop()
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -75,6 +91,6 @@ def durable(df: DataFrame) -> DataFrame:
     broadcast by their real size.
     """
     spark = df.sparkSession
-    target = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
+    target = "/".join([scratch_folder(spark), *_JOBS, uuid.uuid4().hex])
     df.write.parquet(target)
     return spark.read.schema(df.schema).parquet(target)

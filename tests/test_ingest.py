@@ -1,5 +1,6 @@
 import json
 import shutil
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
@@ -66,7 +67,10 @@ def test_extract_twice_changes_nothing(spark, sources, write_log, tmp_path):
 @pytest.mark.parametrize("name", ["claude-code", "codex", "cursor"])
 def test_one_source_alone_gives_the_same_columns(spark, sources, tmp_path, name):
     out = str(tmp_path / "alone")
+    scratch = Path(scratch_folder(spark).removeprefix("file:"))
+    before = set(scratch.glob("*")) if scratch.exists() else set()
     assert [r["new"] for r in rows(ingest.extract(spark, {name: sources[name]}, out, "pepper"))] == [1]
+    assert not scratch.exists() or set(scratch.glob("*")) <= before  # landed text goes with the job
     sessions = spark.read.parquet(f"{out}/sessions")
     assert set(ingest.SESSION_TYPES) <= set(sessions.columns)
     if name != "cursor":
