@@ -46,6 +46,8 @@ COUNTED = 200_000
 UNITS_AT_ONCE = 20_000
 #: Texts of up to so many letters are cut into units at once.
 WHOLE = 2 * UNITS_AT_ONCE
+#: New units are scored together once texts with so many units wait.
+TOGETHER = 100_000
 #: Of the tables in which pieces are looked up by hash.
 TABLE_BITS = 20
 BASE, BY_LENGTH = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
@@ -266,37 +268,46 @@ def predict(docs: DataFrame, pieces: list[str], languages: list[str], table: np.
         names, known, probabilities, prior = shared.value
         lattice = lattice_of(names)
         cache: dict[str, int] = {}
-        scores = np.zeros((CACHED + WHOLE, len(known)))
+        scores = np.zeros((CACHED + TOGETHER + WHOLE, len(known)))
 
-        def remember(part: Sequence[str]) -> None:
-            fresh = list({word for word in part if word not in cache})
+        def remember(words: set[str]) -> None:
+            """Score what is new of the words, all at once."""
+            fresh = [word for word in words if word not in cache]
             if len(cache) + len(fresh) > CACHED:
                 cache.clear()
-                fresh = list(set(part))
+                fresh = list(words)
             for at in range(0, len(fresh), 5000):
                 some = fresh[at:at + 5000]
                 first = len(cache)
                 scores[first:first + len(some)] = lattice.score(some, probabilities)
                 cache.update(zip(some, range(first, first + len(some))))
 
+        def add(totals: np.ndarray, waiting: list[tuple[int, Sequence[str]]]) -> None:
+            remember({word for _, part in waiting for word in part})
+            for row, part in waiting:
+                totals[row] += scores[np.fromiter(map(cache.__getitem__, part), np.int64, len(part))].sum(axis=0)
+            waiting.clear()
+
         for batch in batches:
-            predicted, sure = [], []
-            for text in batch.column(2):
+            lettered = np.zeros(batch.num_rows, bool)
+            totals = np.tile(prior, (batch.num_rows, 1))
+            waiting: list[tuple[int, Sequence[str]]] = []
+            held = 0
+            for row, text in enumerate(batch.column(2)):
                 text = text.as_py() or ""
-                if not known or not any(map(str.isalpha, text)):
-                    predicted.append("und")
-                    sure.append(0.0)
-                    continue
-                total = prior.copy()
-                for part in units(text):
-                    if not all(map(cache.__contains__, part)):
-                        remember(part)
-                    total += scores[np.fromiter(map(cache.__getitem__, part), np.int64, len(part))].sum(axis=0)
-                best = int(np.argmax(total))
-                predicted.append(known[best])
-                sure.append(float(1 / np.exp(total - total[best]).sum()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(predicted, pa.string()),
-                                              pa.array(sure, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+                lettered[row] = bool(known) and any(map(str.isalpha, text))
+                for part in units(text) if lettered[row] else ():
+                    waiting.append((row, part))
+                    held += len(part)
+                    if held >= TOGETHER:
+                        add(totals, waiting)
+                        held = 0
+            add(totals, waiting)
+            best = totals.argmax(axis=1) if known else np.zeros(batch.num_rows, int)
+            sure = 1 / np.exp(totals - totals.max(axis=1, keepdims=True)).sum(axis=1) if known else np.zeros(batch.num_rows)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], pa.array([known[b] if k else "und" for b, k in zip(best, lettered)], pa.string()),
+                 pa.array(np.where(lettered, sure, 0.0))], ["doc_id", "held_out", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(tell, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
