@@ -23,7 +23,7 @@ other columns are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
+from . import shingle_links
 from .common import join_groups, maybe_broadcast, whole_text
 from .components import components
 
@@ -199,9 +200,21 @@ def links(distinct: DataFrame, tile: int = TILE) -> DataFrame:
 
 def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH) -> DataFrame:
     """Per row: _id, _sum, _print and _component."""
-    rows = durable(with_fingerprint(docs, text, doc_id, width))
+    return with_component(durable(with_fingerprint(docs, text, doc_id, width)), links)
+
+
+def grouped_by_similarity(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
+                          width: int = shingle_links.WIDTH) -> DataFrame:
+    """As ``grouped``, with links between texts of similar shingle sets; _print tells the sets apart."""
+    rows = durable(shingle_links.with_keys(docs, text, doc_id, width))
+    return with_component(rows.select("_id", "_sum", "_print"),
+                          lambda _: shingle_links.links(docs, rows, text, width))
+
+
+def with_component(rows: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Adds to rows (_id, _sum, _print) the least id of all whose _print is connected."""
     distinct = durable(rows.groupBy("_print").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_n")))
-    roots = durable(components(durable(links(distinct))))
+    roots = durable(components(durable(link(distinct))))
     placed = distinct.join(roots.select(F.col("node").alias("_print"), F.col("root").alias("_root")), "_print", "left") \
         .withColumn("_linked", F.col("_root").isNotNull())
     least = placed.where("_linked").groupBy("_root").agg(
@@ -225,7 +238,18 @@ def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     Rows are dropped by a join with the narrow table of those that go, so kept texts
     are not grouped. Should a smallest id have several rows, one of them stays.
     """
-    rows = durable(grouped(docs, text, doc_id, width))
+    return least_of_each(docs, grouped(docs, text, doc_id, width), text, doc_id)
+
+
+def drop_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
+                 width: int = shingle_links.WIDTH) -> DataFrame:
+    """As ``drop_near_copies``, for components of texts with similar shingle sets."""
+    return least_of_each(docs, grouped_by_similarity(docs, text, doc_id, width), text, doc_id)
+
+
+def least_of_each(docs: DataFrame, placed: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of each component of ``placed``."""
+    rows = durable(placed)
     choice = rows.where(F.col("_id").eqNullSafe(F.col("_component"))).groupBy("_id", "_sum", "_component").agg(
         F.count(F.lit(1)).alias("_n"))
     several = choice.groupBy("_component").agg(F.sum("_n").alias("_n")).where("_n > 1").select("_component")
