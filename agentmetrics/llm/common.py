@@ -64,20 +64,24 @@ def stretches(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
     yield data[at:]
 
 
-def labelled_sample(labels: DataFrame, label: str, rows: int, among: Column | None = None) -> DataFrame:
-    """(_id, _label): at most ``rows`` ids of each class 0 and 1, lowest hash of the id first.
+def known_labels(labels: DataFrame, label: str, among: Column | None = None) -> DataFrame:
+    """(_id, _label): every id of the classes 0 and 1, once.
 
     Null ids and labels are left out; of several labels of an id the lowest counts.
     """
-    known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label"),
-                          (F.lit(True) if among is None else among).alias("_among")) \
+    return labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label"),
+                         (F.lit(True) if among is None else among).alias("_among")) \
         .where("_among AND _id IS NOT NULL AND _label IN (0, 1)").groupBy("_id").agg(F.min("_label").alias("_label"))
+
+
+def labelled_sample(known: DataFrame, rows: int) -> DataFrame:
+    """(_id, _label): at most ``rows`` of the known labels of each class, lowest hash of the id first."""
     known = durable(known.withColumn("_order", F.xxhash64("_id")))
     parts = [known.where(F.col("_label") == c).orderBy("_order", "_id").limit(rows) for c in (0, 1)]
     return durable(parts[0].unionByName(parts[1]).select("_id", "_label"))
 
 
-def with_label(docs: DataFrame, sample: DataFrame, text: str, doc_id: str, how: str = "left") -> DataFrame:
-    """(_id, _text, _label) of documents; a label outside the bounded sample is null."""
+def with_label(docs: DataFrame, known: DataFrame, text: str, doc_id: str, how: str = "left") -> DataFrame:
+    """(_id, _text, _label) of documents; narrow labels too many for a broadcast are joined by a shuffle."""
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
-    return rows.join(F.broadcast(sample), "_id", how).select("_id", "_text", "_label")
+    return rows.join(maybe_broadcast(known, known.count(), 24), "_id", how).select("_id", "_text", "_label")

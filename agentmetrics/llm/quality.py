@@ -11,9 +11,9 @@ k is the number of texts over the cut that parts labelled good from labelled bad
 texts best (least sum of the two error rates). The kth sum is found by counting its
 digits from the top, four small aggregates; nothing is sorted as a whole.
 
-Counts cover all texts. Target texts and the labels for the cut are a sample of at
-most SAMPLE_ROWS labelled rows of each class, lowest hash of the id first; the
-sample's ids are broadcast.
+Counts cover all texts, and target texts and the labels for the cut are all labelled
+ones. Labels are broadcast while they fit ``common.BROADCAST_BYTES``; more are joined by
+a shuffle.
 
 Defined cases: null and empty texts, and texts without n-grams, have log weight 0;
 of several labels of a document the lowest counts, null labels do not; without
@@ -34,10 +34,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
-from .common import labelled_sample, maybe_broadcast, stretches, whole_text, with_label
+from .common import known_labels, maybe_broadcast, stretches, whole_text, with_label
 
 BUCKETS = 10_000
-SAMPLE_ROWS = 50_000
 #: Pseudo-counts of a bucket in either model.
 PRIOR = 1.0
 TOKENS = re.compile(rb"[0-9A-Za-z_\x80-\xff]+|[^\s0-9A-Za-z_\x80-\xff]+")
@@ -147,9 +146,9 @@ def kth_greatest(keys: DataFrame, k: int) -> int | None:
 
 
 def weighted(docs: DataFrame, labels: DataFrame, seed: int = 0, text: str = "text", doc_id: str = "doc_id",
-             k: int | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+             k: int | None = None) -> DataFrame:
     """Per row: _id, _sum, _label, _weight, _key (weight and noise) and _selected."""
-    rows = with_label(docs, labelled_sample(labels, "quality", sample_rows), text, doc_id)
+    rows = with_label(docs, durable(known_labels(labels, "quality")), text, doc_id)
     bound = float(1 << 40)
     key = F.floor(F.greatest(F.lit(-bound), F.least(F.lit(bound), F.col("_weight") + gumbel("_id", seed))) * STEPS)
     scored = durable(with_weight(rows, log_ratios(rows)).withColumn("_key", key))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
-from .common import id_remainder, labelled_sample, with_label
+from .common import id_remainder, known_labels, labelled_sample, with_label
 
 SAMPLE_ROWS = 20_000
 FEATURES = 4096
@@ -203,7 +203,7 @@ def fit(own: list[list[int]], labels: np.ndarray, pairs: list[tuple[int, list[in
 
 def learn(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, penalty: float = PENALTY,
           sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray, float]:
-    ids = labelled_sample(labels, "toxic", sample_rows, id_remainder("doc_id", 3) != 1)
+    ids = labelled_sample(known_labels(labels, "toxic", id_remainder("doc_id", 3) != 1), sample_rows)
     sample = durable(with_label(docs, ids, text, doc_id, "inner"))
     features = selected(sample)
     if not features:
