@@ -1,15 +1,17 @@
 """A toxicity classifier that is held to equal scores when identity terms are swapped.
 
 Features of a text are its words in lower case and their first letters, each once.
-Those that toxic texts have far more often than others are counted over labelled
+Those that toxic texts have far more often than others are counted over all labelled
 training texts and selected. A logistic model is fitted on them. For each training
 text with an identity term, the text with its terms swapped for others of the same
 kind is scored as well, and the squared change of the score is part of the loss, so
 that a group's mention alone does not move it.
 
-The fit uses at most SAMPLE_ROWS labelled rows of each class, lowest hash of the id
-first, so the sample's ids can be broadcast and the fit, on the driver, has a bounded
-input: the selected features of those rows. All texts are scored, whole.
+Only the logistic fit uses at most SAMPLE_ROWS labelled rows of each class, lowest hash
+of the id first, so that on the driver it has a bounded input: the selected features of
+those rows. A selected feature that fewer than LEAST_TEXTS toxic texts of that sample
+hold is given, in place of a fitted weight, the one that lifts a text without other signs
+to the feature's log odds over all labelled texts. All texts are scored, whole.
 
 Defined cases: null and empty texts have no features and get the score of a text
 without any sign of toxicity; without labels of both classes all scores are 0; a
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
-from .common import id_remainder, known_labels, labelled_sample, with_label
+from .common import id_remainder, known_labels, labelled_sample, maybe_broadcast, with_label
 
 SAMPLE_ROWS = 20_000
 FEATURES = 4096
@@ -79,8 +81,8 @@ def swapped(words: set[str]) -> list[set[str]]:
     return out
 
 
-def feature_counts(sample: DataFrame) -> DataFrame:
-    """(_feature, _toxic, _clean): in how many sampled texts of either class it occurs."""
+def feature_counts(training: DataFrame) -> DataFrame:
+    """(_feature, _toxic, _clean): in how many labelled texts of either class it occurs."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[dict[str, int], dict[str, int]] = ({}, {})
 
@@ -102,20 +104,20 @@ def feature_counts(sample: DataFrame) -> DataFrame:
                     yield rows()
         yield rows()
 
-    return sample.select("_text", "_label").mapInArrow(count, "_feature string, _toxic long, _clean long") \
+    return training.select("_text", "_label").mapInArrow(count, "_feature string, _toxic long, _clean long") \
         .groupBy("_feature").agg(F.sum("_toxic").alias("_toxic"), F.sum("_clean").alias("_clean"))
 
 
-def selected(sample: DataFrame, features: int = FEATURES) -> list[str]:
-    """The features whose odds speak most surely for toxicity."""
-    classes = {r["_label"]: r["count"] for r in sample.groupBy("_label").count().collect()}
+def selected(training: DataFrame, features: int = FEATURES) -> dict[str, float]:
+    """The features whose odds speak most surely for toxicity, with the log of these."""
+    classes = {r["_label"]: r["count"] for r in training.groupBy("_label").count().collect()}
     toxic, clean = classes.get(1, 0), classes.get(0, 0)
     if not toxic or not clean:
-        return []
+        return {}
     odds = F.log((F.col("_toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("_clean") + 0.5) / (clean + 1.0))
-    return [r["_feature"] for r in feature_counts(sample).where(F.col("_toxic") >= LEAST_TEXTS)
+    return {r["_feature"]: r["_odds"] for r in feature_counts(training).where(F.col("_toxic") >= LEAST_TEXTS)
             .withColumn("_odds", odds).where(F.col("_odds") >= float(np.log(LEAST_ODDS)))
-            .orderBy((F.col("_odds") * F.sqrt("_toxic")).desc(), "_feature").limit(features).collect()]
+            .orderBy((F.col("_odds") * F.sqrt("_toxic")).desc(), "_feature").limit(features).collect()}
 
 
 class Finder(dict):
@@ -203,15 +205,21 @@ def fit(own: list[list[int]], labels: np.ndarray, pairs: list[tuple[int, list[in
 
 def learn(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, penalty: float = PENALTY,
           sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray, float]:
-    ids = labelled_sample(known_labels(labels, "toxic", id_remainder("doc_id", 3) != 1), sample_rows)
-    sample = durable(with_label(docs, ids, text, doc_id, "inner"))
-    features = selected(sample)
+    known = durable(known_labels(labels, "toxic", id_remainder("doc_id", 3) != 1))
+    training = durable(with_label(docs, known, text, doc_id, "inner"))
+    odds = selected(training)
+    features = list(odds)
     if not features:
         return [], np.zeros(0), -np.inf
+    ids = labelled_sample(known, sample_rows)
+    sample = training.join(maybe_broadcast(ids, ids.count(), 24), ["_id", "_label"], "left_semi")
     rows = sparse_rows(sample, features)
     own = rows.column("own").to_pylist()
     pairs = [(i, other) for i, others in enumerate(rows.column("other").to_pylist()) for other in others]
-    weights, bias = fit(own, rows.column("label").to_numpy(), pairs, len(features), penalty)
+    toxic = rows.column("label").to_numpy()
+    weights, bias = fit(own, toxic, pairs, len(features), penalty)
+    seen = Sparse(own, len(features)).back(toxic.astype(float))
+    weights = np.where(seen < LEAST_TEXTS, np.array(list(odds.values())) - min(bias, 0.0), weights)
     return features, weights, bias
 
 

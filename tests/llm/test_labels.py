@@ -1,4 +1,25 @@
-from agentmetrics.llm import common, quality
+import random
+
+from agentmetrics.llm import common, quality, toxicity
+
+
+def test_a_sign_outside_the_fitted_sample_is_learned(spark):
+    rng = random.Random(6)
+    plain = ["river", "stone", "cloud", "field", "bread", "window", "garden"]
+    docs, labels = [], []
+    for i in range(1200):
+        words = [rng.choice(plain) for _ in range(20)]
+        if i % 2:
+            words.append("zzrare" if i % 150 == 1 else "vilename")
+        docs.append((i, " ".join(words)))
+        labels.append((i, None, i % 2))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    features, weights, bias = toxicity.learn(table, known, "text", "doc_id", sample_rows=30)
+    value = dict(zip(features, weights))
+    for word in ("zzrare", "vilename"):  # the sample has at most two texts with the first
+        assert toxicity.squash(bias + sum(value.get(f, 0) for f in toxicity.features_of(word))) >= toxicity.TOXIC_FROM
+    assert toxicity.squash(bias) < toxicity.TOXIC_FROM
 
 
 def test_all_quality_labels_count(spark):
