@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    exact_dedup, language_id, mixing, pii, piece_encoding, quality, simhash, toxicity, url_filter,
-    vector_search)
+    clustering, exact_dedup, language_id, merkle, mixing, packing, pii, piece_encoding, quality, simhash,
+    toxicity, url_filter, vector_search)
 from .common import table, tokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,18 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_pii")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find(table(spark, folder, "documents"))
+
+
+@query("op11_packing")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+@query("op12_clustering", clustering.cluster_sql())
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return clustering.cluster(table(spark, folder, "embeddings"))
+
+
+@query("op13_merkle", merkle.manifest_sql())
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.manifest(table(spark, folder, "documents"))
