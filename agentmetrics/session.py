@@ -82,15 +82,17 @@ def job_scratch(spark: SparkSession) -> Iterator[None]:
         _JOBS.pop()
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, outlive: int = 0) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
+    ``outlive`` is the number of open ``job_scratch`` blocks that the table stays beyond.
+
     Cuts lineage so that a lost executor costs a re-read and not a re-run, fixes
     values that could differ between two evaluations, and leaves a columnar
     table with known size, so later reads prune columns and small tables are
     broadcast by their real size.
     """
     spark = df.sparkSession
-    target = "/".join([scratch_folder(spark), *_JOBS, uuid.uuid4().hex])
+    target = "/".join([scratch_folder(spark), *_JOBS[:len(_JOBS) - outlive], uuid.uuid4().hex])
     df.write.parquet(target)
     return spark.read.schema(df.schema).parquet(target)
