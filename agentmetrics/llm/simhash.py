@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import durable, job_scratch
 from . import shingle_links
 from .common import join_groups, maybe_broadcast, whole_text
 from .components import components
@@ -206,9 +206,11 @@ def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width:
 def grouped_by_similarity(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                           width: int = shingle_links.WIDTH) -> DataFrame:
     """As ``grouped``, with links between texts of similar shingle sets; _print tells the sets apart."""
-    rows = durable(shingle_links.with_keys(docs, text, doc_id, width))
-    return with_component(rows.select("_id", "_sum", "_print"),
-                          lambda _: shingle_links.links(docs, rows, text, width))
+    spark = docs.sparkSession
+    with job_scratch(spark):
+        rows = durable(shingle_links.with_keys(docs, text, doc_id, width))
+        return durable(with_component(rows.select("_id", "_sum", "_print"),
+                                      lambda _: shingle_links.links(docs, rows, text, doc_id, width)), outlive=1)
 
 
 def with_component(rows: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -6,8 +6,8 @@ import sentencepiece
 
 import __spark_entry__
 import corpus_pipeline
-from agentmetrics.llm import simhash
 from agentmetrics.session import durable
+from tests.llm.test_similar import kept_by_brute_force
 
 
 def test_stages_follow_each_other(spark):
@@ -23,8 +23,7 @@ def test_stages_follow_each_other(spark):
     assert 0.6 * before < good.count() < before
     plain = [re.sub(r"[\x20\x09-\x0D]", "", r.text or "") for r in exact.collect()]
     assert len(set(plain)) == len(plain)
-    groups = simhash.near_groups(exact).collect()
-    assert sorted(r.doc_id for r in near.collect()) == sorted({r.component_id for r in groups})
+    assert sorted(r.doc_id for r in near.collect()) == kept_by_brute_force([(r.doc_id, r.text) for r in exact.collect()])
     assert {r.doc_id for r in mixed.collect()} <= {r.doc_id for r in near.collect()}
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     want = sorted((r.doc_id, hashlib.sha256(",".join(map(str, library.encode(r.text or ""))).encode()).hexdigest())
@@ -37,3 +36,14 @@ def test_stages_follow_each_other(spark):
 def test_all_are_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and {f"op{n}" for n in range(1, 14)} <= {n.split("_")[0] for n in names}
+
+
+def test_stages_on_odd_rows_and_empty_tables(spark, odd, tmp_path, labels):
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for docs in (odd, odd.limit(0)):
+        columns, rows = docs.columns, docs.count()
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = durable(stage(spark, docs, str(tmp_path)))
+            assert docs.columns == columns
+        encoded = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+        assert encoded.count() == docs.count() and (docs.count() > 0) == (rows > 0)

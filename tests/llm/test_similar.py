@@ -1,7 +1,11 @@
+import os
 import random
 
+import numpy as np
+
 import corpus_pipeline
-from agentmetrics.llm import simhash
+from agentmetrics.llm import shingle_links, simhash
+from agentmetrics.session import scratch_folder
 
 
 def shingles(text):
@@ -53,3 +57,28 @@ def test_stage_on_the_small_tables_and_odd_rows(spark, odd):
     want = kept_by_brute_force([(r.doc_id, r.text) for r in docs.collect()])
     assert sorted(r.doc_id for r in simhash.drop_similar(docs).dropDuplicates(["doc_id"]).collect()) == want
     assert simhash.drop_similar(odd.limit(0)).count() == 0
+
+
+def test_sketches_settle_no_similar_pair():
+    rng = random.Random(9)
+    for _ in range(300):
+        size = rng.choice((1, 5, 40, 900))
+        left = {rng.getrandbits(63) for _ in range(size)}
+        right = set(rng.sample(sorted(left), len(left) - rng.randrange(0, 1 + size // 9))) | {
+            rng.getrandbits(63) for _ in range(rng.randrange(0, 1 + size // 9))}
+        a, b = (np.array(sorted(s), np.int64) for s in (left, right))
+        differing = sum(int(x).bit_count() for x in (shingle_links.sketch(a) ^ shingle_links.sketch(b)).view(np.uint64))
+        assert differing <= len(left ^ right)
+
+
+def test_what_the_stage_lands_is_deleted(spark, tmp_path):
+    """What stays is what the result reads: no table of shingles, keys or sets."""
+    rng = random.Random(10)
+    base = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(base[:rng.randrange(50, 60)])) for i in range(30)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    before = set(os.listdir(scratch_folder(spark)))
+    assert [r.doc_id for r in simhash.drop_similar(frame).collect()] == kept_by_brute_force(docs)
+    left = set(os.listdir(scratch_folder(spark))) - before
+    columns = {c for f in left for c in spark.read.parquet(f"{scratch_folder(spark)}/{f}").columns}
+    assert left and not columns & {"_keys", "_set", "_bits", "_key"}
