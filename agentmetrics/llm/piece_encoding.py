@@ -35,7 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-CACHED = 250_000
+CACHED = 1_000_000
+TEXTS_AT_ONCE = 50
 CACHED_LENGTH = 64
 SHORT = 40
 NEVER = float("inf")
@@ -164,18 +165,18 @@ class PieceEncoder(dict):
 
     def encode_batch(self, texts: list[str]) -> list[tuple[list[int], int]]:
         """Ids of each text, and the number of its cuts on which the library differed."""
-        out = []
-        for text in texts:
-            words = self.words(text)
-            ids = list(chain.from_iterable(map(self.__getitem__, words)))
-            if self.fresh:
-                self.check()
-            if self.corrected and not self.corrected.isdisjoint(words):
-                out.append((list(chain.from_iterable(map(self.__getitem__, words))),
-                            sum(word in self.corrected for word in words)))
-            else:
-                out.append((ids, 0))
-            self.forget()
+        cut, found = [self.words(text) for text in texts], []
+        for words in cut:
+            found.append(list(chain.from_iterable(map(self.__getitem__, words))))
+        if self.fresh:
+            self.check()
+        out = [(ids, 0) for ids in found]
+        if self.corrected:
+            for i, words in enumerate(cut):
+                if not self.corrected.isdisjoint(words):
+                    out[i] = (list(chain.from_iterable(map(self.__getitem__, words))),
+                              sum(word in self.corrected for word in words))
+        self.forget()
         return out
 
 
@@ -203,12 +204,13 @@ def encode_table(docs: DataFrame, model_path: str, text: str = "text", doc_id: s
         numbers, decode, sha = encoder.numbers, encoder.library.decode, hashlib.sha256
         for batch in batches:
             counts, hashes, decoded, corrected = [], [], [], []
-            for text in batch.column(1):
-                ids, wrong = encoder.encode_batch([text.as_py() or ""])[0]
-                counts.append(len(ids))
-                hashes.append(sha(",".join(map(numbers.__getitem__, ids)).encode()).hexdigest())
-                decoded.append(sha(decode(ids).encode()).hexdigest() if ids else sha(b"").hexdigest())
-                corrected.append(wrong)
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                texts = [text or "" for text in batch.column(1).slice(at, TEXTS_AT_ONCE).to_pylist()]
+                for ids, wrong in encoder.encode_batch(texts):
+                    counts.append(len(ids))
+                    hashes.append(sha(",".join(map(numbers.__getitem__, ids)).encode()).hexdigest())
+                    decoded.append(sha(decode(ids).encode()).hexdigest() if ids else sha(b"").hexdigest())
+                    corrected.append(wrong)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()),
                  pa.array(decoded, pa.string()), pa.array(corrected, pa.int64())],
