@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
-from .common import known_labels, maybe_broadcast, stretches, whole_text, with_label
+from .common import known_labels, stretches, whole_text, with_label
 
 BUCKETS = 10_000
 #: Pseudo-counts of a bucket in either model.
@@ -88,17 +88,19 @@ def log_ratios(rows: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
         - np.log((every + PRIOR) / (every.sum() + PRIOR * buckets))
 
 
+def weights(texts: pa.Array, ratios: np.ndarray) -> np.ndarray:
+    """The log weight of each text."""
+    return np.array([sum(ratios[found].sum() for found in grams(text.as_py() or "", len(ratios))) for text in texts], float)
+
+
 def with_weight(rows: DataFrame, ratios: np.ndarray) -> DataFrame:
     """(_id, _sum, _label, _weight), with a checksum of the text."""
     shared = rows.sparkSession.sparkContext.broadcast(ratios)
     kind = rows.schema["_id"].dataType.simpleString()
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
         for batch in batches:
-            weights = [float(sum(table[found].sum() for found in grams(text.as_py() or "", len(table))))
-                       for text in batch.column(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(weights, pa.float64())],
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(weights(batch.column(3), shared.value))],
                                              ["_id", "_sum", "_label", "_weight"])
 
     return rows.select("_id", F.xxhash64(whole_text("_text")).alias("_sum"), "_label", "_text").mapInArrow(
@@ -145,18 +147,29 @@ def kth_greatest(keys: DataFrame, k: int) -> int | None:
     return prefix - (1 << 61)
 
 
-def weighted(docs: DataFrame, labels: DataFrame, seed: int = 0, text: str = "text", doc_id: str = "doc_id",
-             k: int | None = None) -> DataFrame:
-    """Per row: _id, _sum, _label, _weight, _key (weight and noise) and _selected."""
-    rows = with_label(docs, durable(known_labels(labels, "quality")), text, doc_id)
+def noisy_key(seed: int) -> Column:
+    """Weight and noise of a row (_id, _weight) as a whole number."""
     bound = float(1 << 40)
-    key = F.floor(F.greatest(F.lit(-bound), F.least(F.lit(bound), F.col("_weight") + gumbel("_id", seed))) * STEPS)
-    scored = durable(with_weight(rows, log_ratios(rows)).withColumn("_key", key))
+    return F.floor(F.greatest(F.lit(-bound), F.least(F.lit(bound), F.col("_weight") + gumbel("_id", seed))) * STEPS)
+
+
+def decision(docs: DataFrame, labels: DataFrame, seed: int, text: str, doc_id: str,
+             k: int | None) -> tuple[DataFrame, np.ndarray, Column]:
+    """All rows (_id, _sum, _label, _weight, _key), the ratios behind the weights, and which keys are selected."""
+    rows = with_label(docs, durable(known_labels(labels, "quality")), text, doc_id)
+    ratios = log_ratios(rows)
+    scored = durable(with_weight(rows, ratios).withColumn("_key", noisy_key(seed)))
     if k is None:
         cut = best_cut(scored)
         k = scored.count() if cut is None else scored.where(F.col("_weight") >= cut).count()
     least = kth_greatest(scored, k) if k else None
-    chosen = F.lit(k > 0) if least is None else F.col("_key") >= F.lit(least)
+    return scored, ratios, F.lit(k > 0) if least is None else F.col("_key") >= F.lit(least)
+
+
+def weighted(docs: DataFrame, labels: DataFrame, seed: int = 0, text: str = "text", doc_id: str = "doc_id",
+             k: int | None = None) -> DataFrame:
+    """Per row: _id, _sum, _label, _weight, _key (weight and noise) and _selected."""
+    scored, _, chosen = decision(docs, labels, seed, text, doc_id, k)
     return scored.withColumn("_selected", chosen)
 
 
@@ -170,9 +183,21 @@ def select(docs: DataFrame, labels: DataFrame, seed: int = 0, text: str = "text"
 
 def keep_good(docs: DataFrame, labels: DataFrame, seed: int = 0, text: str = "text",
               doc_id: str = "doc_id") -> DataFrame:
-    """The selected rows, with their own columns; texts are not shuffled while the rejected are few."""
-    go = durable(weighted(docs, labels, seed, text, doc_id).where("NOT _selected").select("_id", "_sum").distinct())
+    """The selected rows, with their own columns.
+
+    With the ratios and the least key known, a row's fate follows from its text and id
+    alone, so rows are weighed once more and filtered where they are; none is shuffled.
+    """
+    _, ratios, chosen = decision(docs, labels, seed, text, doc_id, None)
+    shared = docs.sparkSession.sparkContext.broadcast(ratios)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"),
-                        F.col(doc_id).alias("_id"), F.xxhash64(whole_text(text)).alias("_sum"))
-    same = whole["_id"].eqNullSafe(go["_id"]) & (whole["_sum"] == go["_sum"])
-    return whole.join(maybe_broadcast(go, go.count(), 64), same, "left_anti").select("_doc.*")
+                        F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+    kinds = ", ".join(f"{c} {whole.schema[c].dataType.simpleString()}" for c in ("_doc", "_id"))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(weights(batch.column(2), shared.value))],
+                                             ["_doc", "_id", "_weight"])
+
+    weighed = whole.mapInArrow(weigh, f"{kinds}, _weight double")
+    return weighed.withColumn("_key", noisy_key(seed)).where(chosen).select("_doc.*")

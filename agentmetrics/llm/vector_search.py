@@ -90,7 +90,7 @@ def search_block(ids: np.ndarray, values: np.ndarray, codes: np.ndarray, low: np
                  query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[list, list, list, int]:
     """The exact k best of a block for each query: query, id, score, and exact vectors read.
 
-    ``ids`` has a row of ids for each vector, smallest first, padded with -1.
+    ``ids`` has a row of ids for each vector, smallest first, padded with the last.
     """
     floor = low + codes * step
     lower, upper = floor.astype(float).T, (floor + step - 1).astype(float).T
@@ -111,7 +111,7 @@ def search_block(ids: np.ndarray, values: np.ndarray, codes: np.ndarray, low: np
                 best = found[q]
                 for row, score in zip(rows, scores):
                     if len(best) < k or score >= -best[-1][0]:
-                        best.extend((-score, i) for i in ids[row].tolist() if i >= 0 and i != own[q])
+                        best.extend((-score, i) for i in dict.fromkeys(ids[row].tolist()) if i != own[q])
                         best.sort()
                         del best[k:]
                 following = at + STEP
@@ -138,7 +138,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vector: str = "embedd
         .where(F.col("_rank") <= k + 1)
     ids = F.array_sort(F.collect_list("_id"))
     entries = durable(smallest.groupBy("_v").agg(ids.alias("_ids")).select(
-        F.concat("_ids", F.array_repeat(F.lit(-1).cast("long"), F.lit(k + 1) - F.size("_ids"))).alias("_ids"), "_v"))
+        F.concat("_ids", F.array_repeat(F.element_at("_ids", -1), F.lit(k + 1) - F.size("_ids"))).alias("_ids"), "_v"))
     data = packed(entries, block_rows, "d")
     queries = packed(rows.where(F.col("_id") % every == 0).select(F.array("_id").alias("_ids"), "_v"), block_rows, "q")
     # block numbers first, so that each data block meets each query block of its width

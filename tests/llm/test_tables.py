@@ -109,3 +109,14 @@ def test_bounds_spare_exact_vectors():
     for q in range(0, 4000, 100):
         order = sorted((-int(s), i) for i, s in enumerate(values @ values[q]) if i != q)[:5]
         assert [(i, s) for w, i, s in zip(who, found, scores) if w == q] == [(i, -s) for s, i in order]
+
+
+def test_negative_ids_are_candidates(spark):
+    rows = [(-7, [2.0, 1.0]), (0, [1.0, 0.0]), (-50, [1.0, 0.5]), (3, [0.5, 0.5]), (-8, [2.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = []
+    for q, v in rows:
+        if q % 50 == 0:
+            best = sorted((-sum(int(256 * a) * int(256 * b) for a, b in zip(v, w)), i) for i, w in rows if i != q)
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best[:5])]
+    assert sorted(tuple(r) for r in vector_search.top_k(table).collect()) == sorted(want)
