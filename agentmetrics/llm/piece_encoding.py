@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-CACHED = 1_000_000
+CACHED = 300_000
 TEXTS_AT_ONCE = 50
 CACHED_LENGTH = 64
 SHORT = 40
