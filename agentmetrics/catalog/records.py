@@ -177,19 +177,24 @@ def carry_model(t: Tables) -> DataFrame:
         "event_id", "model")
 
 
-@query("q_usage_dedupe", """
-WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events),
-f AS (SELECT user_id, k, arg_min(CAST(floor(value * 100) AS BIGINT), event_id) AS v FROM e GROUP BY user_id, k)
-SELECT user_id, count(*) AS assistant_messages, sum(v) AS input FROM f GROUP BY user_id""")
-def usage_dedupe(t: Tables) -> DataFrame:
-    """Events as message records: one usage per message id, the first counts."""
-    e = t.events.select(
+def usage_records(t: Tables) -> DataFrame:
+    """Events as message records."""
+    return t.events.select(
         F.col("user_id").alias("path"), F.lit(0).alias("split"), F.col("event_id").alias("pos"),
         F.lit("assistant").alias("rtype"), F.get_json_object("props", "$.k").alias("message_id"),
         F.lit("m").alias("model_id"), F.lit(True).alias("has_usage"),
         F.floor(F.col("value") * 100).alias("input"),
         *[F.lit(0).alias(c) for c in ("output", "cache_read", "cache_creation")],
         *[F.lit(None).cast("string").alias(c) for c in ("effort", "speed", "service_tier")])
+
+
+@query("q_usage_dedupe", """
+WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events),
+f AS (SELECT user_id, k, arg_min(CAST(floor(value * 100) AS BIGINT), event_id) AS v FROM e GROUP BY user_id, k)
+SELECT user_id, count(*) AS assistant_messages, sum(v) AS input FROM f GROUP BY user_id""")
+def usage_dedupe(t: Tables) -> DataFrame:
+    """One usage per message id, the first counts."""
+    e = usage_records(t)
     totals = sessions_a.message_totals(sessions_a.messages(e, ["path"]), ["path"])
     return totals.select(F.col("path").alias("user_id"), "assistant_messages", "input")
 

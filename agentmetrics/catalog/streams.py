@@ -13,13 +13,18 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators import upsert
-from ..session import scratch_folder
+from ..plans import sessions_a
+from ..session import durable, scratch_folder
+from ..sources import logs_a
 from ..streaming import jobs
 from .money import PRICED_SQL, order_sessions, sheet
-from .records import KEYS, UPSERT_SQL, batch, stored
-from .registry import Tables, query
+from .records import KEYS, UPSERT_SQL, batch, stored, usage_records
+from . import adapters as D
+from .registry import SQL, Tables, query
+from .traffic import GAP, a_tables
 
-FILES, PER_BATCH = 4, 2
+#: Micro-batches that a table is drained in.
+BATCHES = 2
 
 
 def place(t: Tables) -> str:
@@ -27,9 +32,12 @@ def place(t: Tables) -> str:
 
 
 def as_stream(t: Tables, df: DataFrame) -> DataFrame:
+    """The rows as files, dealt anew, as many as the table's size asks for; read in BATCHES parts."""
     folder = place(t)
-    df.repartition(FILES).write.parquet(folder)
-    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", PER_BATCH).parquet(folder)
+    dealt = durable(df)
+    files = max(2 * BATCHES, dealt.rdd.getNumPartitions())
+    dealt.repartition(files).write.parquet(folder)
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", -(-files // BATCHES)).parquet(folder)
 
 
 def drained(t: Tables, stream: DataFrame) -> DataFrame:
@@ -84,3 +92,51 @@ def stream_upsert(t: Tables) -> DataFrame:
 
     jobs.run(as_stream(t, batch(t)), place(t), twice, drain=True).awaitTermination()
     return t.spark.read.parquet(table).select("session_id", "price", "connector_version")
+
+
+def appended(t: Tables, stream: DataFrame, clocked: bool = False) -> DataFrame:
+    """What a stream leaves in append mode, drained."""
+    target = place(t)
+    jobs.run(stream, place(t), target, drain=True, clocked=clocked).awaitTermination()
+    return t.spark.read.parquet(target)
+
+
+@query("q_stream_segments", SQL["q_segments_full"])
+def stream_segments(t: Tables) -> DataFrame:
+    """All five rules over units that come in any order, in several micro-batches."""
+    tables = a_tables(t)
+    files = tables["files"].groupBy("session_id", "turn_index").agg(
+        F.collect_set("file_ref").alias("file_refs"), F.collect_set("top_dir_ref").alias("dir_refs"))
+    none = F.array().cast("array<string>")
+    units = tables["units"].select("session_id", "turn_index", "gap_ms_before", "git_branch", "interrupted").join(
+        files, ["session_id", "turn_index"], "left").withColumns(
+        {c: F.coalesce(c, none) for c in ("file_refs", "dir_refs")})
+    out = appended(t, jobs.segments(as_stream(t, units), GAP), clocked=True)
+    return out.select(F.col("session_id").alias("sid"), F.col("turn_index").alias("turn"), "opened_by", "segment_no")
+
+
+@query("q_stream_lines", "WITH " + D.LOG_A_SQL + """
+SELECT sid, CAST(count(*) FILTER (is_prompt) AS BIGINT) AS prompts, CAST(count(*) FILTER (opens) AS BIGINT) AS units,
+  CAST(count(*) FILTER (patched) AS BIGINT) AS patches FROM ra GROUP BY sid HAVING count(*) FILTER (is_prompt) > 0""")
+def stream_lines(t: Tables) -> DataFrame:
+    """Log files read as a stream of appended lines, typed and landed by micro-batch."""
+    folder, table = place(t), place(t)
+    sid = F.lpad(F.regexp_extract("path", r"/u(\d+)\.jsonl$", 1), 8, "0").alias("sid")
+    D.log_a(t).select(sid, "split", "pos", "value").repartition("sid").sortWithinPartitions("sid", "split", "pos") \
+        .select("sid", "value").write.partitionBy("sid").text(folder)
+    lines = jobs.log_lines(t.spark, folder, suffix=".txt")
+    jobs.run(lines, place(t), jobs.land(logs_a.records, table), drain=True).awaitTermination()
+    landed = t.spark.read.parquet(table).withColumn("sid", F.regexp_extract("path", r"/sid=(\d+)/", 1))
+    return landed.groupBy("sid").agg(
+        F.count_if("is_prompt").alias("prompts"), F.count_if("opens_unit").alias("units"),
+        F.count_if("patched").alias("patches")).where("prompts > 0")
+
+
+@query("q_stream_usage", SQL["q_usage_dedupe"])
+def stream_usage(t: Tables) -> DataFrame:
+    """One usage a message, the first in its file, though records arrive in any order."""
+    table = place(t)
+    changes = jobs.first_usage(as_stream(t, usage_records(t)))
+    jobs.run(changes, place(t), jobs.changes_into(table), mode="update", drain=True).awaitTermination()
+    totals = sessions_a.message_totals(jobs.earliest(t.spark.read.parquet(table)), ["path"])
+    return totals.select(F.col("path").alias("user_id"), "assistant_messages", "input")

@@ -7,34 +7,26 @@ caller names.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import fixed
 from ..operators.upsert import VERSIONS, upsert_table
 from ..plans import pricing
 from ..plans.spend import thousandths
+from ..sources.appended import appended_lines
+from ..sources.lines import ORDER
+from .segments import segments  # noqa: F401  one of the jobs
 
 LATENESS = "1 day"
 
 
-def log_lines(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """New log files as (path, split, pos, value) rows, the shape of a batch read.
-
-    A stream has no row positions, so ``pos`` is zero here; jobs that need the
-    order take it per micro-batch, as ``land`` does.
-    """
-    return (spark.readStream.format("text").option("recursiveFileLookup", "true")
-            .option("pathGlobFilter", "*.jsonl").option("maxFilesPerTrigger", files_per_batch)
-            .load(path)
-            .select(F.col("_metadata.file_path").alias("path"),
-                    F.col("_metadata.file_block_start").alias("split"),
-                    F.lit(0).cast("long").alias("pos"), "value"))
+def log_lines(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """New lines of log files, those appended to known files included, in the shape of a batch read."""
+    return appended_lines(spark, path, **options)
 
 
 def land(parse: Callable[[DataFrame], DataFrame], table: str) -> Callable[[DataFrame, int], None]:
@@ -43,17 +35,37 @@ def land(parse: Callable[[DataFrame], DataFrame], table: str) -> Callable[[DataF
     Each batch owns one folder and overwrites it, so a replay leaves no copies.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        placed = batch.withColumn("pos", F.monotonically_increasing_id())
-        parse(placed).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        parse(batch).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+    return write
+
+
+def first_usage(records: DataFrame) -> DataFrame:
+    """Per message the record that stands first in its file, in whatever order records arrive.
+
+    Run it in update mode: a message is emitted when it is first seen and once more when an
+    earlier record of it arrives. Of what was emitted for a message the least position
+    counts (``earliest``), so repeats and replays change nothing. Messages without a time
+    are treated like any other. State is one narrow row a message and does not expire,
+    as a file may be read again at any time.
+    """
+    kept = [c for c in records.columns if c not in ("path", "message_id", *ORDER)]
+    first = F.min(F.struct(*ORDER, *kept)).alias("r")
+    return records.where(F.col("rtype") == "assistant").groupBy("path", "message_id").agg(first).select(
+        "path", "message_id", "r.*")
+
+
+def changes_into(table: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that lands what a micro-batch changed; a replay overwrites its own folder."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
     return write
 
 
-def first_usage(records: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """One record per message within the watermark. The first to arrive counts,
-    which is the first in the file as long as a file arrives in order."""
-    return (records.where((F.col("rtype") == "assistant") & F.col("at").isNotNull())
-            .withWatermark("at", lateness)
-            .dropDuplicatesWithinWatermark(["path", "message_id"]))
+def earliest(changes: DataFrame) -> DataFrame:
+    """The standing record of each message, of all that ``first_usage`` emitted."""
+    kept = [c for c in changes.columns if c not in ("path", "message_id", "batch", *ORDER)]
+    return changes.groupBy("path", "message_id").agg(F.min(F.struct(*ORDER, *kept)).alias("r")).select(
+        "path", "message_id", "r.*")
 
 
 def gap_segments(events: DataFrame, key: str, at: str, gap: str = "30 minutes",
@@ -65,61 +77,6 @@ def gap_segments(events: DataFrame, key: str, at: str, gap: str = "30 minutes",
             .drop("session_window"))
 
 
-STATE = ("started boolean, last_turn long, branch string, cut boolean, segment_no long,"
-         " files array<string>, dirs array<string>")
-LABELLED = "session_id string, turn_index long, segment_no long, opened_by string"
-
-
-def _opened(row, state, gap_ms: int) -> str | None:
-    """Boundary before a unit, by precedence; state is that of the segment so far."""
-    started, _, branch, cut, _, files, dirs = state
-    if not started:
-        return "session_start"
-    if (row.gap_ms_before or 0) > gap_ms:
-        return "turn_gap"
-    if row.git_branch and branch and row.git_branch != branch:
-        return "branch_change"
-    fresh = set(row.file_refs).isdisjoint(files) and set(row.dir_refs).isdisjoint(dirs)
-    if len(row.file_refs) and files and fresh:
-        return "file_set_jump"
-    return "interrupt" if cut else None
-
-
-def segments(units: DataFrame, lateness: str = LATENESS,
-             gap_ms: int = fixed.TURN_GAP_MS) -> DataFrame:
-    """All five boundary rules over units as they arrive.
-
-    ``units``: session_id, turn_index, at, gap_ms_before, git_branch,
-    interrupted, file_refs, dir_refs. State per session is the files of its open
-    segment; it is dropped once the watermark has passed the session. A unit
-    that arrives after a later one of its session is late and ignored.
-    """
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        now = state.get if state.exists else (False, -1, None, False, -1, [], [])
-        out = []
-        rows = pd.concat(list(batches)).sort_values("turn_index")  # one micro-batch of a session
-        rows = rows.astype(object).where(rows.notna(), None)
-        for row in rows.itertuples(index=False):
-            if row.turn_index <= now[1]:
-                continue
-            opened = _opened(row, now, gap_ms)
-            files = list(row.file_refs) + ([] if opened else list(now[5]))
-            dirs = list(row.dir_refs) + ([] if opened else list(now[6]))
-            now = (True, int(row.turn_index), row.git_branch, bool(row.interrupted),
-                   now[4] + (opened is not None), sorted(set(files)), sorted(set(dirs)))
-            out.append((key[0], now[1], now[4], opened))
-        state.update(now)
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 86_400_000)
-        yield pd.DataFrame(out, columns=["session_id", "turn_index", "segment_no", "opened_by"])
-
-    return (units.withWatermark("at", lateness).groupBy("session_id")
-            .applyInPandasWithState(step, LABELLED, STATE, "append",
-                                    GroupStateTimeout.EventTimeTimeout))
-
-
 def resolved_rates(models: DataFrame, sheet: DataFrame) -> DataFrame:
     """Rates per model id, resolved once in batch for joins with a stream."""
     listed = models.select(F.array("model_id").alias("model_list")).distinct()
@@ -150,13 +107,23 @@ def upsert_into(path: str, keys: list[str], order: str,
     return write
 
 
+IDLE_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
 def run(stream: DataFrame, checkpoint: str, sink: str | Callable, mode: str = "append",
-        drain: bool = False) -> StreamingQuery:
+        drain: bool = False, clocked: bool = False) -> StreamingQuery:
     """Start a stream into a parquet folder or a foreachBatch function. With
-    ``drain`` it processes what is there and stops."""
+    ``drain`` it processes what is there and stops; a ``clocked`` stream, whose state goes
+    by the wall clock, would ask for batches without data for ever, so it gets none."""
+    spark = stream.sparkSession
     writer = stream.writeStream.option("checkpointLocation", checkpoint).outputMode(mode)
     if drain:
         writer = writer.trigger(availableNow=True)
-    if callable(sink):
-        return writer.foreachBatch(sink).start()
-    return writer.format("parquet").option("path", sink).start()
+    writer = writer.foreachBatch(sink) if callable(sink) else writer.format("parquet").option("path", sink)
+    idle = spark.conf.get(IDLE_BATCHES)
+    if drain and clocked:
+        spark.conf.set(IDLE_BATCHES, "false")  # a query keeps the settings it was started with
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(IDLE_BATCHES, idle)
