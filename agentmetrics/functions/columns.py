@@ -68,9 +68,13 @@ def top_dir_ref(salt: str, path: Column) -> Column:
 # -- instants -------------------------------------------------------------------
 
 def instant(text: Column) -> Column:
-    """ISO text to a UTC instant in whole milliseconds; bad text is null."""
-    dated = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), text)
-    return F.date_trunc("millisecond", dated.try_cast("timestamp"))
+    """ISO text, or a number of epoch seconds or milliseconds (above 1e11), to a UTC
+    instant in whole milliseconds; bad text is null. Numbers are cut at milliseconds
+    after they are rounded to microseconds, so that 1.001 seconds stay 1.001."""
+    dated = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), text).try_cast("timestamp")
+    number = F.when(text.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), text).try_cast("double")
+    micros = F.round(F.when(number > 1e11, number / 1000).otherwise(number) * 1e6).try_cast("long")
+    return F.date_trunc("millisecond", F.coalesce(dated, F.timestamp_micros(micros)))
 
 
 def epoch_instant(number: Column) -> Column:

@@ -9,6 +9,7 @@ from ..functions import columns as C
 from ..functions import fixed
 from ..operators.keyed import count_if, last_per_key
 from ..operators.segment import assign_segments, segment_id, segments
+from ..session import durable
 
 FAMILIES = ["browser", "web", "read", "edit", "shell", "other"]
 FLAGS = {"frac_test": "is_test_path", "frac_docs": "is_docs_path",
@@ -148,7 +149,7 @@ def classify_all(sessions: DataFrame, session_tools: DataFrame, units: DataFrame
         F.col(turn).cast("long").alias("end_turn"),
         F.lit(None).cast("string").alias("segment_id"), *VERDICT)
 
-    assigned = assign_segments(units, unit_files, [sid])
+    assigned = durable(assign_segments(units, unit_files, [sid]))  # used four times
     member = assigned.select(sid, turn, "segment_no")
     grouped = [sid, "segment_no"]
     seg = segments(assigned, [sid])

@@ -138,7 +138,6 @@ def extract(spark: SparkSession, sources: dict[str, dict], out: str, salt: str,
         good = upsert.valid(checked)
         stored = upsert.read_or_empty(spark, f"{out}/sessions", good.schema)
         merged = durable(upsert.merge(stored, good, KEY))
-        upsert.replace_table(merged.drop("outcome"), f"{out}/sessions")
 
         children = {
             "units": [p.units and projected(p.units, UNIT_TYPES) for p in parts],
@@ -154,6 +153,9 @@ def extract(spark: SparkSession, sources: dict[str, dict], out: str, salt: str,
                 upsert.replace_table(upsert.replace_by_key(held, batch, KEY, accepted), f"{out}/{name}")
         if include_content:
             upsert.append_new(spark, f"{out}/content", union_all([p.content for p in parts]))
+        # sessions last: until they are swapped a job that died is done again from the start,
+        # and no reader sees a session whose units are older than itself
+        upsert.replace_table(merged.drop("outcome"), f"{out}/sessions")
         unread = union_all([p.rejects and p.rejects.withColumn("source_tool", F.lit(normalise(name)))
                             for name, p in zip(sources, parts)])
         bad = upsert.invalid(checked).select(

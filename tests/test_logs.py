@@ -226,3 +226,13 @@ def test_content_hashes(spark, write_log):
     hashes = {r["content_hash"] for value in ('{"filesChangedCount":3}', '{"totalLinesAdded":3}', '{"mode":"x"}', "{}")
               for r in rows(sessions_c.sessions(spark.createDataFrame([("s", NOON, NOON, 0, value)], HEADERS), none, "p"))}
     assert len(hashes) == 4
+
+
+def test_numeric_times_in_format_a(spark, write_log):
+    """A file whose times are all numbers is a session like any other."""
+    root = write_log("logs/grove/first.jsonl", [
+        {"type": "user", "timestamp": 1767600000, "sessionId": "first", "uuid": "u1", "message": {"content": "go"}},
+        {"type": "assistant", "timestamp": 1767600060500, "sessionId": "first", "uuid": "u2",
+         "message": {"id": "m", "model": "big-5", "usage": {"input_tokens": 3}}}])
+    found = rows(logs_a.records(lines.read_lines(spark, root)), "uuid")
+    assert [str(r["at"]) for r in found] == ["2026-01-05 08:00:00", "2026-01-05 08:01:00.500000"]

@@ -239,3 +239,12 @@ def test_paths_and_instants(spark):
     e = spark.range(1).select(C.iso_text(C.epoch_instant(F.lit(1767600000000))).alias("m"),
                               C.iso_text(C.epoch_instant(F.lit(1767600000))).alias("s")).first()
     assert e["m"] == e["s"] == "2026-01-05T08:00:00.000Z"
+
+
+def test_numeric_instants(spark):
+    texts = ["1767600000", "1767600000.5", "1.7676e9", "1767600000123", "1767600001.001", "-1", "0", "12:30", "", "1e400", None]
+    got = [r.i for r in spark.createDataFrame([(t,) for t in texts], "s string").select(
+        C.iso_text(C.instant(F.col("s"))).alias("i")).collect()]
+    assert got == ["2026-01-05T08:00:00.000Z", "2026-01-05T08:00:00.500Z", "2026-01-05T08:00:00.000Z",
+                   "2026-01-05T08:00:00.123Z", "2026-01-05T08:00:01.001Z", "1969-12-31T23:59:59.000Z",
+                   "1970-01-01T00:00:00.000Z", None, None, None, None]
