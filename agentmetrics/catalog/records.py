@@ -247,3 +247,90 @@ def chain_breaks(t: Tables) -> DataFrame:
     """Commits that no edge links onward to a ticket."""
     nodes = t.orders.select(F.col("o_orderkey").cast("string").alias("id"), F.lit("commit").alias("kind"))
     return trace.broken_at(nodes, trace.strongest_edges(*links(t)), "commit", "ticket")
+
+
+# -- links found in sessions and commits ---------------------------------------------------------
+
+def worked(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Orders are sessions in their customer's repo, line items commits there."""
+    o = t.orders
+    key = F.col("o_orderkey")
+    branch = D.pick(key % 3, ["main", None, "feature/PROJ-"])
+    sessions = o.select(
+        key.cast("string").alias("session_id"), F.col("o_custkey").cast("string").alias("repo"),
+        F.when(key % 3 == 2, F.concat(branch, (key % 5).cast("string"))).otherwise(branch).alias("branch"),
+        F.col("o_orderdate").alias("started_at"),
+        F.when(key % 7 != 0, F.timestamp_add("DAY", key % 100, "o_orderdate")).alias("ended_at"))
+    li = t.lineitem.join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    part, line = F.col("l_partkey"), F.col("l_linenumber")
+    commits = li.select(
+        F.col("o_custkey").cast("string").alias("repo"),
+        F.sha1(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey")).alias("sha"),
+        F.when(line % 3 == 0, "main").when(line % 3 == 1, F.concat(F.lit("feature/PROJ-"), (part % 5).cast("string")))
+        .alias("branch"), F.col("l_shipdate").alias("at"),
+        F.when((F.col("l_returnflag") == "R") & (line == 2), F.col("l_orderkey").cast("string")).alias("session_id"),
+        F.when(part % 4 == 0, F.concat(F.lit("Close OPS-"), (part % 20).cast("string"), F.lit(", as UTF-8")))
+        .when(part % 4 == 1, F.lit("Tidy")).alias("body"))
+    return sessions, commits
+
+
+FOUND_SQL = """
+WITH se AS (SELECT CAST(o_orderkey AS VARCHAR) AS sid, o_custkey AS repo, CASE o_orderkey % 3 WHEN 0 THEN 'main'
+    WHEN 2 THEN 'feature/PROJ-' || (o_orderkey % 5) END AS br, o_orderdate AS a,
+    CASE WHEN o_orderkey % 7 <> 0 THEN o_orderdate + to_days(CAST(o_orderkey % 100 AS INT)) ELSE o_orderdate END AS z FROM orders),
+cm AS (SELECT o_custkey AS repo, sha1(l_orderkey || '-' || l_linenumber || '-' || l_partkey) AS sha, l_shipdate AS tm,
+    CASE l_linenumber % 3 WHEN 0 THEN 'main' WHEN 1 THEN 'feature/PROJ-' || (l_partkey % 5) END AS br,
+    CASE WHEN l_returnflag = 'R' AND l_linenumber = 2 THEN CAST(l_orderkey AS VARCHAR) END AS told,
+    CASE WHEN l_partkey % 4 = 0 THEN 'OPS-' || (l_partkey % 20) END AS ops
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+fd AS (SELECT 'session' AS fk, sid AS fi, 'commit' AS tk, sha AS ti, 2 AS r FROM cm JOIN se ON told = sid
+  UNION ALL SELECT 'session', sid, 'commit', sha, 3 FROM cm JOIN se ON cm.repo = se.repo AND cm.br = se.br
+    AND cm.br <> 'main' AND tm BETWEEN a AND z + INTERVAL 14 DAY
+  UNION ALL SELECT 'session', sid, 'commit', sha, 4 FROM cm JOIN se ON cm.repo = se.repo AND tm BETWEEN a AND z
+  UNION ALL SELECT 'commit', sha, 'ticket', ops, 1 FROM cm WHERE ops IS NOT NULL
+  UNION ALL SELECT 'commit', sha, 'ticket', br[9:], 3 FROM cm WHERE br <> 'main'
+  UNION ALL SELECT 'session', sid, 'ticket', br[9:], 3 FROM se WHERE br <> 'main'),
+ed AS (SELECT fk, fi, tk, ti, min(r) AS r FROM fd GROUP BY ALL)
+"""
+
+
+def found_edges(t: Tables) -> DataFrame:
+    sessions, commits = worked(t)
+    projects = ["OPS", "PROJ"]
+    return trace.strongest_edges(
+        trace.commit_links(sessions, commits),
+        trace.ticket_links(commits, "commit", "sha", "body", "branch", projects),
+        trace.ticket_links(sessions, "session", "session_id", None, "branch", projects))
+
+
+@query("q_trace_found", FOUND_SQL + """
+SELECT fk AS from_kind, fi AS from_id, tk AS to_kind, ti AS to_id, CASE r WHEN 1 THEN 'explicit_id_reference'
+    WHEN 2 THEN 'vendor_tracking' WHEN 3 THEN 'branch_name_match' ELSE 'timestamp_correlation' END AS method,
+  CASE r WHEN 3 THEN 'inferred' WHEN 4 THEN 'speculative' ELSE 'known' END AS confidence_class FROM ed""")
+def trace_found(t: Tables) -> DataFrame:
+    """Edges from sessions, commits and their texts alone."""
+    return found_edges(t)
+
+
+@query("q_savings_outcomes", FOUND_SQL + """
+, ms AS (SELECT sha, CAST(sum(q) AS BIGINT) AS orig, CAST(sum(CASE WHEN flag <> 'N' THEN q END) AS BIGINT) AS kept,
+    CAST(sum(CASE WHEN flag = 'R' THEN 1 WHEN flag = 'A' THEN 0 END) AS BIGINT) AS redone FROM (
+  SELECT sha1(l_orderkey || '-' || l_linenumber || '-' || l_partkey) AS sha, CAST(l_quantity AS BIGINT) AS q,
+    l_returnflag AS flag FROM lineitem) GROUP BY sha),
+pr AS (SELECT fi, count(kept) AS sn, sum(kept) / sum(CASE WHEN kept IS NOT NULL THEN orig END) AS sr,
+    count(redone) AS rn, sum(redone) / sum(CASE WHEN redone IS NOT NULL THEN orig END) AS rr
+  FROM ed JOIN ms ON ti = sha WHERE fk = 'session' AND tk = 'commit' AND r < 4 GROUP BY fi)
+SELECT o_orderkey AS session_id, o_totalprice AS saving, coalesce(sn, 0) AS survival_n, round(sr, 9) AS survival_rate,
+  coalesce(rn, 0) AS rework_n, round(rr, 9) AS rework_rate FROM orders LEFT JOIN pr ON fi = CAST(o_orderkey AS VARCHAR)""")
+def savings_outcomes(t: Tables) -> DataFrame:
+    """Savings with survival and rework of the commits that are linked by more than time."""
+    lines = F.col("l_quantity").cast("long")
+    flag = F.col("l_returnflag")
+    measures = t.lineitem.select(
+        F.sha1(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey")).alias("sha"), lines.alias("lines"),
+        F.when(flag != "N", lines).alias("kept"), F.when(flag == "R", 1).when(flag == "A", 0).alias("redone")) \
+        .groupBy("sha").agg(F.sum("lines").alias("lines_original"), F.sum("kept").alias("lines_kept"),
+                            F.sum("redone").alias("lines_reworked"))
+    savings = t.orders.select(F.col("o_orderkey").alias("session_id"), F.col("o_totalprice").alias("saving"))
+    out = trace.savings_with_outcomes(savings, trace.without_speculative(found_edges(t)), measures)
+    return out.withColumns({c: F.round(c, 9) for c in ("survival_rate", "rework_rate")})

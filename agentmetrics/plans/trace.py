@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators.interval import POINTS_PER_CELL, stabs
 from ..operators.keyed import count_if
 from . import pricing
 
@@ -19,6 +20,11 @@ METHOD_CLASS = {"explicit_id_reference": "known", "vendor_tracking": "known",
                 "branch_name_match": "inferred", "timestamp_correlation": "speculative",
                 "human_assertion": "inferred"}
 JUDGE_GATE = 0.8
+# fixed values: branches that many sessions share, whose name says nothing about one of them
+SHARED_BRANCHES = ["main", "master", "develop", "trunk", "HEAD"]
+TICKET = r"\b([A-Z][A-Z0-9]+-[0-9]+)\b"
+#: How long after a session's end a commit on its branch may still be its work.
+REACH = "14 days"
 
 
 def method_rank(method: Column) -> Column:
@@ -41,6 +47,92 @@ def strongest_edges(*links: DataFrame) -> DataFrame:
                        F.element_at(classes, F.col("rank").cast("int")).alias("confidence_class"))
 
 
+def edge(df: DataFrame, from_kind: str, from_id: Column, to_kind: str, to_id: Column, method: Column) -> DataFrame:
+    return df.select(F.lit(from_kind).alias("from_kind"), from_id.cast("string").alias("from_id"),
+                     F.lit(to_kind).alias("to_kind"), to_id.cast("string").alias("to_id"), method.alias("method"))
+
+
+def commit_links(sessions: DataFrame, commits: DataFrame, reach: str = REACH,
+                 limit: int = POINTS_PER_CELL) -> DataFrame:
+    """Links from sessions to commits, found in what the two tables hold.
+
+    ``sessions``: session_id, repo, branch, started_at, ended_at; ``commits``: repo, sha,
+    branch, at, and session_id where the vendor's own record names one, else null. A
+    commit links to a session of its repo by
+
+    - vendor_tracking: its session_id is a known session's, in whatever repo;
+    - branch_name_match: both are on one branch that is not a shared one, and the commit
+      lies between the session's start and ``reach`` after its end;
+    - timestamp_correlation: the commit lies between the session's start and end.
+
+    A session without an end ends at its start. A pair may come by several methods;
+    ``strongest_edges`` keeps one. Both windows are one join.
+    """
+    until = F.coalesce("ended_at", "started_at")
+    own_branch = F.when(~F.col("branch").isin(SHARED_BRANCHES), F.col("branch"))
+    branch, plain = F.lit("branch_name_match"), F.lit("timestamp_correlation")
+    rules = [(branch, own_branch, until + F.expr(f"INTERVAL {reach}")), (plain, F.lit(""), until)]
+
+    def under(kind: Column, scope: Column, *more: Column) -> Column:
+        return F.struct(kind.alias("method"), scope.alias("scope"), *more)
+
+    spans = sessions.select("session_id", "repo", "started_at", F.inline(F.array(*[
+        under(kind, scope, end.alias("until_at")) for kind, scope, end in rules])))
+    points = commits.select("repo", "sha", "at", F.inline(F.array(*[under(kind, scope) for kind, scope, _ in rules])))
+    met = stabs(points.where("scope IS NOT NULL"), spans.where("scope IS NOT NULL"), ["repo", "method", "scope"],
+                "at", "started_at", "until_at", ["session_id"], limit)
+    told = commits.where(F.col("session_id").isNotNull()).select("sha", "session_id").join(
+        sessions.select("session_id"), "session_id", "left_semi")
+    ends = ("session", F.col("session_id"), "commit", F.col("sha"))
+    return edge(met, *ends, F.col("method")).unionByName(edge(told, *ends, F.lit("vendor_tracking")))
+
+
+def ticket_links(rows: DataFrame, kind: str, node: str, named: str | None, branch: str,
+                 projects: list[str] | None = None) -> DataFrame:
+    """Links from sessions or commits to the tickets whose keys they name.
+
+    A key in the text of column ``named`` is an explicit reference, one in the branch
+    name a branch match. ``projects`` lists the known project names, so that words
+    such as UTF-8 are no tickets; without it every word of a key's form is one.
+    """
+    def named_in(column: str, method: str) -> Column:
+        found = F.coalesce(F.regexp_extract_all(column, F.lit(TICKET), 1), F.array().cast("array<string>"))
+        return F.transform(F.array_distinct(found), lambda key: F.struct(F.lit(method).alias("method"), key.alias("ticket")))
+
+    found = named_in(branch, "branch_name_match")
+    if named is not None:
+        found = F.concat(found, named_in(named, "explicit_id_reference"))
+    keys = rows.select(F.col(node).alias("node"), F.inline(found))
+    if projects is not None:
+        keys = keys.where(F.substring_index("ticket", "-", 1).isin(projects))
+    return edge(keys, kind, F.col("node"), "ticket", F.col("ticket"), F.col("method"))
+
+
+def savings_with_outcomes(savings: DataFrame, edges: DataFrame, measures: DataFrame) -> DataFrame:
+    """Savings of sessions with survival and rework of their commits beside them.
+
+    ``measures``: sha, lines_original, lines_kept, lines_reworked; a null was not
+    measured. Figures stand beside the saving and are never netted with it. A commit
+    that several sessions led to stands beside each. Sessions without a measured commit
+    have null rates, and every rate carries its count of commits.
+    """
+    own = edges.where("from_kind = 'session' AND to_kind = 'commit'").select(
+        F.col("from_id").alias("__session"), F.col("to_id").alias("sha"))
+    joined = own.join(measures, "sha")
+    original = F.col("lines_original")
+    per = joined.groupBy("__session").agg(
+        F.count("lines_kept").alias("survival_n"), F.sum("lines_kept").alias("__kept"),
+        F.sum(F.when(F.col("lines_kept").isNotNull(), original)).alias("__kept_of"),
+        F.count("lines_reworked").alias("rework_n"), F.sum("lines_reworked").alias("__reworked"),
+        F.sum(F.when(F.col("lines_reworked").isNotNull(), original)).alias("__reworked_of"))
+    out = savings.join(per, F.col("session_id").cast("string") == F.col("__session"), "left")
+    return out.select(
+        *savings.columns, F.coalesce("survival_n", F.lit(0)).alias("survival_n"),
+        C.ratio(F.col("__kept"), F.col("__kept_of")).alias("survival_rate"),
+        F.coalesce("rework_n", F.lit(0)).alias("rework_n"),
+        C.ratio(F.col("__reworked"), F.col("__reworked_of")).alias("rework_rate"))
+
+
 def without_speculative(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("confidence_class") != "speculative")
 
