@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..operators import upsert
+from ..operators import buckets
 from ..plans import sessions_a
 from ..session import durable, scratch_folder
 from ..sources import logs_a
@@ -83,15 +83,16 @@ FROM m""")
 def stream_upsert(t: Tables) -> DataFrame:
     """A batch merged into the stored table as micro-batches, the first of them twice."""
     table = place(t)
-    upsert.replace_table(stored(t), table)
-    write = jobs.upsert_into(table, KEYS, "started_at")
+    parts = buckets.Parts(KEYS, 16)
+    buckets.create(stored(t), table, parts)
+    write = jobs.upsert_into(table, parts, "started_at")
 
     def twice(rows: DataFrame, batch_id: int) -> None:
         for _ in range(2 if batch_id == 0 else 1):
             write(rows, batch_id)
 
     jobs.run(as_stream(t, batch(t)), place(t), twice, drain=True).awaitTermination()
-    return t.spark.read.parquet(table).select("session_id", "price", "connector_version")
+    return buckets.read(t.spark, table, parts).select("session_id", "price", "connector_version")
 
 
 def appended(t: Tables, stream: DataFrame, clocked: bool = False) -> DataFrame:

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import fixed
-from ..operators.upsert import VERSIONS, upsert_table
+from ..operators.buckets import Parts, upsert_parts
+from ..operators.upsert import VERSIONS
 from ..plans import pricing
 from ..plans.spend import thousandths
 from ..sources.appended import appended_lines
@@ -97,13 +98,17 @@ def daily_spend(sessions: DataFrame, rates: DataFrame, lateness: str = LATENESS)
                     "cost_x1000", *fixed.TOKEN_BUCKETS))
 
 
-def upsert_into(path: str, keys: list[str], order: str,
+def upsert_into(path: str, parts: Parts, order: str,
                 versions: list[str] = VERSIONS) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that merges each micro-batch into a table. A batch
-    that is replayed after a failure changes nothing."""
+    """A foreachBatch function that merges each micro-batch into a table in parts, of
+    which it rewrites those it changes. A batch that is replayed after a failure changes nothing."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        last = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), F.col(order)).alias("r"))
-        upsert_table(batch.sparkSession, path, last.select("r.*"), keys, versions)
+        last = batch.groupBy(*parts.keys).agg(F.max_by(F.struct(*batch.columns), F.col(order)).alias("r"))
+        kept = last.select("r.*").persist()  # read three times; a lost block is computed again
+        try:
+            upsert_parts(batch.sparkSession, path, kept, parts, versions)
+        finally:
+            kept.unpersist()
     return write
 
 

@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from agentmetrics.operators.buckets import Parts
 from agentmetrics.plans import sessions_a
 from agentmetrics.sources import appended, lines, logs_a
 from agentmetrics.streaming import jobs
@@ -183,7 +184,7 @@ def test_daily_spend_and_gap_segments(spark, tmp_path):
 def test_upsert_sink_is_idempotent(spark, tmp_path):
     table = str(tmp_path / "table")
     ddl = "k string, content_hash string, schema_version string, connector_version string, at int"
-    write = jobs.upsert_into(table, ["k"], "at")
+    write = jobs.upsert_into(table, Parts(["k"], 4), "at")
     first = spark.createDataFrame([("a", "h1", "1", "1", 1), ("a", "h2", "1", "1", 2),
                                    ("b", "h1", "1", "1", 1)], ddl)
     write(first, 0)
