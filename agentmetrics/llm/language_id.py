@@ -13,8 +13,10 @@ the expected uses of each piece, by forward and backward sums. Only the sums, on
 language and piece, come to the driver.
 
 Equal units are scored once per worker as long as they are remembered (CACHED).
-Runs of over UNIT characters are cut there, so that sums stay in range; no letter is
-left out. A letter that is no piece uses one piece for all unknown letters.
+A unit has any length: sums are taken relative to the place before each EPOCH letters,
+whose logarithm is carried, so they stay in range over a whole sentence without spaces.
+What a task holds grows with its longest unit, by a few numbers a letter and language.
+A letter that is no piece uses one piece for all unknown letters.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0;
 without training texts all are; of languages with equal posterior the first by
@@ -39,7 +41,11 @@ from ..session import durable
 from .common import id_remainder
 
 MARK = "▁"
-UNIT = 64
+#: Letters after which sums are taken anew relative to the last place; no piece is longer.
+EPOCH = 16
+#: Of the units that are scored or counted together, and of the long ones remembered.
+LETTERS = 400_000
+LONG = 64
 ROUNDS = 2
 CACHED = 300_000
 COUNTED = 200_000
@@ -56,7 +62,7 @@ SPREAD = 0x9E3779B97F4A7C15
 PRIOR = 0.1
 #: Uses are scaled by this factor per letter, which keeps long units in range.
 PER_LETTER = 20.0
-UNITS = re.compile(rf"\w{{1,{UNIT}}}")
+UNITS = re.compile(r"\w+")
 
 
 def vocabulary(model_path: str) -> list[str]:
@@ -74,12 +80,24 @@ def units(text: str) -> Iterator[Sequence[str]]:
     return batched((m.group() for m in UNITS.finditer(lowered)), UNITS_AT_ONCE)
 
 
+def parcels(words: Sequence[str], most: int = 5000, letters: int = LETTERS) -> Iterator[slice]:
+    """Slices of at most so many words with about so many letters; a longer word is one by itself."""
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    at = 0
+    while at < len(words):
+        before = ends[at - 1] if at else 0
+        to = min(at + most, max(at + 1, int(np.searchsorted(ends, before + letters, "right"))))
+        yield slice(at, to)
+        at = to
+
+
 class Lattice:
     """All pieces in some units, in an order in which their sums can be taken."""
 
     def __init__(self, pieces: list[str]):
         self.size = len(pieces) + 1  # the last is the unknown letter
         self.lengths = np.array([*map(len, pieces), 1])
+        self.epoch = max(EPOCH, int(self.lengths.max()))
         self.scale = PER_LETTER ** self.lengths.astype(float)
         starts = sorted({piece[:n] for piece in pieces for n in range(1, len(piece) + 1)})
         number = {piece: i for i, piece in enumerate(pieces)}
@@ -160,38 +178,55 @@ class Lattice:
         to, ids = to[order], ids[order]
         return to - self.lengths[ids], to, ids, step[order], unit[order], starts, ends
 
-    @staticmethod
-    def forward(frm: np.ndarray, to: np.ndarray, step: np.ndarray, uses: np.ndarray, starts: np.ndarray,
-                last: int) -> np.ndarray:
-        """Sums over all segmentations from a unit's start to each place."""
+    def forward(self, frm: np.ndarray, to: np.ndarray, step: np.ndarray, unit: np.ndarray, uses: np.ndarray,
+                starts: np.ndarray, last: int) -> tuple[np.ndarray, np.ndarray | float]:
+        """Sums over all segmentations from a unit's start to each place, and the logarithm
+        of what each is to be multiplied with (zero throughout the first epoch of a unit)."""
         sums = np.zeros((last + 1, *uses.shape[1:]))
         sums[starts] = 1.0
         bounds = np.flatnonzero(np.diff(step, prepend=-1, append=-1))
+        long = step[-1] >= self.epoch
+        logs = np.zeros_like(sums) if long else 0.0
         for a, b in zip(bounds[:-1], bounds[1:]):
             ends = to[a:b]
             first = np.flatnonzero(np.diff(ends, prepend=-1))
-            sums[ends[first]] = np.add.reduceat(sums[frm[a:b]] * uses[a:b], first, axis=0)
-        return sums
+            terms = sums[frm[a:b]] * uses[a:b]
+            if long and step[a] >= self.epoch:
+                # the place before this epoch is the measure; every place is reached, by unknown letters at least
+                place = starts[unit[a:b]] + step[a] // self.epoch * self.epoch - 1
+                before = frm[a:b] <= place
+                measure = np.maximum(sums[place], 1e-300)
+                terms[before] /= measure[before]
+                logs[ends[first]] = logs[place[first]] + np.log(measure[first])
+            sums[ends[first]] = np.add.reduceat(terms, first, axis=0)
+        return sums, logs
 
     def score(self, words: list[str], table: np.ndarray) -> np.ndarray:
         """Log probability of each unit in each language; ``table`` is (pieces, languages)."""
-        frm, to, ids, step, _, starts, ends = self.build(words)
+        frm, to, ids, step, unit, starts, ends = self.build(words)
         uses = (table * self.scale[:, None])[ids]
-        sums = self.forward(frm, to, step, uses, starts, int(ends[-1]))[ends]
-        return np.log(np.maximum(sums, 1e-300)) - (ends - starts)[:, None] * np.log(PER_LETTER)
+        sums, logs = self.forward(frm, to, step, unit, uses, starts, int(ends[-1]))
+        more = logs[ends] if isinstance(logs, np.ndarray) else logs
+        return np.log(np.maximum(sums[ends], 1e-300)) + more - (ends - starts)[:, None] * np.log(PER_LETTER)
 
     def expect(self, words: list[str], languages: np.ndarray, counts: np.ndarray, table: np.ndarray) -> np.ndarray:
         """Expected uses (pieces, languages) in units, each of one language and with a count."""
         frm, to, ids, step, unit, starts, ends = self.build(words)
         uses = (table * self.scale[:, None])[ids, languages[unit]]
-        ahead = self.forward(frm, to, step, uses, starts, int(ends[-1]))
+        ahead, logs_ahead = self.forward(frm, to, step, unit, uses, starts, int(ends[-1]))
         # the same sums from behind: mirror places within each unit
-        mirror_from, mirror_to = starts[unit] + ends[unit] - to, starts[unit] + ends[unit] - frm
+        mirror = starts + ends
+        mirror_from, mirror_to = mirror[unit] - to, mirror[unit] - frm
         order = np.lexsort((mirror_to, mirror_to - starts[unit]))
-        mirrored = self.forward(mirror_from[order], mirror_to[order], (mirror_to - starts[unit])[order], uses[order],
-                                starts, int(ends[-1]))
-        behind = mirrored[starts[unit] + ends[unit] - to]
-        shares = ahead[frm] * uses * behind / np.maximum(ahead[ends][unit], 1e-300) * counts[unit]
+        behind, logs_behind = self.forward(mirror_from[order], mirror_to[order], (mirror_to - starts[unit])[order],
+                                           unit[order], uses[order], starts, int(ends[-1]))
+        shares = ahead[frm] * uses * behind[mirror_from] / np.maximum(ahead[ends][unit], 1e-300) * counts[unit]
+        if isinstance(logs_ahead, np.ndarray):
+            far = np.flatnonzero((ends - starts)[unit] >= self.epoch)
+            at, whole = frm[far], ends[unit[far]]
+            shares[far] = counts[unit[far]] * uses[far] * np.exp(
+                np.log(ahead[at]) + logs_ahead[at] + np.log(behind[mirror_from[far]]) + logs_behind[mirror_from[far]]
+                - np.log(ahead[whole]) - logs_ahead[whole])
         size = self.size * table.shape[1]
         return np.bincount(ids * table.shape[1] + languages[unit], shares, size).reshape(self.size, -1)
 
@@ -212,6 +247,7 @@ def unit_counts(texts: DataFrame) -> DataFrame:
     """(_lang, _word, _n) of texts (_lang, _text): how often each unit occurs in a language."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters: dict[str, Counter] = {}
+        long = 0  # letters of parts with long units since the last rows
 
         def rows() -> pa.RecordBatch:
             flat = [(lang, word, n) for lang, found in counters.items() for word, n in found.items()]
@@ -225,8 +261,11 @@ def unit_counts(texts: DataFrame) -> DataFrame:
                 counter = counters.setdefault(lang, Counter())
                 for part in units(text.as_py()):
                     counter.update(part)
-                    if sum(map(len, counters.values())) > COUNTED:
+                    if max(map(len, part)) > LONG:
+                        long += sum(map(len, part))
+                    if sum(map(len, counters.values())) > COUNTED or long > LETTERS:
                         yield rows()
+                        long = 0
                         counter = counters.setdefault(lang, Counter())
         yield rows()
 
@@ -248,7 +287,9 @@ def learn(words: DataFrame, languages: list[str], pieces: list[str], rounds: int
             for batch in batches:
                 if batch.num_rows:
                     spoken = np.array([place[lang] for lang in batch.column(0).to_pylist()])
-                    sums += lattice.expect(batch.column(1).to_pylist(), spoken, batch.column(2).to_numpy(), now)
+                    found, counts = batch.column(1).to_pylist(), batch.column(2).to_numpy()
+                    for some in parcels(found, batch.num_rows):
+                        sums += lattice.expect(found[some], spoken[some], counts[some], now)
             used = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums.ravel()[used])], ["_use", "_sum"])
 
@@ -268,16 +309,19 @@ def predict(docs: DataFrame, pieces: list[str], languages: list[str], table: np.
         names, known, probabilities, prior = shared.value
         lattice = lattice_of(names)
         cache: dict[str, int] = {}
+        long = 0  # letters of the long units remembered
         scores = np.zeros((CACHED + TOGETHER + WHOLE, len(known)))
 
         def remember(words: set[str]) -> None:
             """Score what is new of the words, all at once."""
+            nonlocal long
             fresh = [word for word in words if word not in cache]
-            if len(cache) + len(fresh) > CACHED:
+            if len(cache) + len(fresh) > CACHED or long > LETTERS:
                 cache.clear()
+                long = 0
                 fresh = list(words)
-            for at in range(0, len(fresh), 5000):
-                some = fresh[at:at + 5000]
+            for some in map(fresh.__getitem__, parcels(fresh)):
+                long += sum(n for n in map(len, some) if n > LONG)
                 first = len(cache)
                 scores[first:first + len(some)] = lattice.score(some, probabilities)
                 cache.update(zip(some, range(first, first + len(some))))

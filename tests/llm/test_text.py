@@ -60,6 +60,51 @@ def test_lattice_sums_all_segmentations():
     assert np.isclose(letters, sum((len(w) + 1) * c for w, c in zip(words, counts)))
 
 
+def test_units_of_any_length():
+    """Forward sums and expected uses of long units against sums of logarithms, place by place."""
+    pieces = ["▁", "a", "b", "ab", "▁a", "ba", "bab", "abbaabbaabbaabbaab"]
+    lattice, table = language_id.Lattice(pieces), np.random.default_rng(3).random((9, 2)) ** 6
+    table /= table.sum(axis=0)
+    rng = random.Random(4)
+    words = ["".join(rng.choices("ababé", k=n)) for n in (0, 14, 15, 16, 17, 18, 33, 64, 65, 3000)] + ["abba" * 700]
+
+    def uses_of(text):
+        for j in range(1, len(text) + 1):
+            known = [(i, pieces.index(text[i:j])) for i in range(max(0, j - 18), j) if text[i:j] in pieces]
+            yield from ((i, j, p) for i, p in known or [])
+            if text[j - 1] not in pieces:
+                yield j - 1, j, len(pieces)
+
+    def brute(text, k):
+        every, ahead, behind = list(uses_of(text)), [0.0] + [-np.inf] * len(text), [-np.inf] * len(text) + [0.0]
+        for i, j, p in every:
+            ahead[j] = np.logaddexp(ahead[j], ahead[i] + np.log(table[p, k]))
+        for i, j, p in sorted(every, key=lambda use: -use[0]):
+            behind[i] = np.logaddexp(behind[i], behind[j] + np.log(table[p, k]))
+        counts = np.zeros(len(pieces) + 1)
+        for i, j, p in every:
+            counts[p] += np.exp(ahead[i] + np.log(table[p, k]) + behind[j] - ahead[-1])
+        return ahead[-1], counts
+
+    want = [[brute("▁" + w, k) for k in range(2)] for w in words]
+    assert np.allclose(lattice.score(words, table), [[total for total, _ in row] for row in want])
+    counts, langs = np.arange(1, len(words) + 1), np.arange(len(words)) % 2
+    uses = lattice.expect(words, langs, counts, table)
+    assert np.allclose(uses, sum(np.eye(2)[k] * row[k][1][:, None] * n for row, k, n in zip(want, langs, counts)))
+    cuts = list(language_id.parcels(words, 3, 40))
+    assert [w for c in cuts for w in words[c]] == words
+    assert all(c.stop - c.start == 1 or sum(map(len, words[c])) <= 40 and c.stop - c.start <= 3 for c in cuts)
+
+
+def test_sentences_without_spaces(spark):
+    docs = spark.createDataFrame(
+        [(i, "thequickfoxruns" * (i + 1), "en") for i in range(40)] + [(100 + i, "lerenardrapide" * (i + 1), "fr")
+                                                                       for i in range(40)]
+        + [(900, "thequickfoxruns" * 2_000, None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language_id.identify(docs, MODEL).collect()}
+    assert all(r.lang_pred == ("fr" if 100 <= i < 900 else "en") for i, r in got.items())
+
+
 def test_languages_of_odd_documents(odd):
     got = {r.doc_id: r for r in language_id.identify(odd, MODEL).collect()}
     assert got[4].lang_pred == got[5].lang_pred == got[6].lang_pred == "und" and got[4].score == 0
