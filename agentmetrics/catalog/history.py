@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.scan import asof, latest, latest_before, running, running_sum
-from ..plans import mining, outcomes
-from ..session import durable
+from ..plans import mining, outcome_store, outcomes
+from ..session import durable, scratch_folder
 from . import adapters as D
 from .registry import Tables, query
 
@@ -210,6 +211,66 @@ def outcome_tables(t: Tables) -> dict[str, DataFrame]:
                             line_spans=D.spans(lines), cap=None)
 
 
+def field_sql(*names: str) -> str:
+    """The texts of several fields as one, null apart from empty."""
+    return " || '|' || ".join(
+        f"CASE WHEN {n} IS NULL THEN '-' ELSE length(CAST({n} AS VARCHAR)) || ':' || CAST({n} AS VARCHAR) END" for n in names)
+
+
+def sums_sql(source: str, *names: str) -> str:
+    """Number and lane sums of the digests of a commit's rows."""
+    lanes = " || ':' || ".join(f"sum(CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT))" for i in range(8))
+    return f"SELECT repo, sha, count(*) || ':' || {lanes} AS s FROM (SELECT repo, sha, sha256({field_sql(*names)}) AS h FROM {source}) GROUP BY ALL"
+
+
+OUTCOME_SQL = GIT + REVERT_SQL + ATTRIBUTION_SQL + f"""
+, mg AS (SELECT c.repo, c.sha, min(struct_pack(tm := m.tm, s := m.sha, pr := m.o_orderkey)).pr AS pr
+  FROM co c JOIN co m ON m.is_merge AND m.repo = c.repo AND m.tm >= c.tm AND m.tm <= c.tm + INTERVAL 7 DAY
+  WHERE NOT c.is_merge GROUP BY c.repo, c.sha),
+fl AS (SELECT DISTINCT repo, sha, tm, is_merge, path FROM cl),
+rp AS (SELECT DISTINCT rw.repo, rw.sha, t.sha AS other, t.tm AS t_at FROM rw
+  JOIN fl f ON f.repo = rw.repo AND f.sha = rw.sha
+  JOIN fl t ON t.repo = f.repo AND t.path = f.path AND NOT t.is_merge
+    AND t.tm >= rw.tm + INTERVAL 1 SECOND AND t.tm <= rw.target_at AND t.sha <> rw.sha
+  WHERE rw.lines_reworked > 0),
+c1 AS ({sums_sql("(SELECT *, CASE WHEN status = 'measured' THEN kept END AS n FROM ms WHERE days <> 14)",
+                 "days", "status", "lines_original", "n")}),
+c2 AS ({sums_sql("(SELECT *, 14 AS w, lines_reworked > 0 AS occurred FROM rw)", "w", "status", "lines_reworked", "occurred")}),
+c3 AS ({sums_sql('(SELECT *, row_number() OVER (PARTITION BY repo, sha ORDER BY t_at DESC, other DESC) AS nth, '
+                 'count(*) OVER (PARTITION BY repo, sha) AS n FROM rp)', "other", "nth", "n")}),
+oh AS (SELECT b.repo, b.sha, b.tm, b.evidence_source, sha256({field_sql(
+    "epoch_us(b.tm)", "coalesce(added, 0)", "0",
+    "coalesce(mg.pr, CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderkey END)", "b.status", "b.evidence_source",
+    "ai_lines", "human_lines", "vendor_score_version", "(revert_sha IS NOT NULL)", "revert_sha")}
+    || '/' || coalesce(c1.s, '0') || '/' || coalesce(c2.s, '0') || '/' || coalesce(c3.s, '0')) AS content_hash
+  FROM ab b JOIN co ON co.repo = b.repo AND co.sha = b.sha JOIN rv ON rv.repo = b.repo AND rv.sha = b.sha
+  LEFT JOIN sz ON sz.repo = b.repo AND sz.sha = b.sha LEFT JOIN mg ON mg.repo = b.repo AND mg.sha = b.sha
+  LEFT JOIN c1 ON c1.repo = b.repo AND c1.sha = b.sha LEFT JOIN c2 ON c2.repo = b.repo AND c2.sha = b.sha
+  LEFT JOIN c3 ON c3.repo = b.repo AND c3.sha = b.sha)
+"""
+
+
+@query("q_outcome_hash", OUTCOME_SQL + "SELECT repo, sha, content_hash FROM oh")
+def outcome_hash(t: Tables) -> DataFrame:
+    """The hash of each commit over its own facts, survival, rework and rework list."""
+    return outcome_store.records(outcome_tables(t)).select("repo", "sha", "content_hash")
+
+
+@query("q_outcome_store", OUTCOME_SQL + """
+SELECT repo, count(*) AS emitted, 0 AS new, count(*) FILTER (evidence_source = 'vendor_tracking_db') AS updated,
+  count(*) FILTER (evidence_source <> 'vendor_tracking_db') AS unchanged, 0 AS invalid FROM oh GROUP BY repo""")
+def stored_outcomes(t: Tables) -> DataFrame:
+    """Outcomes stored before any vendor score was known, and again with the scores: counts of the second run."""
+    tables = {name: durable(rows) for name, rows in outcome_tables(t).items() if name != "commits_cut"}
+    commits = durable(D.commits(t))
+    kept, _ = outcomes.newest_commits(commits)
+    unscored = outcomes.attribution(kept, scores(t).where("false"))
+    facts_only = tables["changes"].drop(*[c for c in unscored.columns if c not in outcomes.KEY])
+    folder = f"{scratch_folder(t.spark)}/outcomes-{uuid.uuid4().hex}"
+    outcome_store.save(t.spark, {**tables, "changes": facts_only.join(unscored, outcomes.KEY)}, folder, parts=16)
+    return outcome_store.save(t.spark, tables, folder, parts=16)
+
+
 @query("q_repo_summary", GIT + REVERT_SQL + ATTRIBUTION_SQL + """
 SELECT a.repo, commits, reverted_commits, attr_known, attr_partial, attr_unknown,
   coalesce(rm, 0) AS rework_measured, coalesce(ro, 0) AS rework_occurred, round_even(ro / rm, 3) AS rework_rate
