@@ -7,11 +7,13 @@ text with an identity term, the text with its terms swapped for others of the sa
 kind is scored as well, and the squared change of the score is part of the loss, so
 that a group's mention alone does not move it.
 
-Only the logistic fit uses at most SAMPLE_ROWS labelled rows of each class, lowest hash
-of the id first, so that on the driver it has a bounded input: the selected features of
-those rows. A selected feature that fewer than LEAST_TEXTS toxic texts of that sample
-hold is given, in place of a fitted weight, the one that lifts a text without other signs
-to the feature's log odds over all labelled texts. All texts are scored, whole.
+Only the logistic fit uses a sample, so that on the driver it has a bounded input: the
+selected features of at most SAMPLE_ROWS labelled rows of each class, lowest hash of the id
+first, and of at most PER_FEATURE further rows of each class for every selected feature, so
+that rare features are in the fit too: every weight is fitted, under the ridge and the penalty. The
+ridge of a feature is at most RIDGE, and no more than RARE_RIDGE times the share of the
+loss of the rows that hold it, as otherwise a large sample would leave a rare feature no
+weight whatever its rows say. All texts are scored, whole.
 
 Defined cases: null and empty texts have no features and get the score of a text
 without any sign of toxicity; without labels of both classes all scores are 0; a
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import durable
@@ -42,6 +44,8 @@ STARTS = (4, 5, 6)
 TOXIC_FROM = 0.7
 PENALTY = 5.0
 RIDGE = 1e-4
+RARE_RIDGE = 0.1
+PER_FEATURE = 8
 STEPS = 400
 COUNTED = 200_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -108,16 +112,16 @@ def feature_counts(training: DataFrame) -> DataFrame:
         .groupBy("_feature").agg(F.sum("_toxic").alias("_toxic"), F.sum("_clean").alias("_clean"))
 
 
-def selected(training: DataFrame, features: int = FEATURES) -> dict[str, float]:
-    """The features whose odds speak most surely for toxicity, with the log of these."""
+def selected(training: DataFrame, features: int = FEATURES) -> list[str]:
+    """The features whose odds speak most surely for toxicity."""
     classes = {r["_label"]: r["count"] for r in training.groupBy("_label").count().collect()}
     toxic, clean = classes.get(1, 0), classes.get(0, 0)
     if not toxic or not clean:
-        return {}
+        return []
     odds = F.log((F.col("_toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("_clean") + 0.5) / (clean + 1.0))
-    return {r["_feature"]: r["_odds"] for r in feature_counts(training).where(F.col("_toxic") >= LEAST_TEXTS)
+    return [r["_feature"] for r in feature_counts(training).where(F.col("_toxic") >= LEAST_TEXTS)
             .withColumn("_odds", odds).where(F.col("_odds") >= float(np.log(LEAST_ODDS)))
-            .orderBy((F.col("_odds") * F.sqrt("_toxic")).desc(), "_feature").limit(features).collect()}
+            .orderBy((F.col("_odds") * F.sqrt("_toxic")).desc(), "_feature").limit(features).collect()]
 
 
 class Finder(dict):
@@ -139,9 +143,11 @@ class Finder(dict):
         return sorted({i for word in words for i in self[word]})
 
 
-def sparse_rows(sample: DataFrame, features: list[str]) -> pa.Table:
-    """Per sampled text its label, its features, and those of its swapped forms."""
-    shared = sample.sparkSession.sparkContext.broadcast(features)
+def sparse_rows(training: DataFrame, features: list[str]) -> DataFrame:
+    """(id, label, own, other): per labelled text its features, and those of its swapped forms; texts without
+    either are of one kind and stay too, as they set the intercept."""
+    shared = training.sparkSession.sparkContext.broadcast(features)
+    kind = training.schema["_id"].dataType.simpleString()
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(shared.value)
@@ -152,11 +158,28 @@ def sparse_rows(sample: DataFrame, features: list[str]) -> pa.Table:
                 own.append(finder.numbers_of(words))
                 other.append([finder.numbers_of(w) for w in swapped(words)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array(own, pa.list_(pa.int32())), pa.array(other, pa.list_(pa.list_(pa.int32())))],
-                ["label", "own", "other"])
+                [*batch.columns[1:], pa.array(own, pa.list_(pa.int32())), pa.array(other, pa.list_(pa.list_(pa.int32())))],
+                ["id", "label", "own", "other"])
 
-    return durable(sample.select("_text", "_label").mapInArrow(
-        find, "label int, own array<int>, other array<array<int>>")).toArrow()
+    return training.select("_text", "_id", "_label").mapInArrow(
+        find, f"id {kind}, label int, own array<int>, other array<array<int>>")
+
+
+def fit_rows(rows: DataFrame, ids: DataFrame, per_feature: int = PER_FEATURE) -> pa.Table:
+    """The rows to fit: those of ``ids``, and for every feature and class the ``per_feature`` with the lowest
+    hash of the id among all that hold it, be it as they stand or with terms swapped.
+
+    The limit per feature is applied in each task before the shuffle.
+    """
+    held = F.explode(F.array_distinct(F.concat("own", F.flatten("other"))))
+    lowest = Window.partitionBy("feature", "label").orderBy(F.xxhash64("id"), "id")
+    extra = rows.select("id", "label", held.alias("feature")).withColumn("nth", F.row_number().over(lowest)) \
+        .where(F.col("nth") <= per_feature).select("id")
+    chosen = durable(ids.select(F.col("_id").alias("id")).unionByName(extra).distinct())
+    sample = rows.join(maybe_broadcast(chosen, chosen.count(), 24), "id", "left_semi")
+    # an id counts once, so that repeated rows cannot swell what the driver gets
+    return sample.groupBy("id", "label").agg(F.min(F.struct("own", "other")).alias("of")).select(
+        "label", "of.own", "of.other").toArrow()
 
 
 class Sparse:
@@ -178,25 +201,41 @@ def squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
+class Loss:
+    """Log loss with both classes of equal weight, ridge, and the penalty on changes of score over pairs."""
+
+    def __init__(self, own: list[list[int]], labels: np.ndarray, pairs: list[tuple[int, list[int]]], size: int,
+                 penalty: float):
+        self.x, self.moved = Sparse(own, size), Sparse([p[1] for p in pairs], size)
+        self.origin = np.array([p[0] for p in pairs], np.int64)
+        self.labels, self.penalty = labels, penalty
+        # both classes weigh the same, whatever their shares of the sample
+        self.balance = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum()))
+        self.ridge = np.minimum(RIDGE, RARE_RIDGE * self.x.back(self.balance))
+
+    def slope(self, weights: np.ndarray, bias: float) -> np.ndarray:
+        """Derivatives by each weight, then by the intercept."""
+        score = squash(self.x.times(weights) + bias)
+        pull = self.balance * (score - self.labels)
+        out = np.append(self.x.back(pull) + self.ridge * weights, pull.sum())
+        if len(self.origin):
+            before, after = score[self.origin], squash(self.moved.times(weights) + bias)
+            change = 2 * self.penalty * (after - before) / len(self.origin)
+            up, down = change * after * (1 - after), -change * before * (1 - before)
+            fall = np.bincount(self.origin, down, self.x.count)
+            out += np.append(self.moved.back(up) + self.x.back(fall), up.sum() + down.sum())
+        return out
+
+
 def fit(own: list[list[int]], labels: np.ndarray, pairs: list[tuple[int, list[int]]], size: int,
         penalty: float = PENALTY, steps: int = STEPS) -> tuple[np.ndarray, float]:
     """Weights and intercept that minimise log loss, ridge, and ``penalty`` times the mean squared
     change of score over pairs (row, features of its swapped form)."""
-    x, moved = Sparse(own, size), Sparse([p[1] for p in pairs], size)
-    origin = np.array([p[0] for p in pairs], np.int64)
+    loss = Loss(own, labels, pairs, size, penalty)
     weights, bias = np.zeros(size), 0.0
-    # both classes weigh the same, whatever their shares of the sample
-    balance = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum()))
     first, second = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, steps + 1):
-        score = squash(x.times(weights) + bias)
-        pull = balance * (score - labels)
-        slope = np.append(x.back(pull) + RIDGE * weights, pull.sum())
-        if pairs:
-            before, after = score[origin], squash(moved.times(weights) + bias)
-            change = 2 * penalty * (after - before) / len(pairs)
-            up, down = change * after * (1 - after), -change * before * (1 - before)
-            slope += np.append(moved.back(up) + x.back(np.bincount(origin, down, x.count)), up.sum() + down.sum())
+        slope = loss.slope(weights, bias)
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope ** 2
         move = 0.1 * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.999 ** step)) + 1e-9)
         weights, bias = weights - move[:-1], bias - move[-1]
@@ -207,19 +246,14 @@ def learn(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, penalty: f
           sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray, float]:
     known = durable(known_labels(labels, "toxic", id_remainder("doc_id", 3) != 1))
     training = durable(with_label(docs, known, text, doc_id, "inner"))
-    odds = selected(training)
-    features = list(odds)
+    features = selected(training)
     if not features:
         return [], np.zeros(0), -np.inf
-    ids = labelled_sample(known, sample_rows)
-    sample = training.join(maybe_broadcast(ids, ids.count(), 24), ["_id", "_label"], "left_semi")
-    rows = sparse_rows(sample, features)
+    rows = fit_rows(durable(sparse_rows(training, features)), labelled_sample(known, sample_rows))
     own = rows.column("own").to_pylist()
     pairs = [(i, other) for i, others in enumerate(rows.column("other").to_pylist()) for other in others]
     toxic = rows.column("label").to_numpy()
     weights, bias = fit(own, toxic, pairs, len(features), penalty)
-    seen = Sparse(own, len(features)).back(toxic.astype(float))
-    weights = np.where(seen < LEAST_TEXTS, np.array(list(odds.values())) - min(bias, 0.0), weights)
     return features, weights, bias
 
 
