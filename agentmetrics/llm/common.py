@@ -11,6 +11,8 @@ from ..session import durable
 
 #: A table is broadcast only if its rows, at this many bytes each, stay under the limit.
 BROADCAST_BYTES = 64 << 20
+#: A broadcast (id, label) row as the check tool measured it (6 MB for 68,226 rows), rounded up.
+LABEL_BYTES = 96
 #: Keys with at least this share of all rows are joined as heavy ones; there are at most 1/share.
 HEAVY_SHARE = 0.001
 
@@ -84,4 +86,4 @@ def labelled_sample(known: DataFrame, rows: int) -> DataFrame:
 def with_label(docs: DataFrame, known: DataFrame, text: str, doc_id: str, how: str = "left") -> DataFrame:
     """(_id, _text, _label) of documents; narrow labels too many for a broadcast are joined by a shuffle."""
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
-    return rows.join(maybe_broadcast(known, known.count(), 24), "_id", how).select("_id", "_text", "_label")
+    return rows.join(maybe_broadcast(known, known.count(), LABEL_BYTES), "_id", how).select("_id", "_text", "_label")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import durable
-from .common import id_remainder, known_labels, labelled_sample, maybe_broadcast, with_label
+from .common import LABEL_BYTES, id_remainder, known_labels, labelled_sample, maybe_broadcast, with_label
 
 SAMPLE_ROWS = 20_000
 FEATURES = 4096
@@ -176,7 +176,7 @@ def fit_rows(rows: DataFrame, ids: DataFrame, per_feature: int = PER_FEATURE) ->
     extra = rows.select("id", "label", held.alias("feature")).withColumn("nth", F.row_number().over(lowest)) \
         .where(F.col("nth") <= per_feature).select("id")
     chosen = durable(ids.select(F.col("_id").alias("id")).unionByName(extra).distinct())
-    sample = rows.join(maybe_broadcast(chosen, chosen.count(), 24), "id", "left_semi")
+    sample = rows.join(maybe_broadcast(chosen, chosen.count(), LABEL_BYTES), "id", "left_semi")
     # an id counts once, so that repeated rows cannot swell what the driver gets
     return sample.groupBy("id", "label").agg(F.min(F.struct("own", "other")).alias("of")).select(
         "label", "of.own", "of.other").toArrow()
