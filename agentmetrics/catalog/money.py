@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -501,6 +501,50 @@ def label_match(t: Tables) -> DataFrame:
     return label_pairs(t).select("doc_id", "human", "matched", "ours")
 
 
+UNIT_PAIRS_SQL = """
+WITH pd AS (SELECT CASE doc_id % 2 WHEN 0 THEN 'prompt' ELSE 'segment' END AS unit, left(sha1(CAST(doc_id // 4 AS VARCHAR)), 8) AS head,
+    doc_id % 4 AS place, coalesce(CASE WHEN n_chars < 200 THEN 'junk' WHEN n_chars < 1000 THEN 'good'
+      WHEN n_chars < 5000 THEN NULL ELSE 'toxic' END, 'unclassified') AS ours FROM documents),
+hu AS (SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 'prompt' ELSE 'segment' END AS unit,
+    left(sha1(CAST(doc_id // 4 AS VARCHAR)), 8) AS head, doc_id % 4 + toxic AS place,
+    coalesce(CASE quality * 2 + toxic WHEN 0 THEN 'junk' WHEN 1 THEN 'toxic' WHEN 2 THEN 'good' END, 'unclassified') AS human
+  FROM labels),
+mu AS (SELECT hu.*, ours, ours IS NOT NULL AS matched FROM hu LEFT JOIN pd
+  ON hu.unit = pd.unit AND hu.head = pd.head AND hu.place = pd.place)
+"""
+
+
+def unit_pairs(t: Tables) -> DataFrame:
+    """Documents as classified units, four to a session, every other one a segment; labels as calibration
+    files, which name sessions by their first characters. Toxic ones point a turn further."""
+    session = F.sha1(F.floor(F.col("doc_id") / 4).cast("string"))
+
+    def unit(turn: Column, head: Column) -> list[Column]:
+        return [F.when(F.col("doc_id") % 2 == 0, "prompt").otherwise("segment").alias("unit"), head.alias("session_id"),
+                turn.alias("start_turn"), F.concat(F.left(session, F.lit(8)), F.lit("-"), turn.cast("string")).alias("segment_id")]
+
+    human = t.labels.select("doc_id", *unit(F.col("doc_id") % 4 + F.col("toxic"), F.left(session, F.lit(8))), D.pick(
+        F.col("quality") * 2 + F.col("toxic"), ["junk", "toxic", "good", None]).alias("task_type"))
+    n = F.col("n_chars")
+    rule = F.when(n < 200, "junk").when(n < 1000, "good").when(n < 5000, F.lit(None)).otherwise("toxic")
+    predicted = t.documents.select(*unit(F.col("doc_id") % 4, session), rule.cast("string").alias("task_type"),
+                                   F.lit("len").alias("rule_id"), F.col("doc_id").alias("written"))
+    return agreement.match_units(human, predicted, ["written"])
+
+
+@query("q_unit_labels", UNIT_PAIRS_SQL + "SELECT doc_id, unit, human, ours, matched FROM mu")
+def unit_labels(t: Tables) -> DataFrame:
+    return unit_pairs(t).select("doc_id", "unit", "human", "ours", "matched")
+
+
+@query("q_unit_coverage", UNIT_PAIRS_SQL + """
+SELECT unit, count(*) AS n_labels, count(*) FILTER (matched) AS n_matched, count(*) FILTER (NOT matched) AS n_unmatched
+FROM mu GROUP BY unit""")
+def unit_coverage(t: Tables) -> DataFrame:
+    """Labels per grain that met a classified unit, and those whose unit is gone."""
+    return agreement.matched_counts(unit_pairs(t))
+
+
 def counts(t: Tables) -> DataFrame:
     return agreement.contingency(label_pairs(t).where("matched"), [])
 

@@ -20,6 +20,34 @@ def match_labels(human: DataFrame, predicted: DataFrame, key: list[str],
             .drop("task_type").join(one, key, "left").fillna(False, subset=["matched"]))
 
 
+#: What a calibration label and a prediction are matched on.
+UNIT_KEY = ["unit", "session_head", "place"]
+HEAD = 8
+
+
+def by_unit(df: DataFrame) -> DataFrame:
+    """Prompt and segment records with their key: grain, the first characters of the session id, and the
+    first turn of a prompt or what follows the first dash of a segment's id (null without a dash)."""
+    behind = F.col("segment_id").substr(F.instr("segment_id", "-") + 1, F.length("segment_id"))
+    place = F.when(F.col("unit") == "prompt", F.col("start_turn").cast("string")).when(
+        F.instr("segment_id", "-") > 0, behind)
+    return df.where(F.col("unit").isin("prompt", "segment")).withColumn(
+        "session_head", F.left("session_id", F.lit(HEAD))).withColumn("place", place)
+
+
+def match_units(human: DataFrame, predicted: DataFrame, order: list[str]) -> DataFrame:
+    """Human labels of units with the prediction of the same unit. Calibration files name a session
+    by its first characters; a label whose unit is gone stays, unmatched."""
+    return match_labels(by_unit(human), by_unit(predicted), UNIT_KEY, order)
+
+
+def matched_counts(pairs: DataFrame) -> DataFrame:
+    """Labels per grain, and how many met a prediction."""
+    return pairs.groupBy("unit").agg(
+        F.count("*").alias("n_labels"), F.count_if("matched").alias("n_matched"),
+        F.count_if(~F.col("matched")).alias("n_unmatched"))
+
+
 def contingency(pairs: DataFrame, by: list[str]) -> DataFrame:
     """Counts per (human, ours). All other figures are computed from this."""
     return pairs.groupBy(*by, "human", "ours").agg(F.count("*").alias("n"))
