@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..plans import mining, pricing, sessions_b, spend
 from . import adapters as D
-from .money import order_sessions, sheet
+from .money import PRICED_SQL, names, order_sessions, sheet
 from .registry import SQL, Tables, query
 from .traffic import records_b, with_sid
 
@@ -100,21 +100,23 @@ def first_tasks(t: Tables) -> DataFrame:
     return mining.first_tasks(tasks, 25).select("o_orderkey", "sha")
 
 
-@query("q_highlights", """
-WITH tk AS (SELECT l_orderkey, sum(CAST(l_quantity AS BIGINT) * 1000) AS n FROM lineitem GROUP BY 1),
-o AS (SELECT *, CASE o_orderpriority WHEN '3-MEDIUM' THEN '<synthetic>' ELSE o_orderpriority END AS model FROM orders),
-e AS (SELECT 'model' AS kind, model AS key, coalesce(sum(n), 0) AS amount FROM o LEFT JOIN tk ON l_orderkey = o_orderkey
-  WHERE model <> '<synthetic>' GROUP BY model
-  UNION ALL SELECT 'project', '(unmapped)', coalesce(sum(n), 0) FROM o LEFT JOIN tk ON l_orderkey = o_orderkey
-  UNION ALL SELECT 'task_type', lang, count(*) FROM documents WHERE lang <> 'es' GROUP BY lang
-  UNION ALL SELECT 'repo', source, count(*) FROM documents GROUP BY source),
+@query("q_highlights", PRICED_SQL + """
+, e AS (SELECT 'model' AS kind, model AS key, coalesce(sum(CAST(trunc(cost * 1000) AS BIGINT)), 0) AS amount FROM pr
+  WHERE model <> '3-MEDIUM' GROUP BY model
+  UNION ALL SELECT 'project', project, coalesce(sum(CAST(trunc(cost * 1000) AS BIGINT)) FILTER (model <> '3-MEDIUM'), 0)
+  FROM pr GROUP BY project
+  UNION ALL SELECT 'task_type', CASE WHEN lang <> 'es' THEN lang ELSE 'unclassified' END, count(*) FROM documents
+  WHERE n_chars % 7 <> 0 GROUP BY 2
+  UNION ALL SELECT 'repo', source, count(*) FROM documents WHERE regexp_matches(source, '[02468]$') GROUP BY source),
 r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY amount DESC, key) AS nth FROM e)
 SELECT kind, CASE WHEN nth <= 2 THEN key ELSE 'rest' END AS key, CAST(sum(amount) AS BIGINT) AS amount FROM r GROUP BY 1, 2""")
 def highlights(t: Tables) -> DataFrame:
-    """Two of each kind and the rest; languages stand for task types, one of them
-    for no label, and document sources for repos."""
+    """Two of each kind and the rest; languages stand for task types, one of them for no label, some texts
+    for sessions of an evaluation, and document sources for repos, of which every other one is measured."""
     s = order_sessions(t).withColumn("model_list", F.transform("model_list", lambda m: F.when(
         m == "3-MEDIUM", fixed.SYNTHETIC_MODEL).otherwise(m)))
-    classes = t.documents.select(F.expr("nullif(lang, 'es')").alias("task_type"))
-    repos = t.documents.groupBy(F.col("source").alias("repo")).agg(F.count("*").alias("commits"))
-    return spend.highlights(spend.rollup(spend.priced(s, sheet(t))), classes, repos, 2)
+    classes = t.documents.select(F.expr("nullif(lang, 'es')").alias("task_type"), F.when(
+        F.col("n_chars") % 7 == 0, "eval_harness").otherwise("organic").alias("cohort"))
+    repos = t.documents.groupBy(F.col("source").alias("repo")).agg(
+        F.count("*").alias("commits"), F.count_if(F.col("source").rlike("[02468]$")).alias("measured"))
+    return spend.highlights(spend.rollup(spend.priced(s, sheet(t), names(t))), classes, repos, 2)

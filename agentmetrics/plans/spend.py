@@ -193,17 +193,21 @@ def first_days(rollup_rows: DataFrame, k: int) -> DataFrame:
 
 
 def highlights(rollup_rows: DataFrame, classes: DataFrame, repos: DataFrame, k: int) -> DataFrame:
-    """The k models and projects with most tokens, task types with most labels and
-    repos with most commits, each kind with the sum of its rest. Placeholder model
-    names, written by tools for turns without a model, are no models.
+    """The k models and projects that cost most, task types of organic sessions with most labels, and measured
+    repos with most commits, each kind with the sum of its rest.
+
+    ``classes``: task_type (null is unclassified), cohort. ``repos``: repo, commits, measured, the commits whose
+    survival is known; repos without any are left out. What was never priced ranks as nothing. Placeholder
+    model names, written by tools for turns without a model, are no models.
     """
-    total = sum((F.coalesce(t, F.lit(0)) for t in TOKENS), F.lit(0))
     spent = rollup_rows.where(F.col("dimension").isin("model", "project") & ~(
         (F.col("dimension") == "model") & (F.col("key") == fixed.SYNTHETIC_MODEL))).select(
-        F.col("dimension").alias("kind"), "key", total.alias("amount"))
-    tasks = classes.where("task_type IS NOT NULL").groupBy(F.col("task_type").alias("key")).agg(
+        F.col("dimension").alias("kind"), "key", F.coalesce("cost_x1000", F.lit(0)).alias("amount"))
+    tasks = classes.where("cohort = 'organic'").groupBy(
+        F.coalesce("task_type", F.lit("unclassified")).alias("key")).agg(
         F.count("*").alias("amount")).select(F.lit("task_type").alias("kind"), "key", "amount")
-    known = repos.select(F.lit("repo").alias("kind"), F.col("repo").alias("key"), F.col("commits").alias("amount"))
+    known = repos.where("measured > 0").select(
+        F.lit("repo").alias("kind"), F.col("repo").alias("key"), F.col("commits").alias("amount"))
     every = spent.unionByName(tasks).unionByName(known)
     # the limit is taken in each task before the shuffle, the rest summed by kind
     order = Window.partitionBy("kind").orderBy(F.desc("amount"), "key")
