@@ -337,37 +337,36 @@ WINDOW_SQL = """
 WITH s AS (SELECT user_id, CAST(ts AS DATE) AS day, min(ts) AS t0, max(ts) AS t1,
     CASE WHEN user_id % 2 = 0 THEN 'codex' ELSE 'cursor' END AS source_tool
   FROM events WHERE event_type <> 'purchase' GROUP BY user_id, CAST(ts AS DATE)),
-p AS (SELECT user_id, ts FROM events WHERE event_type = 'purchase' AND user_id % 5 <> 0),
-j AS (SELECT s.*, user_id % 5 <> 0 AS repo_joined, EXISTS (SELECT 1 FROM p WHERE p.user_id = s.user_id
-    AND p.ts BETWEEN t0 AND t1) AS commit_in_window FROM s)"""
+p AS (SELECT user_id, ts FROM events WHERE event_type = 'purchase'),
+j AS (SELECT s.*, user_id % 5 <> 0 AND user_id IN (SELECT user_id FROM p) AS repo_joined, user_id % 5 <> 0
+    AND EXISTS (SELECT 1 FROM p WHERE p.user_id = s.user_id AND p.ts BETWEEN t0 AND t1) AS commit_in_window FROM s)"""
 
 
 def user_days(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Non-purchase events of a user and day are a session, purchases commits of
-    the user's repo; every fifth user has no repo."""
+    the user's repo; the directories of every fifth user are in no known repo."""
     e = t.events
     s = e.where("event_type <> 'purchase'").groupBy("user_id", F.to_date("ts").alias("day")).agg(
         F.min("ts").alias("started_at"), F.max("ts").alias("ended_at")).select(
         D.pick(F.col("user_id") % 2, ["codex", "cursor"]).alias("source_tool"),
         F.concat_ws("/", F.col("user_id").cast("string"), F.col("day").cast("string")).alias("session_id"),
         F.col("user_id").cast("string").alias("project_ref"), "started_at", "ended_at")
-    buys = e.where("event_type = 'purchase' AND user_id % 5 <> 0")
-    refs = buys.select(F.col("user_id").cast("string").alias("project_ref")).distinct().withColumn(
-        "repo", F.concat(F.lit("r"), F.col("project_ref")))
+    buys = e.where("event_type = 'purchase'")
+    refs = buys.select("user_id").distinct().select(F.col("user_id").cast("string").alias("project_ref"), F.when(
+        F.col("user_id") % 5 != 0, F.concat(F.lit("r"), F.col("user_id").cast("string"))).alias("repo"))
     commits = buys.select(F.concat(F.lit("r"), F.col("user_id").cast("string")).alias("repo"),
                           F.col("ts").alias("at"))
     return s, refs, commits
 
 
 @query("q_window_semi", WINDOW_SQL + """
-SELECT user_id || '/' || day AS session_id, repo_joined AND user_id IN (SELECT user_id FROM p) AS repo_joined,
-  commit_in_window FROM j""")
+SELECT user_id || '/' || day AS session_id, repo_joined, commit_in_window FROM j""")
 def window_semi(t: Tables) -> DataFrame:
     return outcomes.session_joins(*user_days(t)).select("session_id", "repo_joined", "commit_in_window")
 
 
 @query("q_join_rates", WINDOW_SQL + """
-, r AS (SELECT source_tool, count(*) AS n, count(*) FILTER (user_id IN (SELECT user_id FROM p)) AS a,
+, r AS (SELECT source_tool, count(*) AS n, count(*) FILTER (repo_joined) AS a,
     count(*) FILTER (commit_in_window) AS b FROM j GROUP BY source_tool)
 SELECT source_tool, n AS sessions, a AS repo_join, round_even(a / n, 3) AS repo_join_rate,
   b AS commit_in_session_window, round_even(b / n, 3) AS commit_window_rate FROM r""")
