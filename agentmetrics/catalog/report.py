@@ -91,11 +91,11 @@ def tier_table(t: Tables) -> DataFrame:
 
 
 @query("q_first_tasks", """
-SELECT o_orderkey, sha1(CAST(o_orderkey AS VARCHAR)) AS sha FROM orders WHERE o_orderpriority = '1-URGENT'
+SELECT o_orderkey, sha1(CAST(o_orderkey AS VARCHAR)) AS sha FROM orders
 ORDER BY o_orderdate DESC, sha LIMIT 25""")
 def first_tasks(t: Tables) -> DataFrame:
-    """The newest urgent orders as the tasks of a replay."""
-    tasks = t.orders.where("o_orderpriority = '1-URGENT'").select(
+    """The newest orders as the tasks of a replay."""
+    tasks = t.orders.select(
         "o_orderkey", F.sha1(F.col("o_orderkey").cast("string")).alias("sha"), F.col("o_orderdate").alias("at"))
     return mining.first_tasks(tasks, 25).select("o_orderkey", "sha")
 
