@@ -13,7 +13,7 @@ two differed the library's ids would be taken, and ``n_corrected`` counts such c
 of a text (zero, in every test).
 
 The vocabulary file (a path that Spark can read or a local one on the driver) is
-shipped as bytes, about half a MB. A worker's memory is bounded: CACHED cuts of at
+shipped as bytes, about half a MB. A worker's memory is bounded: CACHED (or ``remembered``) cuts of at
 most CACHED_LENGTH characters; longer ones are encoded as they come.
 
 Defined cases: null counts as empty; empty gives no ids and the SHA-256 of nothing;
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-CACHED = 300_000
+CACHED = 700_000
 TEXTS_AT_ONCE = 50
 CACHED_LENGTH = 64
 SHORT = 40
@@ -64,6 +64,7 @@ class PieceEncoder(dict):
         self.fresh: list[str] = []
         self.corrected: set[str] = set()
         self.older: dict[str, tuple[int, ...]] = {}
+        self.remembered = CACHED
         self[""] = self.merge(MARK)  # which the library does not see as a text of its own
 
     def merge(self, text: str) -> tuple[int, ...]:
@@ -155,7 +156,7 @@ class PieceEncoder(dict):
 
     def forget(self) -> None:
         """Keep the cuts used since the last call but one."""
-        if len(self) > CACHED // 2:
+        if len(self) > self.remembered // 2:
             self.older = dict(self)
             self.clear()
             self[""] = self.merge(MARK)
@@ -192,8 +193,12 @@ def encoder_of(model: bytes) -> PieceEncoder:
     return _ENCODERS[key]
 
 
-def encode_table(docs: DataFrame, model_path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Per document the id, number of ids, and hashes of the ids and of the decoded text."""
+def encode_table(docs: DataFrame, model_path: str, text: str = "text", doc_id: str = "doc_id",
+                 remembered: int = CACHED) -> DataFrame:
+    """Per document the id, number of ids, and hashes of the ids and of the decoded text.
+
+    A worker remembers ``remembered`` cuts at most: fewer take less memory and more time.
+    """
     spark = docs.sparkSession
     with open(model_path, "rb") as f:
         model = spark.sparkContext.broadcast(f.read())
@@ -201,6 +206,7 @@ def encode_table(docs: DataFrame, model_path: str, text: str = "text", doc_id: s
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(model.value)
+        encoder.remembered = remembered
         numbers, decode, sha = encoder.numbers, encoder.library.decode, hashlib.sha256
         for batch in batches:
             counts, hashes, decoded, corrected = [], [], [], []

@@ -9,16 +9,18 @@ the first n - ceil(n * similarity) + 1 of each, so only these are keys; keys hel
 set alone are dropped in one pass over sorted rows. Shingles that a sample of texts
 holds often come last in the order. The sample decides the cost, never the result.
 
-Candidates: the sizes and places of a shared key bound what two sets can have in
+Candidates: pairs proposed by the caller (those of near SimHash fingerprints) come first.
+For what they leave, the sizes and places of a shared key bound what two sets can have in
 common. First each key's sets are compared with one of them, STARS times with
 another centre, so that a large group of near copies joins without all its pairs;
 then all pairs of a key whose sets are not joined yet.
 
 Each set has a sketch of SKETCH_WORDS * 64 parities: which of its parts hold an odd
 number of shingles. Two sketches differ in at most as many places as the sets do, so a pair
-whose sketches differ in too many is settled by them. Texts of the other pairs, few
-more than the similar ones, are cut into shingles again and compared in whole sets.
-What a round lands is deleted when its links are known.
+whose sketches differ in too many is settled by them. FOLD words, the sketch folded on
+itself, are at hand where keys meet, so that a pair they settle is never made. Texts of
+the other pairs, few more than the similar ones, are cut into shingles again and compared in
+whole sets. What a round lands is deleted when its links are known.
 
 Defined cases: null and empty texts are one set, linked as copies; texts with the same
 set are one node; an empty table has no links. Shingles and sets are told apart by 64 bits.
@@ -32,7 +34,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable, job_scratch
@@ -42,7 +44,8 @@ from .components import components
 WIDTH = 5
 SIMILAR_NUM, SIMILAR_DEN = 4, 5
 STARS = 2
-SKETCH_WORDS = 16
+SKETCH_WORDS, FOLD = 16, 4
+FOLDED = [f"_f{i}" for i in range(FOLD)]
 #: Texts whose shingles are counted for the order, and from how many a shingle is common.
 ORDER_TEXTS = 10_000
 COMMON_FROM = 4
@@ -60,6 +63,12 @@ def node_of(found: np.ndarray) -> int:
     return int(np.frombuffer(xxhash.xxh64_digest(found.tobytes(), 7), ">i8")[0])
 
 
+def majority(found: np.ndarray) -> int:
+    """SimHash fingerprint of a set of hashes: a bit is set if more than half of them set it."""
+    bits = np.unpackbits(found.astype(">i8").view(np.uint8).reshape(-1, 8), axis=1)
+    return int(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(found)).view(">i8")[0])
+
+
 def lists(arrays: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, arrays)])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*arrays, np.zeros(0, np.int64)])))
@@ -88,7 +97,8 @@ def common_shingles(docs: DataFrame, text: str, width: int) -> np.ndarray:
 
 
 def with_keys(docs: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
-    """(_id, _sum, _print, _n, _bits, _keys): id, checksum of the text, node, size and sketch of its set, its first shingles."""
+    """(_id, _sum, _print, _sim, _n, _bits, _keys): id, checksum of the text, node, fingerprint, size and sketch
+    of its set, its first shingles."""
     common = common_shingles(docs, text, width)
     by_value = np.argsort(common)
     shared = docs.sparkSession.sparkContext.broadcast((common[by_value], by_value + 1))
@@ -97,11 +107,12 @@ def with_keys(docs: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, places = shared.value
         for batch in batches:
-            nodes, sizes, bits, keys = [], [], [], []
+            nodes, sims, sizes, bits, keys = [], [], [], [], []
             for t in batch.column(2):
                 found = shingle_set(t.as_py() or "", width)
                 n = len(found)
                 nodes.append(node_of(found))
+                sims.append(majority(found))
                 sizes.append(n)
                 bits.append(sketch(found))
                 if len(values):
@@ -109,12 +120,13 @@ def with_keys(docs: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
                     found = found[np.lexsort((found, np.where(values[at] == found, places[at], 0)))]
                 keys.append(found[:n + (-n * SIMILAR_NUM // SIMILAR_DEN) + 1])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()),
-                 lists(bits), lists(keys)], ["_id", "_sum", "_print", "_n", "_bits", "_keys"])
+                [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sims, pa.int64()),
+                 pa.array(sizes, pa.int32()), lists(bits), lists(keys)],
+                ["_id", "_sum", "_print", "_sim", "_n", "_bits", "_keys"])
 
     return docs.select(F.col(doc_id).alias("_id"), F.xxhash64(whole_text(text)).alias("_sum"),
                        F.col(text).alias("_text")).mapInArrow(
-        find, f"_id {kind}, _sum long, _print long, _n int, _bits array<long>, _keys array<long>")
+        find, f"_id {kind}, _sum long, _print long, _sim long, _n int, _bits array<long>, _keys array<long>")
 
 
 def several_holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,6 +155,17 @@ def sketch(found: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
     return np.packbits((np.bincount(places, minlength=64 * words) & 1).astype(np.uint8)).view(np.int64)
 
 
+def folded(bits: str) -> list[Column]:
+    """The sketch folded into FOLD words: as part of a coarser cut, it differs in no more places than the sets."""
+    def word(i: int) -> Column:
+        out = F.col(bits)[i]
+        for j in range(i + FOLD, SKETCH_WORDS, FOLD):
+            out = out.bitwiseXOR(F.col(bits)[j])
+        return out.alias(FOLDED[i])
+
+    return [word(i) for i in range(FOLD)]
+
+
 def settled_by_sketch(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sketches do not rule out that their sets are similar."""
     left = sketches.select(F.col("_print").alias("a"), F.col("_n").alias("_n1"), F.col("_bits").alias("_bits1"))
@@ -180,30 +203,36 @@ def candidates(placed: DataFrame, star: int | None) -> DataFrame:
 
     With the number of a star, of each key one set with all others.
     """
-    names = ("_print", "_n", "_at", "_root")
+    names = ("_print", "_n", "_at", "_root", *FOLDED)
     other = placed.select("_key", *[F.col(c).alias(f"{c}2") for c in names])
     if star is not None:
         centre = placed.groupBy("_key").agg(F.min_by(F.struct(*names), F.xxhash64("_print", F.lit(star))).alias("_c"))
         other = centre.select("_key", *[F.col(f"_c.{c}").alias(f"{c}2") for c in names])
     bound = F.least(F.col("_n") - F.col("_at"), F.col("_n2") - F.col("_at2")).cast("long") \
         * (SIMILAR_NUM + SIMILAR_DEN) >= (F.col("_n") + F.col("_n2")).cast("long") * SIMILAR_NUM
+    differing = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}2"))) for c in FOLDED), F.lit(0)).cast("long")
+    bound &= differing * (SIMILAR_DEN + SIMILAR_NUM) <= (F.col("_n") + F.col("_n2")).cast("long") * (
+        SIMILAR_DEN - SIMILAR_NUM)
     once = F.lit(True) if star is not None else F.col("_print") < F.col("_print2")
     return placed.join(other, "_key").where(once & (F.col("_root") != F.col("_root2")) & bound).select(
         F.least("_print", "_print2").alias("a"), F.greatest("_print", "_print2").alias("b")).distinct()
 
 
-def links(docs: DataFrame, rows: DataFrame, text: str, doc_id: str, width: int, stars: int = STARS) -> DataFrame:
-    """Links (a, b) between nodes that connect all similar ones; ``rows`` are those of with_keys."""
+def links(docs: DataFrame, rows: DataFrame, proposed: DataFrame, text: str, doc_id: str, width: int,
+          stars: int = STARS) -> DataFrame:
+    """Links (a, b) between nodes that connect all similar ones; ``rows`` are those of with_keys.
+
+    ``proposed`` are pairs (a, b) to look at first; those that are not similar are dropped.
+    """
     spark = docs.sparkSession
     keyed = rows.select("_print", "_n", F.posexplode("_keys").alias("_at", "_key")).select("_key", "_print", "_n", "_at")
-    shared = durable(keyed.repartition("_key").sortWithinPartitions("_key", "_print").mapInArrow(
-        several_holders, "_key long, _print long, _n int, _at int"))
-    nodes = durable(shared.select("_print").distinct())
-    sketches = durable(rows.select("_print", "_n", "_bits").join(
-        maybe_broadcast(nodes, nodes.count(), 24), "_print", "left_semi").dropDuplicates(["_print"]))
+    held = keyed.repartition("_key").sortWithinPartitions("_key", "_print").mapInArrow(
+        several_holders, "_key long, _print long, _n int, _at int")
+    sketches = durable(rows.select("_print", "_n", "_bits").dropDuplicates(["_print"]))
+    shared = durable(held.join(sketches.select("_print", *folded("_bits")), "_print"))
     found = new = None
     placed = shared.withColumn("_root", F.col("_print"))
-    for step in range(stars + 1):
+    for step in range(-1, stars + 1):
         with job_scratch(spark):
             if new is not None and not new.isEmpty():
                 roots = durable(components(found))
@@ -214,7 +243,7 @@ def links(docs: DataFrame, rows: DataFrame, text: str, doc_id: str, width: int,
                 placed = durable(placed.join(mixed, "_key", "left_semi"), outlive=1)
                 if placed.isEmpty():
                     break
-            pairs = durable(candidates(placed, step if step < stars else None))
+            pairs = durable(proposed if step < 0 else candidates(placed, step if step < stars else None))
             left = durable(settled_by_sketch(pairs, sketches))
             sets = durable(sets_of(docs, rows, left, text, doc_id, width))
             new = durable(similar(left, sets), outlive=1)

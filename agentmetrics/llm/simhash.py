@@ -205,12 +205,30 @@ def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width:
 
 def grouped_by_similarity(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                           width: int = shingle_links.WIDTH) -> DataFrame:
-    """As ``grouped``, with links between texts of similar shingle sets; _print tells the sets apart."""
+    """As ``grouped``, with links between texts of similar shingle sets; _print tells the sets apart.
+
+    Fingerprints of the sets are searched first, as in ``links``, and the pairs found are checked by
+    whole sets. Similar sets whose fingerprints differ in more than RADIUS bits are found by shared shingles.
+    """
     spark = docs.sparkSession
     with job_scratch(spark):
         rows = durable(shingle_links.with_keys(docs, text, doc_id, width))
-        return durable(with_component(rows.select("_id", "_sum", "_print"),
-                                      lambda _: shingle_links.links(docs, rows, text, doc_id, width)), outlive=1)
+        near = durable(near_sets(rows))
+        return durable(with_component(rows.select("_id", "_sum", "_print"), lambda _: shingle_links.links(
+            docs, rows, near, text, doc_id, width)), outlive=1)
+
+
+def near_sets(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of _print that connect all whose _sim is the same or links."""
+    sets = durable(rows.select("_print", "_sim").distinct())
+    one = durable(sets.groupBy("_sim").agg(F.min("_print").alias("_one")))
+    same = sets.join(maybe_broadcast(one, one.count(), 32), "_sim").select(F.col("_one").alias("a"), F.col("_print").alias("b"))
+    found = durable(links(one.select(F.col("_sim").alias("_print"))))
+    linked = found.join(one.select(F.col("_sim").alias("a"), F.col("_one").alias("_a")), "a").join(
+        one.select(F.col("_sim").alias("b"), F.col("_one").alias("_b")), "b").select(
+        F.col("_a").alias("a"), F.col("_b").alias("b"))
+    both = same.unionByName(linked).where("a <> b")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def with_component(rows: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFrame:

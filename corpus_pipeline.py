@@ -14,6 +14,10 @@ from agentmetrics.llm.common import table, tokenizer
 from agentmetrics.session import durable
 
 
+#: Cuts that a worker of the encoding stage remembers: its memory also holds what earlier stages left.
+REMEMBERED = 150_000
+
+
 def keep_good_texts(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents whose noisy importance weight is among the greatest stay."""
     return quality.keep_good(docs, table(spark, folder, "labels"))
@@ -25,7 +29,9 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, folder: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Of each component of texts that share 0.8 of their five-word shingles one document stays."""
+    """Of each component of texts that share 0.8 of their five-word shingles one document stays.
+
+    Fingerprints propose the pairs, whole shingle sets decide."""
     return simhash.drop_similar(docs)
 
 
@@ -36,7 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Piece ids of every document, as counts and hashes."""
-    return piece_encoding.encode_table(docs, tokenizer("piece_bpe_32k.model"))
+    return piece_encoding.encode_table(docs, tokenizer("piece_bpe_32k.model"), remembered=REMEMBERED)
 
 
 STAGES = [

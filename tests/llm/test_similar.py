@@ -82,3 +82,32 @@ def test_what_the_stage_lands_is_deleted(spark, tmp_path):
     left = set(os.listdir(scratch_folder(spark))) - before
     columns = {c for f in left for c in spark.read.parquet(f"{scratch_folder(spark)}/{f}").columns}
     assert left and not columns & {"_keys", "_set", "_bits", "_key"}
+
+
+def test_near_fingerprints_propose_pairs_first(spark, monkeypatch):
+    """Texts that differ in one of many words are found by their fingerprints alone."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(2000)]
+    docs = []
+    for i in range(6):
+        words = list(base)
+        words[300 * i] = "changed"
+        docs.append((i, " ".join(words)))
+    docs.append((6, " ".join(f"v{i}" for i in range(2000))))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = shingle_links.with_keys(table, "text", "doc_id", 5)
+    near = simhash.near_sets(rows)
+    assert near.count() >= 5
+    monkeypatch.setattr(shingle_links, "candidates", lambda placed, star: near.limit(0))
+    assert sorted(r.doc_id for r in simhash.drop_similar(table).collect()) == [0, 6]
+
+
+def test_pairs_settled_by_the_folded_sketch_are_never_made(spark):
+    """Sets that share a line and little else make no candidate pair."""
+    line = " ".join(f"common{i}" for i in range(12))
+    docs = [(i, line + " " + " ".join(f"n{i}x{j}" for j in range(25))) for i in range(40)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = shingle_links.with_keys(table, "text", "doc_id", 5)
+    keyed = rows.selectExpr("_print", "_n", "0 AS _at", "_print AS _root", "1L AS _key", "_bits").select(
+        "_key", "_print", "_n", "_at", "_root", *shingle_links.folded("_bits"))
+    assert shingle_links.candidates(keyed, None).count() == 0
