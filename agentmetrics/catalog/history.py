@@ -149,13 +149,18 @@ def reverts(t: Tables) -> DataFrame:
 
 
 def members(commits: DataFrame) -> DataFrame:
-    """Commits a merge brought in: here those of the same repo up to a week older,
-    so that a commit may come in by several merges."""
-    merges = outcomes.merge_numbers(commits).withColumnRenamed("sha", "merge_sha").withColumn(
+    """The first merge that brought a commit in: here those of the same repo bring in all commits
+    up to a week older. Only the first counts, so merges are reduced to it per repo and day before commits join."""
+    def first(merges: DataFrame, *by: str) -> DataFrame:
+        row = F.struct("merged_at", "merge_sha", "pr_number")
+        return merges.groupBy(*by).agg(F.min_by(row, F.struct("merged_at", "merge_sha")).alias("first"))
+
+    merges = outcomes.merge_numbers(commits).withColumnRenamed("sha", "merge_sha")
+    days = first(merges, "repo", "merged_at").select("repo", "first.*").withColumn(
         "day", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn(
         "at", F.col("merged_at") - F.make_dt_interval("day"))
-    return commits.where(~F.col("is_merge")).select("repo", "sha", "at").join(
-        merges.select("repo", "at", "merge_sha", "merged_at", "pr_number"), ["repo", "at"]).drop("at")
+    opening = durable(first(days, "repo", "at").select("repo", "at", "first.*"))
+    return commits.where(~F.col("is_merge")).select("repo", "sha", "at").join(opening, ["repo", "at"]).drop("at")
 
 
 @query("q_pr_numbers", GIT + """
@@ -205,10 +210,10 @@ def attribution(t: Tables) -> DataFrame:
     return outcomes.attribution(kept, scores(t))
 
 
-def outcome_tables(t: Tables) -> dict[str, DataFrame]:
+def outcome_tables(t: Tables, lists: bool = True) -> dict[str, DataFrame]:
     commits, lines = git(t)
     return outcomes.signals(commits, D.numstat(lines), members(commits), scores(t), NOW,
-                            line_spans=D.spans(lines), cap=None)
+                            line_spans=D.spans(lines), cap=None, lists=lists)
 
 
 def field_sql(*names: str) -> str:
@@ -281,7 +286,7 @@ JOIN (SELECT repo, count(revert_sha) AS reverted_commits FROM rv GROUP BY repo)
 LEFT JOIN (SELECT repo, count(*) AS rm, count(*) FILTER (lines_reworked > 0) AS ro FROM rw
   WHERE status = 'measured' GROUP BY repo) w ON a.repo = w.repo""")
 def repo_summary(t: Tables) -> DataFrame:
-    out = outcome_tables(t)
+    out = outcome_tables(t, lists=False)
     return outcomes.repo_summary(out["changes"], out["rework"])
 
 
@@ -293,7 +298,7 @@ SELECT CASE WHEN ab.status = 'known' THEN CASE WHEN ai_fraction >= 0.5 THEN 'kno
 FROM ab JOIN rv ON ab.repo = rv.repo AND ab.sha = rv.sha
 LEFT JOIN (SELECT * FROM rw WHERE status = 'measured') w ON ab.repo = w.repo AND ab.sha = w.sha GROUP BY 1""")
 def rework_split(t: Tables) -> DataFrame:
-    out = outcome_tables(t)
+    out = outcome_tables(t, lists=False)
     return outcomes.rework_by_attribution(out["changes"], out["rework"])
 
 

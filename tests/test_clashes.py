@@ -29,3 +29,32 @@ def test_sessions_that_share_their_first_characters(spark, tmp_path, name):
     documents = spark.createDataFrame([(i, i % 6000) for i in ids], "doc_id long, n_chars long")
     labels = spark.createDataFrame([(i, i % 2, i // 2 % 2) for i in ids], "doc_id long, quality int, toxic int")
     assert check(spark, tmp_path, name, documents=documents, labels=labels) >= 2
+
+
+def orders_of_one_nation(spark, n):
+    """Orders of few days in one repo, many of them merges, with lines that are removed early."""
+    orders = spark.range(n).selectExpr(
+        "id AS o_orderkey", "id % 7 AS o_custkey", "CASE WHEN id % 3 = 0 THEN 'P' ELSE 'F' END AS o_orderstatus",
+        "CAST(id * 1000 AS DOUBLE) AS o_totalprice", "TIMESTAMP_NTZ '1995-01-01 00:00:00' + make_dt_interval(id % 20) AS o_orderdate",
+        "CASE id % 4 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' ELSE '5-LOW' END AS o_orderpriority")
+    customer = spark.range(7).selectExpr("id AS c_custkey", "CAST(0 AS INT) AS c_nationkey")
+    lineitem = spark.range(2 * n).selectExpr(
+        "id div 2 AS l_orderkey", "id % 5 AS l_partkey",
+        "CASE WHEN id % 2 = 0 THEN 'R' ELSE 'N' END AS l_returnflag",
+        "TIMESTAMP_NTZ '1995-01-05 00:00:00' + make_dt_interval(id % 30) AS l_shipdate")
+    return dict(orders=orders, customer=customer, lineitem=lineitem)
+
+
+@pytest.mark.parametrize("name", ["q_pr_numbers", "q_survival", "q_repo_summary"])
+def test_days_with_many_commits(spark, tmp_path, name):
+    assert check(spark, tmp_path, name, **orders_of_one_nation(spark, 300)) >= 1
+
+
+def test_a_commit_has_one_merge_row(spark):
+    """Rows of merges grow with the commits, not with commits times merges."""
+    from agentmetrics.catalog.history import members
+    commits = spark.range(600).selectExpr(
+        "'r' AS repo", "sha1(string(id)) AS sha", "TIMESTAMP '1995-01-01' + make_dt_interval(id % 4) AS at",
+        "id % 2 = 0 AS is_merge", "'Merge pull request #' || id || ' from x' AS body")
+    rows = members(commits)
+    assert rows.count() == rows.select("sha").distinct().count() == 150  # those of the last day have no later merge
