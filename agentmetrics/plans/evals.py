@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import pi
+from math import asin, ceil, log, pi, sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -164,6 +164,17 @@ def _choose(n: Column, x: Column) -> Column:
                        lambda acc, i: F.when(i > x, acc).otherwise(acc * (n - x + i) / i))
 
 
+def highest_frequency(size: int, spread: float) -> int:
+    """The last frequency that can count in the inverse transform of a sum with variance ``spread``.
+
+    A hypergeometric count is a sum of independent Bernoulli variables, so at w the characteristic function
+    is at most exp(-2 spread sin(w/2)^2). Beyond this frequency that is under exp(-60) / size^2, and
+    all such terms together stay below what a double can hold beside one.
+    """
+    share = (60 + 2 * log(size)) / (2 * spread) if spread > 0 else 1.0
+    return min(size // 2, ceil(asin(sqrt(share)) * size / pi)) if share < 1 else size // 2
+
+
 def permutation_test(pairs: DataFrame) -> DataFrame:
     """Exact two-sided p of the difference in solved runs, labels permuted
     within each task.
@@ -172,13 +183,17 @@ def permutation_test(pairs: DataFrame) -> DataFrame:
     independent, so the distribution of the sum is a product of characteristic
     functions: a sum of logarithms over tasks, at each frequency. Tasks with
     equal counts share one term. The inverse transform is a sum over frequencies;
-    those above the middle mirror the ones below.
+    those above the middle mirror the ones below, and those past ``highest_frequency`` add nothing.
     """
     k = (F.col("k_a") + F.col("k_b")).alias("k")
     signatures = durable(pairs.groupBy("n_a", "n_b", k).agg(
         F.count("*").alias("tasks"), F.sum(F.col("k_a") - F.col("k_b")).alias("lead")))
+    n = F.col("n_a") + F.col("n_b")
+    variance = F.coalesce(F.try_divide(F.col("n_a").cast("double") * F.col("n_b") * F.col("k") * (n - F.col("k")),
+                                       n.cast("double") * n * (n - 1)), F.lit(0.0))
     row = signatures.agg(F.coalesce(F.sum(F.col("k") * F.col("tasks")), F.lit(0)).alias("total"),
-                         F.abs(F.coalesce(F.sum("lead"), F.lit(0))).alias("lead")).first()
+                         F.abs(F.coalesce(F.sum("lead"), F.lit(0))).alias("lead"),
+                         F.coalesce(F.sum(F.col("tasks") * variance), F.lit(0.0)).alias("spread")).first()
     total, lead = int(row["total"]), int(row["lead"])
     size, low, high = total + 1, (total - lead) // 2, -(-(total + lead) // 2)
 
@@ -193,7 +208,7 @@ def permutation_test(pairs: DataFrame) -> DataFrame:
         return F.aggregate("ways", F.lit(0.0), lambda acc, e: acc + e["p"] * wave(w * e["x"]))
 
     terms = signatures.select("tasks", F.transform(span, way).alias("ways")).withColumn(
-        "i", F.explode(F.sequence(F.lit(0), F.lit(size // 2)))).select(
+        "i", F.explode(F.sequence(F.lit(0), F.lit(highest_frequency(size, row["spread"]))))).select(
         "i", "tasks", part(F.cos).alias("re"), part(F.sin).alias("im"))
     modulus = F.log(F.greatest(F.hypot("re", "im"), F.lit(1e-300)))
     factor = terms.groupBy("i").agg(F.sum(F.col("tasks") * modulus).alias("log_modulus"),

@@ -248,3 +248,10 @@ def test_numeric_instants(spark):
     assert got == ["2026-01-05T08:00:00.000Z", "2026-01-05T08:00:00.500Z", "2026-01-05T08:00:00.000Z",
                    "2026-01-05T08:00:00.123Z", "2026-01-05T08:00:01.001Z", "1969-12-31T23:59:59.000Z",
                    "1970-01-01T00:00:00.000Z", None, None, None, None]
+
+
+def test_frequencies_of_many_runs_follow_the_spread():
+    assert evals.highest_frequency(11, 2.0) == 5 and evals.highest_frequency(1, 0.0) == 0
+    size, spread = 1_000_001, 150_000.0
+    last = evals.highest_frequency(size, spread)
+    assert last < size / 50 and math.exp(-2 * spread * math.sin(math.pi * last / size) ** 2) * size ** 2 < 1e-25
