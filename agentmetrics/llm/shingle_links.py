@@ -44,7 +44,7 @@ from .components import components
 WIDTH = 5
 SIMILAR_NUM, SIMILAR_DEN = 4, 5
 STARS = 2
-SKETCH_WORDS, FOLD = 16, 4
+SKETCH_WORDS, FOLD = 64, 4
 FOLDED = [f"_f{i}" for i in range(FOLD)]
 #: Texts whose shingles are counted for the order, and from how many a shingle is common.
 ORDER_TEXTS = 10_000
