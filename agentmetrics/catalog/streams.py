@@ -16,6 +16,7 @@ from ..operators import buckets
 from ..plans import sessions_a
 from ..session import durable, scratch_folder
 from ..sources import logs_a
+from ..sources.appended import write_files
 from ..streaming import jobs
 from .money import PRICED_SQL, order_sessions, sheet
 from .records import KEYS, UPSERT_SQL, batch, stored, usage_records
@@ -123,11 +124,10 @@ def stream_lines(t: Tables) -> DataFrame:
     """Log files read as a stream of appended lines, typed and landed by micro-batch."""
     folder, table = place(t), place(t)
     sid = F.lpad(F.regexp_extract("path", r"/u(\d+)\.jsonl$", 1), 8, "0").alias("sid")
-    D.log_a(t).select(sid, "split", "pos", "value").repartition("sid").sortWithinPartitions("sid", "split", "pos") \
-        .select("sid", "value").write.partitionBy("sid").text(folder)
-    lines = jobs.log_lines(t.spark, folder, suffix=".txt")
+    write_files(D.log_a(t).select(sid, "split", "pos", "value"), folder, "sid", ["split", "pos"])
+    lines = jobs.log_lines(t.spark, folder)
     jobs.run(lines, place(t), jobs.land(logs_a.records, table), drain=True).awaitTermination()
-    landed = t.spark.read.parquet(table).withColumn("sid", F.regexp_extract("path", r"/sid=(\d+)/", 1))
+    landed = t.spark.read.parquet(table).withColumn("sid", F.regexp_extract("path", r"/(\d+)\.jsonl$", 1))
     return landed.groupBy("sid").agg(
         F.count_if("is_prompt").alias("prompts"), F.count_if("opens_unit").alias("units"),
         F.count_if("patched").alias("patches")).where("prompts > 0")

@@ -84,6 +84,28 @@ def test_ranges_hold_every_line_once(tmp_path):
         assert "".join(value + "\n" for _, value in found) == text[3:]
 
 
+def test_small_files_share_a_task(tmp_path):
+    for n in range(300):
+        (tmp_path / f"f{n}.jsonl").write_text(f'{{"n":{n}}}\n')
+    (tmp_path / "long.jsonl").write_text("x\n" * 5_000)
+    reader = appended.AppendedReader({"path": str(tmp_path), "rangebytes": str(4 << 20)})
+    parts = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    assert len(parts) < 30
+    lines_of = [v for p in parts for b in reader.read(p) for v in b.column("value").to_pylist()]
+    assert len(lines_of) == 5_300 and len(set(lines_of)) == 301
+
+
+def test_lines_are_written_to_one_file_a_name(spark, tmp_path):
+    folder = str(tmp_path / "logs")
+    rows_of = spark.range(1000).select((F.col("id") % 3).cast("string").alias("sid"), F.col("id").alias("pos"),
+                                       F.concat(F.lit("é"), F.col("id").cast("string")).alias("value"))
+    assert appended.write_files(rows_of, folder, "sid", ["pos"]) == 3
+    for n in range(3):
+        text = (tmp_path / "logs" / f"{n}.jsonl").read_text(encoding="utf-8")
+        assert text == "".join(f"é{i}\n" for i in range(n, 1000, 3))
+    assert appended.write_files(rows_of.where("false"), str(tmp_path / "none"), "sid", ["pos"]) == 0
+
+
 def test_landed_stream_gives_the_same_units(spark, write_log, tmp_path):
     root = write_log("logs/grove/first.jsonl", orchard_log("first"))
     table = str(tmp_path / "bronze")
