@@ -9,6 +9,7 @@ from ..functions import columns as C
 from ..operators import upsert
 from ..operators.scan import latest, latest_before, running, running_sum
 from ..plans import pricing, sessions_a, trace
+from ..session import durable
 from . import adapters as D
 from .registry import Tables, query
 
@@ -296,6 +297,7 @@ ed AS (SELECT fk, fi, tk, ti, min(r) AS r FROM fd GROUP BY ALL)
 
 def found_edges(t: Tables) -> DataFrame:
     sessions, commits = worked(t)
+    commits = durable(commits)  # read by four kinds of links
     projects = ["OPS", "PROJ"]
     return trace.strongest_edges(
         trace.commit_links(sessions, commits),

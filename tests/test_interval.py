@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from agentmetrics.operators import interval
 from agentmetrics.operators.interval import stabs
 from agentmetrics.plans import trace
 from tests.conftest import rows
@@ -32,6 +33,22 @@ def test_every_pair_once(spark):
         assert sorted((r["n"], r["id"]) for r in rows(got)) == want
 
 
+def test_keys_with_few_spans_are_listed_once(spark, monkeypatch):
+    """The same pairs whether keys go by cells or not; without busy keys no row of either side is repeated."""
+    draw = random.Random(3)
+    some = lambda: T0 + timedelta(seconds=draw.randrange(9_000))
+    points = [(draw.choice("abc"), n, some()) for n in range(200)]
+    spans = [(draw.choice("aab"), n, a, a + timedelta(seconds=4 ** (n % 7))) for n in range(90) for a in [some()]]
+    p, s = spark.createDataFrame(points, POINT), spark.createDataFrame(spans, SPAN)
+    want = sorted((x[1], y[1]) for x in points for y in spans if x[0] == y[0] and y[2] <= x[2] <= y[3])
+    for limit, at_once in ((1_000_000, 40), (1_000_000, 0), (3, 0)):
+        got = stabs(p, s, ["repo"], "at", "a", "z", ["id"], limit, at_once)
+        assert sorted((r["n"], r["id"]) for r in rows(got)) == want
+    monkeypatch.setattr(interval, "by_cells", None)  # never called where keys are small
+    got = stabs(p, s, ["repo"], "at", "a", "z", ["id"])
+    assert sorted((r["n"], r["id"]) for r in rows(got)) == want
+
+
 def test_no_spans_and_no_points(spark):
     p, s = spark.createDataFrame([("r", 1, T0)], POINT), spark.createDataFrame([("r", 1, T0, T0)], SPAN)
     assert rows(stabs(p, s.limit(0), ["repo"], "at", "a", "z", ["id"])) == []
