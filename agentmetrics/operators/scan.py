@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from ..session import durable
 
 ROWS_PER_BLOCK = 4_000_000
+#: Least rows of a range partition; smaller blocks are cut inside it.
+ROWS_PER_RANGE = 500_000
 BLOCK = "__block"
 
 
@@ -63,7 +65,9 @@ def with_blocks(df: DataFrame, keys: list[str], order: list[str],
     With an ``ordinal`` column (a row position, unique within the key) blocks
     are a plain division. Without one, rows are range-partitioned on
     (keys, order), which splits a hot key at sampled cut points; the result is
-    written out because cut points may differ between two evaluations.
+    written out because cut points may differ between two evaluations. Blocks smaller
+    than ``ROWS_PER_RANGE`` are cut by the row's place in its sorted partition, as the samples
+    and task results that reach the driver grow with the number of partitions.
     """
     if top is not None and top <= limit:
         return df, False
@@ -72,10 +76,13 @@ def with_blocks(df: DataFrame, keys: list[str], order: list[str],
         return df, False
     if ordinal is not None:
         return df.withColumn(BLOCK, F.floor(F.col(ordinal) / F.lit(limit)).cast("long")), True
-    parts = max(2, -(-total // limit))
-    cut = (df.repartitionByRange(parts, *[F.col(c) for c in [*keys, *order]])
-           .withColumn(BLOCK, F.spark_partition_id().cast("long")))
-    return durable(cut), True
+    parts = max(2, -(-total // max(limit, ROWS_PER_RANGE)))
+    by = [F.col(c) for c in [*keys, *order]]
+    cut = df.repartitionByRange(parts, *by)
+    if limit >= ROWS_PER_RANGE:
+        return durable(cut.withColumn(BLOCK, F.spark_partition_id().cast("long"))), True
+    # the id holds the partition above its 33 lowest bits and the place in it below, so blocks ascend
+    return durable(cut.sortWithinPartitions(*by).withColumn(BLOCK, F.expr(f"monotonically_increasing_id() div {limit}"))), True
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Running],

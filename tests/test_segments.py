@@ -146,3 +146,17 @@ def test_gap_sessions_in_blocks(spark):
     want = rows(gap_sessions(df, "k", "at", "id", 5_000), "k", "first_at")
     assert rows(gap_sessions(df, "k", "at", "id", 5_000, limit=15), "k", "first_at") == want
     assert sum(r["n"] for r in want) == 200 and len(want) > 4
+
+
+def test_small_blocks_are_cut_inside_few_partitions(spark):
+    df = spark.range(20_000).select((F.col("id") % 2).alias("k"), "id")
+    cut, blocked = scan.with_blocks(df, ["k"], ["id"], limit=10)
+    assert blocked and len(cut.inputFiles()) <= 8  # not one partition a block
+    of_block = cut.groupBy("k", scan.BLOCK).agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
+    blocks = rows(of_block)
+    assert sum(b["n"] for b in blocks) == 20_000 and max(b["n"] for b in blocks) <= 10
+    for k in (0, 1):  # blocks ascend with the order
+        mine = sorted((b for b in blocks if b["k"] == k), key=lambda b: b[scan.BLOCK])
+        assert all(a["high"] < b["low"] for a, b in zip(mine, mine[1:]))
+    got = scan.running(df, ["k"], ["id"], {"n": scan.running_sum(F.lit(1))}, limit=10)
+    assert got.where(F.col("n") != F.floor(F.col("id") / 2) + 1).count() == 0
