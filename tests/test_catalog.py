@@ -1,10 +1,13 @@
 """A sample of registered queries against their SQL, on the smallest tables."""
 
 import os
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
+from agentmetrics.catalog import adapters
 
 FOLDER = "/root/testdata/sf0.001"
 SAMPLE = ["q_spend_rollup", "q_a_units", "q_b_sessions", "q_segments_full", "q_rules", "q_survival",
@@ -42,3 +45,12 @@ def test_query_equals_sql(spark, sql, name):
 
 def test_every_twin_names_a_query():
     assert set(driver.oracle_sql()) <= set(driver.queries())
+
+
+def test_log_lines_are_dealt_by_count(spark):
+    """Tables of one row group are parsed by as many tasks as their rows ask for."""
+    rows = spark.range(0, 120_000, 1, 1).select(
+        F.col("id").alias("event_id"), (F.col("id") % 9).alias("user_id"), F.lit("click").alias("event_type"),
+        F.lit(1.0).alias("value"), F.lit('{"k": 3}').alias("props"), F.timestamp_seconds("id").alias("ts"))
+    for log in (adapters.log_a, adapters.log_b):
+        assert log(SimpleNamespace(events=rows)).rdd.getNumPartitions() == 3
