@@ -36,5 +36,14 @@ def final(value: Column, position: Column) -> Column:
     return F.max_by(value, F.when(value.isNotNull(), position))
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """Marks a side with a row a session, or a key as fine: a join with it shuffles, also where its files look small.
+
+    Spark plans by the compressed size of files, shared out over their columns by width. The rows that a
+    broadcast holds in the driver were over twenty times that.
+    """
+    return df.hint("merge")
+
+
 def count_if(condition: Column) -> Column:
     return F.count(F.when(condition, F.lit(1)))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators import buckets, upsert
-from ..operators.keyed import last_per_key
+from ..operators.keyed import by_shuffle, last_per_key
 from ..session import durable, job_scratch
 from . import classify, pricing, spend
 
@@ -43,7 +43,7 @@ def one_per_id(sessions: DataFrame) -> DataFrame:
     named = sessions.where("session_id IS NOT NULL AND source_tool IS NOT NULL")
     best = named.groupBy("session_id").agg(
         F.max_by("source_tool", F.struct(rank.alias("rank"), "source_tool")).alias("source_tool"))
-    return named.join(best, KEY, "left_semi")
+    return named.join(by_shuffle(best), KEY, "left_semi")
 
 
 def load(spark: SparkSession, data: str) -> dict[str, DataFrame]:
@@ -51,7 +51,7 @@ def load(spark: SparkSession, data: str) -> dict[str, DataFrame]:
     at = data.rstrip("/")
     sessions = one_per_id(spark.read.parquet(f"{at}/sessions"))
     tables = {name: upsert.read_or_empty(spark, f"{at}/{name}", ddl) for name, ddl in EMPTY.items()}
-    chosen = sessions.select(*KEY)
+    chosen = by_shuffle(sessions.select(*KEY))
     return {"sessions": sessions, **{
         name: df.join(chosen, KEY, "left_semi") if name in OF_SESSION else df for name, df in tables.items()}}
 
@@ -60,7 +60,7 @@ def priced(tables: dict[str, DataFrame], sheet: DataFrame, eval_marker: str,
            names: DataFrame | None = None) -> DataFrame:
     """Sessions with their models, most used first, cohort by source path, cost and project name."""
     lists = pricing.dominant_models(tables["models"], KEY)
-    sessions = tables["sessions"].join(lists, KEY, "left").withColumn(
+    sessions = tables["sessions"].join(by_shuffle(lists), KEY, "left").withColumn(
         "model_list", F.coalesce("model_list", F.array().cast("array<string>"))).withColumn(
         "cohort", spend.cohort(F.coalesce("source_path", F.lit("")), eval_marker))
     return spend.priced(sessions, sheet, names)

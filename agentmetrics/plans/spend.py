@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import fixed
-from ..operators.keyed import count_if
+from ..operators.keyed import by_shuffle, count_if
 from . import pricing
 
 TOKENS = fixed.TOKEN_BUCKETS
@@ -117,7 +117,7 @@ def task_mix(classes: DataFrame, sessions: DataFrame) -> DataFrame:
 
     Classes of unknown sessions drop out.
     """
-    counted = classes.join(sessions.select("session_id", "source_tool", "cohort"), "session_id") \
+    counted = classes.join(by_shuffle(sessions.select("session_id", "source_tool", "cohort")), "session_id") \
         .groupBy("unit", "source_tool", "cohort",
                  F.coalesce("task_type", F.lit("unclassified")).alias("label")) \
         .agg(F.count("*").alias("n"))
@@ -131,7 +131,7 @@ def origin_mix(classes: DataFrame, sessions: DataFrame) -> DataFrame:
     origin = (F.when(F.col("automated"), "automated").when(~F.col("automated"), "human")
               .otherwise("unmarked"))
     organic = sessions.where(F.col("cohort") == "organic").select("session_id", "automated")
-    return (classes.where(F.col("unit") == "session").join(organic, "session_id")
+    return (classes.where(F.col("unit") == "session").join(by_shuffle(organic), "session_id")
             .groupBy(origin.alias("origin"),
                      F.coalesce("task_type", F.lit("unclassified")).alias("label"))
             .agg(F.count("*").alias("n")))

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from agentmetrics.functions import fixed
-from agentmetrics.plans import ingest, reporting
+from agentmetrics.plans import ingest, reporting, spend
 from tests.conftest import rows
 from tests.test_ingest import sources  # noqa: F401
 
@@ -66,3 +66,12 @@ def test_a_repeated_cell_leaves_one_row(spark, tmp_path):
     assert reporting.save_cells(spark, more, path, ["at"]) == ["r2"]
     assert reporting.read_cells(spark, path).count() == 3
     assert reporting.save_cells(spark, more.where("false"), path, ["at"]) == []
+
+
+def test_no_session_is_broadcast_in_a_report(spark):
+    wide = spark.range(2_000).selectExpr("cast(id as string) session_id", "'codex' source_tool", "'organic' cohort", "true automated")
+    classes = wide.selectExpr("'session' unit", "session_id", "'t' task_type")
+    for joined in (spend.task_mix(classes, wide), spend.origin_mix(classes, wide), reporting.one_per_id(wide)):
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert rows(spend.origin_mix(classes, wide))[0]["n"] == 2_000
