@@ -193,11 +193,17 @@ def encoder_of(model: bytes) -> PieceEncoder:
     return _ENCODERS[key]
 
 
+def drop_encoders() -> None:
+    """Free what this worker remembers. In a task's own function the dict would be a pickled copy."""
+    _ENCODERS.clear()
+
+
 def encode_table(docs: DataFrame, model_path: str, text: str = "text", doc_id: str = "doc_id",
-                 remembered: int = CACHED) -> DataFrame:
+                 remembered: int = CACHED, lasting: bool = True) -> DataFrame:
     """Per document the id, number of ids, and hashes of the ids and of the decoded text.
 
-    A worker remembers ``remembered`` cuts at most: fewer take less memory and more time.
+    A worker remembers ``remembered`` cuts at most: fewer take less memory and more time. Unless
+    ``lasting``, it forgets them with its task, so that workers that go on to other work don't hold them.
     """
     spark = docs.sparkSession
     with open(model_path, "rb") as f:
@@ -221,6 +227,8 @@ def encode_table(docs: DataFrame, model_path: str, text: str = "text", doc_id: s
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()),
                  pa.array(decoded, pa.string()), pa.array(corrected, pa.int64())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_corrected"])
+        if not lasting:
+            drop_encoders()
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
         encode, SCHEMA.format(id=kind))

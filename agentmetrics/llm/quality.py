@@ -30,6 +30,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -191,12 +192,14 @@ def keep_good(docs: DataFrame, labels: DataFrame, seed: int = 0, text: str = "te
     _, ratios, chosen = decision(docs, labels, seed, text, doc_id, None)
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"),
-                        F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+                        F.col(doc_id).alias("_id"))
+    place = docs.columns.index(text)
     kinds = ", ".join(f"{c} {whole.schema[c].dataType.simpleString()}" for c in ("_doc", "_id"))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(weights(batch.column(2), shared.value))],
+            texts = pc.struct_field(batch.column(0), [place])  # not sent a second time
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weights(texts, shared.value))],
                                              ["_doc", "_id", "_weight"])
 
     weighed = whole.mapInArrow(weigh, f"{kinds}, _weight double")

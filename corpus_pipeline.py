@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from agentmetrics.llm import exact_dedup, mixing, piece_encoding, quality, simhash
-from agentmetrics.llm.common import table, tokenizer
+from agentmetrics.llm.common import small_batches, table, tokenizer
 from agentmetrics.session import durable
 
 
@@ -20,6 +20,7 @@ REMEMBERED = 150_000
 
 def keep_good_texts(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents whose noisy importance weight is among the greatest stay."""
+    small_batches(spark)
     return quality.keep_good(docs, table(spark, folder, "labels"))
 
 
@@ -32,6 +33,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataF
     """Of each component of texts that share 0.8 of their five-word shingles one document stays.
 
     Fingerprints propose the pairs, whole shingle sets decide."""
+    small_batches(spark)
     return simhash.drop_similar(docs)
 
 
@@ -42,7 +44,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Piece ids of every document, as counts and hashes."""
-    return piece_encoding.encode_table(docs, tokenizer("piece_bpe_32k.model"), remembered=REMEMBERED)
+    small_batches(spark)
+    return piece_encoding.encode_table(docs, tokenizer("piece_bpe_32k.model"), remembered=REMEMBERED, lasting=False)
 
 
 STAGES = [

@@ -47,3 +47,28 @@ def test_stages_on_odd_rows_and_empty_tables(spark, odd, tmp_path, labels):
             assert docs.columns == columns
         encoded = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
         assert encoded.count() == docs.count() and (docs.count() > 0) == (rows > 0)
+
+
+def test_stages_bound_their_batches_and_leave_no_cuts_behind(spark):
+    name, before = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    try:
+        good = corpus_pipeline.keep_good_texts(spark, docs, folder)
+        assert int(spark.conf.get(name).removesuffix("b")) == 4 << 20
+        sent = good._jdf.queryExecution().optimizedPlan().toString()
+        assert "_text" not in sent  # the document holds its text already
+        corpus_pipeline.encode(spark, docs.repartition(8), folder).count()
+
+        def held(batches):
+            import pyarrow as pa
+
+            from agentmetrics.llm import piece_encoding
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([len(piece_encoding._ENCODERS)] * batch.num_rows, pa.int64())], ["id"])
+        assert {r.id for r in spark.range(64).repartition(8).mapInArrow(held, "id long").collect()} == {0}
+        spark.conf.set(name, "1000")
+        corpus_pipeline.keep_good_texts(spark, docs, folder)
+        assert spark.conf.get(name) in ("1000", "1000b")
+    finally:
+        spark.conf.set(name, before)
