@@ -7,13 +7,17 @@ SIMILAR_NUM / SIMILAR_DEN of their union in common (Jaccard, compared in whole n
 Search: all sets are read in one order. Sets that similar must share a shingle among
 the first n - ceil(n * similarity) + 1 of each, so only these are keys; keys held by one
 set alone are dropped in one pass over sorted rows. Shingles that a sample of texts
-holds often come last in the order. The sample decides the cost, never the result.
+holds often come last in the order. The sample decides the cost, never the result. A key
+whose sets all hold one same key just before it is dropped, as its pairs meet there.
 
 Candidates: pairs proposed by the caller (those of near SimHash fingerprints) come first.
 For what they leave, the sizes and places of a shared key bound what two sets can have in
 common. First each key's sets are compared with one of them, STARS times with
 another centre, so that a large group of near copies joins without all its pairs;
-then all pairs of a key whose sets are not joined yet.
+then with the set whose sketch is nearest, of those not joined yet; then all pairs of a key whose
+sets are not joined yet. The last two compare a key's sets inside a task, by sizes, places and
+folded sketches, and only pairs that these leave become rows. A key of more than TILE sets is cut
+into tiles; each pair of tiles is a bucket of its own.
 
 Each set has a sketch of SKETCH_WORDS * 64 parities: which of its parts hold an odd
 number of shingles. Two sketches differ in at most as many places as the sets do, so a pair
@@ -34,7 +38,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import durable, job_scratch
@@ -44,8 +48,11 @@ from .components import components
 WIDTH = 5
 SIMILAR_NUM, SIMILAR_DEN = 4, 5
 STARS = 2
-SKETCH_WORDS, FOLD = 64, 4
-FOLDED = [f"_f{i}" for i in range(FOLD)]
+NEAREST = -1
+SKETCH_WORDS, FOLD = 64, 16
+FOLDED = [f"_f{i}_" for i in range(FOLD)]
+#: Sets of a key that are compared with each other, or with those of another tile, in one task.
+TILE = 4096
 #: Texts whose shingles are counted for the order, and from how many a shingle is common.
 ORDER_TEXTS = 10_000
 COMMON_FROM = 4
@@ -149,6 +156,15 @@ def several_holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield from held.combine_chunks().to_batches()
 
 
+def needed_keys(held: DataFrame) -> DataFrame:
+    """``held`` without keys whose sets all hold the same key next before: their pairs meet at that one,
+    with places that leave more room."""
+    before = held.withColumn("_before", F.lag("_key").over(Window.partitionBy("_print").orderBy("_at")))
+    own = before.groupBy("_key").agg(F.min("_before").alias("_low"), F.max("_before").alias("_high"),
+                                     (F.count("_before") < F.count(F.lit(1))).alias("_first"))
+    return held.join(own.where("_first OR _low <> _high").select("_key"), "_key", "left_semi")
+
+
 def sketch(found: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
     """Per part of the hashes whether the set holds an odd number of them, as whole numbers of 64 bits."""
     places = (found.view(np.uint64) % np.uint64(64 * words)).astype(np.int64)
@@ -198,23 +214,105 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(both * SIMILAR_DEN >= every * SIMILAR_NUM).select("a", "b")
 
 
+def met(rows: pa.Table, nearest: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of whole buckets, as ``meet`` takes them; with ``nearest`` at most one for each set."""
+    key, low, high, own, node, n, at, root = (rows.column(c).to_numpy() for c in range(8))
+    fold = rows.column(8).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(key), FOLD)
+    n, room = n.astype(np.int64), n.astype(np.int64) - at
+    starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
+    sizes = np.diff(np.append(starts, len(key)))
+    ends, i = np.repeat(starts + sizes, sizes), np.arange(len(key))
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    least, other = np.full(len(key), 64 * FOLD + 1), np.full(len(key), -1)
+
+    def pairs() -> pa.RecordBatch:
+        a, b = (node[np.concatenate(side)] for side in zip(*found))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    waiting = 0
+    for distance in range(1, int(sizes.max())):
+        i = i[i + distance < ends[i]]
+        i = i[n[i] * SIMILAR_DEN >= n[i + distance] * SIMILAR_NUM]  # by size, so those further on are no less
+        if not len(i):
+            break
+        j = i + distance
+        both = n[i] + n[j]
+        apart = (root[i] != root[j]) & ((own[i] != own[j]) == (low[i] != high[i])) & (
+            np.minimum(room[i], room[j]) * (SIMILAR_NUM + SIMILAR_DEN) >= both * SIMILAR_NUM)
+        x, y, both = i[apart], j[apart], both[apart]
+        differing = np.bitwise_count(fold[x] ^ fold[y]).sum(axis=1, dtype=np.int64)
+        near = differing * (SIMILAR_DEN + SIMILAR_NUM) <= both * (SIMILAR_DEN - SIMILAR_NUM)
+        x, y, differing = x[near], y[near], differing[near]
+        if nearest:
+            for side, partner in ((x, y), (y, x)):
+                nearer = differing < least[side]
+                least[side[nearer]], other[side[nearer]] = differing[nearer], partner[nearer]
+        elif len(x):
+            found.append((x, y))
+            waiting += len(x)
+            if waiting > 1 << 16:
+                yield pairs()
+                found, waiting = [], 0
+    if (other >= 0).any():
+        found.append((np.flatnonzero(other >= 0), other[other >= 0]))
+    if found:
+        yield pairs()
+
+
+def meet(batches: Iterator[pa.RecordBatch], nearest: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (_key, _low, _high, _own, _print, _n, _at, _root, _fold), sorted by bucket (the first three)
+    and size, to pairs (a, b) that sizes, places and folded sketches do not settle."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        changed = np.zeros(rows.num_rows - 1, bool)
+        for c in range(3):
+            column = rows.column(c).to_numpy()
+            changed |= column[1:] != column[:-1]
+        cut = int(np.flatnonzero(changed)[-1]) + 1 if changed.any() else 0
+        if cut:
+            yield from met(rows.slice(0, cut), nearest)
+        held = rows.slice(cut)
+    if held is not None:
+        yield from met(held, nearest)
+
+
+def compared(placed: DataFrame, nearest: bool, tile: int = TILE) -> DataFrame:
+    """Pairs (a, b) of sets that share a key, are not joined yet and that nothing at hand settles.
+
+    With ``nearest``, of these for each set of a bucket the one whose sketch is nearest.
+    """
+    rows = placed.select("_key", "_print", "_n", "_at", "_root", F.array(*FOLDED).alias("_fold"))
+    large = durable(rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_held")).where(F.col("_held") > tile)
+                    .select("_key", F.ceil(F.col("_held") / tile).cast("int").alias("_tiles")))
+    tiled = rows.join(maybe_broadcast(large, large.count(), 48), "_key", "left").withColumn(
+        "_own", F.coalesce(F.pmod(F.xxhash64("_print"), F.col("_tiles").cast("long")).cast("int"), F.lit(0))).withColumn(
+        "_other", F.explode(F.sequence(F.lit(0), F.coalesce("_tiles", F.lit(1)) - 1)))
+    buckets = tiled.select("_key", F.least("_own", "_other").alias("_low"), F.greatest("_own", "_other").alias("_high"),
+                           "_own", "_print", "_n", "_at", "_root", "_fold")
+    return buckets.repartition("_key", "_low", "_high").sortWithinPartitions("_key", "_low", "_high", "_n").mapInArrow(
+        lambda batches: meet(batches, nearest), "a long, b long").distinct()
+
+
 def candidates(placed: DataFrame, star: int | None) -> DataFrame:
     """Pairs (a, b) of sets that share a key, are not joined yet and whose sizes and places allow it.
 
-    With the number of a star, of each key one set with all others.
+    With the number of a star, of each key one set with all others; with NEAREST, each with the nearest.
     """
+    if star is None or star == NEAREST:
+        return compared(placed, star == NEAREST)
     names = ("_print", "_n", "_at", "_root", *FOLDED)
-    other = placed.select("_key", *[F.col(c).alias(f"{c}2") for c in names])
-    if star is not None:
-        centre = placed.groupBy("_key").agg(F.min_by(F.struct(*names), F.xxhash64("_print", F.lit(star))).alias("_c"))
-        other = centre.select("_key", *[F.col(f"_c.{c}").alias(f"{c}2") for c in names])
+    centre = placed.groupBy("_key").agg(F.min_by(F.struct(*names), F.xxhash64("_print", F.lit(star))).alias("_c"))
+    other = centre.select("_key", *[F.col(f"_c.{c}").alias(f"{c}2") for c in names])
     bound = F.least(F.col("_n") - F.col("_at"), F.col("_n2") - F.col("_at2")).cast("long") \
         * (SIMILAR_NUM + SIMILAR_DEN) >= (F.col("_n") + F.col("_n2")).cast("long") * SIMILAR_NUM
     differing = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}2"))) for c in FOLDED), F.lit(0)).cast("long")
     bound &= differing * (SIMILAR_DEN + SIMILAR_NUM) <= (F.col("_n") + F.col("_n2")).cast("long") * (
         SIMILAR_DEN - SIMILAR_NUM)
-    once = F.lit(True) if star is not None else F.col("_print") < F.col("_print2")
-    return placed.join(other, "_key").where(once & (F.col("_root") != F.col("_root2")) & bound).select(
+    return placed.join(other, "_key").where((F.col("_root") != F.col("_root2")) & bound).select(
         F.least("_print", "_print2").alias("a"), F.greatest("_print", "_print2").alias("b")).distinct()
 
 
@@ -229,10 +327,12 @@ def links(docs: DataFrame, rows: DataFrame, proposed: DataFrame, text: str, doc_
     held = keyed.repartition("_key").sortWithinPartitions("_key", "_print").mapInArrow(
         several_holders, "_key long, _print long, _n int, _at int")
     sketches = durable(rows.select("_print", "_n", "_bits").dropDuplicates(["_print"]))
-    shared = durable(held.join(sketches.select("_print", *folded("_bits")), "_print"))
+    with job_scratch(spark):
+        shared = durable(needed_keys(durable(held)).join(sketches.select("_print", *folded("_bits")), "_print"), outlive=1)
     found = new = None
     placed = shared.withColumn("_root", F.col("_print"))
-    for step in range(-1, stars + 1):
+    for step in range(-1, stars + 2):
+        star = step if step < stars else NEAREST if step == stars else None
         with job_scratch(spark):
             if new is not None and not new.isEmpty():
                 roots = durable(components(found))
@@ -243,7 +343,9 @@ def links(docs: DataFrame, rows: DataFrame, proposed: DataFrame, text: str, doc_
                 placed = durable(placed.join(mixed, "_key", "left_semi"), outlive=1)
                 if placed.isEmpty():
                     break
-            pairs = durable(proposed if step < 0 else candidates(placed, step if step < stars else None))
+            pairs = durable(proposed if step < 0 else candidates(placed, star))
+            if step == stars and pairs.isEmpty():
+                break
             left = durable(settled_by_sketch(pairs, sketches))
             sets = durable(sets_of(docs, rows, left, text, doc_id, width))
             new = durable(similar(left, sets), outlive=1)

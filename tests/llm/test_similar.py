@@ -111,3 +111,47 @@ def test_pairs_settled_by_the_folded_sketch_are_never_made(spark):
     keyed = rows.selectExpr("_print", "_n", "0 AS _at", "_print AS _root", "1L AS _key", "_bits").select(
         "_key", "_print", "_n", "_at", "_root", *shingle_links.folded("_bits"))
     assert shingle_links.candidates(keyed, None).count() == 0
+
+
+def placed_under_one_key(spark, docs):
+    table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    rows = shingle_links.with_keys(table, "text", "doc_id", 5)
+    return rows.selectExpr("_print", "_n", "0 AS _at", "_print AS _root", "1L AS _key", "_bits").select(
+        "_key", "_print", "_n", "_at", "_root", *shingle_links.folded("_bits")).localCheckpoint()
+
+
+def test_long_texts_with_a_common_passage_make_no_pair(spark):
+    passage = " ".join(f"common{i}" for i in range(1100))
+    docs = [passage + " " + " ".join(f"n{i}x{j}" for j in range(400)) for i in range(30)]
+    assert shingle_links.candidates(placed_under_one_key(spark, docs), None).count() == 0
+
+
+def test_a_large_group_is_compared_whole_in_tiles(spark):
+    """Every similar pair is found, however a key is cut; the nearest are at most one for each set."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(150)]
+    docs = []
+    for i in range(60):
+        words = list(base)
+        for at in rng.sample(range(150), rng.randrange(1, 8)):
+            words[at] = f"n{i}x{at}"
+        docs.append(" ".join(words))
+    placed = placed_under_one_key(spark, docs)
+    node = {i: shingle_links.node_of(shingle_links.shingle_set(t)) for i, t in enumerate(docs)}
+    sets = {node[i]: shingles(t) for i, t in enumerate(docs)}
+    alike = {(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert 100 < len(alike) < 1700
+    whole, tiled, nearest = (
+        [(r.a, r.b) for r in shingle_links.compared(placed, *how).collect()] for how in ((False,), (False, 7), (True,)))
+    assert len(set(whole)) == len(whole) and alike <= set(whole) == set(tiled)
+    assert set(nearest) <= set(whole) and len(nearest) <= len(sets)
+    assert {n for pair in nearest for n in pair} == {n for pair in whole for n in pair}
+
+
+def test_keys_that_the_same_sets_hold_meet_once(spark):
+    """Of nested keys the first stays; a key with a set that lacks the one before stays too."""
+    held = [(1, 10, 0), (1, 11, 0), (1, 12, 0), (2, 10, 3), (2, 11, 1), (3, 10, 4), (3, 11, 2),
+            (4, 11, 5), (4, 13, 0), (5, 10, 6), (5, 12, 1)]
+    kept = shingle_links.needed_keys(spark.createDataFrame(held, "_key long, _print long, _at int"))
+    assert {r._key for r in kept.collect()} == {1, 4, 5}
+    assert kept.count() == 7
