@@ -58,3 +58,14 @@ def test_a_commit_has_one_merge_row(spark):
         "id % 2 = 0 AS is_merge", "'Merge pull request #' || id || ' from x' AS body")
     rows = members(commits)
     assert rows.count() == rows.select("sha").distinct().count() == 150  # those of the last day have no later merge
+
+
+def test_cells_with_missing_keys_and_dates(spark, tmp_path):
+    lineitem = spark.range(600).selectExpr(
+        "id AS l_orderkey", "CAST(id % 4 AS INT) AS l_linenumber", "nullif(id % 5, 4) AS l_partkey", "nullif(id % 7, 6) AS l_suppkey",
+        "CASE id % 3 WHEN 0 THEN 'R' WHEN 1 THEN 'N' END AS l_returnflag", "'F' AS l_linestatus", "CAST(id AS DOUBLE) AS l_quantity",
+        "CASE WHEN id % 11 > 2 THEN TIMESTAMP_NTZ '1994-01-01 00:00:00' + make_dt_interval(id) END AS l_shipdate")
+    undated = spark.range(600, 620).selectExpr(
+        "id AS l_orderkey", "1 AS l_linenumber", "id AS l_partkey", "id AS l_suppkey", "'R' AS l_returnflag", "'F' AS l_linestatus",
+        "CAST(id AS DOUBLE) AS l_quantity", "CAST(NULL AS TIMESTAMP_NTZ) AS l_shipdate")
+    assert check(spark, tmp_path, "q_eval_cells", lineitem=lineitem.unionByName(undated)) == 5 * 7 * 3 + 20
